@@ -166,14 +166,19 @@ class Encoder:
                 known.clear()
                 missing = wanted
             self.once += [(known, w) for w in missing if len(w) > PART_CHARS]
-            split = {w: PIECES.findall(before + w) for w in missing}
-            self._learn_pieces({p for x in split.values() for p in x})
-            get = self.pieces.__getitem__
-            known.update((w, b"".join(map(get, x))) for w, x in split.items())
-            if len(self.pieces) > PARTS:
-                self.pieces.clear()
-            for p in [p for x in split.values() for p in x if len(p) > PART_CHARS]:
-                self.pieces.pop(p, None)
+            missing = list(missing)
+            known.update(zip(missing, self._encode_words([before + w for w in missing])))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words, each encoded as a text of its own."""
+        split = [PIECES.findall(w) for w in words]
+        if len(self.pieces) > PARTS:
+            self.pieces.clear()
+        self._learn_pieces({p for x in split for p in x})
+        out = [b"".join(map(self.pieces.__getitem__, x)) for x in split]
+        for p in [p for x in split for p in x if len(p) > PART_CHARS]:
+            self.pieces.pop(p, None)
+        return out
 
     def _learn_pieces(self, pieces: set[str]) -> None:
         missing = {p.encode(): p for p in pieces if p not in self.pieces}

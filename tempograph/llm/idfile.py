@@ -22,6 +22,7 @@ looked at. A text's ids must fit into memory, any number of texts may not.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,21 +33,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tempograph.llm.bpe import encoder
+from tempograph.llm.bpe import Encoder, packed
 from tempograph.llm.common import cut, doc_columns, fresh_path, slices, strings, tokenizer_path
 
 #: Ids of a block (whole documents), lanes, ids of a lane in a round, and bytes of text in a partition.
-BLOCK, LANES, STEPS, PARTITION_BYTES = 262_144, 1024, 32, 32 << 20
+BLOCK, LANES, STEPS, PARTITION_BYTES = 1_048_576, 2048, 32, 32 << 20
 END_ID = 2
 MAGIC = b"TIDX\x01"
 
 _MIX_BITS, _ID_BITS = 12, 16
 _ALL = 1 << _ID_BITS
 _HASHED = 1 << 17
-_OUT = np.uint64(16)
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _U = np.uint64
+_WORD, _LOW, _UNIT = _U(32), _U(1 << 32), _U(_MIX_BITS + _ID_BITS)
+
+
+class LibraryEncoder(Encoder):
+    """As Encoder, but new words go to the tokenizers library; texts are still put together from words."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def encoder(path: str) -> LibraryEncoder:
+    """The encoder of this worker process."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
 
 
 class Model:
@@ -54,9 +77,9 @@ class Model:
 
     def __init__(self):
         self.counts = np.zeros(_ALL, np.int64)
-        self.guess1, self.sure1 = np.zeros(_ALL, np.int32), np.zeros(_ALL, np.int8)
-        self.guess2, self.sure2 = np.zeros(_HASHED, np.int32), np.zeros(_HASHED, np.int8)
-        # How often order 2, order 1, order 0 and a new id were right, by the confidence of both guesses and whether they agree.
+        # What followed one id, and two ids, and how sure that is (0 to 3): id * 4 + sureness.
+        self.after1, self.after2 = np.zeros(_ALL, np.int64), np.zeros(_HASHED, np.int64)
+        # How often order 2, order 1, order 0 and a new id were right, by the sureness of both guesses and whether they agree.
         self.hits = np.tile(np.array([2, 2, 8, 4], np.int64), (32, 1))
         self._freeze()
 
@@ -68,48 +91,51 @@ class Model:
         self.freq, self.start = np.zeros(_ALL, np.int64), np.zeros(_ALL, np.int64)
         self.freq[seen] = f
         self.start[seen] = np.cumsum(f) - f
-        self.at = np.zeros(_ALL, np.int32)
+        self.at = np.zeros(_ALL, np.int64)
         ids = np.repeat(seen, f)
         self.at[: len(ids)] = ids
         one = 1 << _MIX_BITS
         weight = 1 + self.hits * (one - 8) // self.hits.sum(1, keepdims=True)
         weight[:, 3] += one - weight.sum(1)
-        self.weight = weight
-        self.upto = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(weight, 1)], 1)
+        upto = np.cumsum(weight, 1)
+        self.weight, self.base = weight.ravel(), (upto - weight).ravel()
+        self.ends = [np.ascontiguousarray(upto[:, k]) for k in range(3)]
 
     @staticmethod
     def slot2(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        return ((p2.astype(np.int64) * 40_503 + p1.astype(np.int64) * 2_654_435_761) >> 7) & (_HASHED - 1)
+        return ((p2 * 40_503 + p1 * 2_654_435_761) >> 7) & (_HASHED - 1)
 
     def guesses(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order-2 guess, order-1 guess, and the state of confidence."""
-        s = self.slot2(p2, p1)
-        g2, g1 = self.guess2[s], self.guess1[p1]
-        return g2, g1, (self.sure2[s].astype(np.int64) * 4 + self.sure1[p1]) * 2 + (g2 == g1)
+        """Order-2 guess, order-1 guess, and the state of sureness."""
+        a, b = self.after2[self.slot2(p2, p1)], self.after1[p1]
+        g2, g1 = a >> 2, b >> 2
+        return g2, g1, ((a & 3) * 4 + (b & 3)) * 2 + (g2 == g1)
 
-    def intervals(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of each id's interval in 2**28, with the state and the predictor that it was coded by."""
+    def intervals(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of each id's interval in 2**28, and by which state and predictor it was coded (state * 4 + predictor)."""
         g2, g1, state = self.guesses(p2, p1)
-        by = np.where(ids == g2, 0, np.where(ids == g1, 1, np.where(self.freq[ids] > 0, 2, 3)))
-        w = self.weight[state, by]
-        start, width = self.upto[state, by] << _ID_BITS, w << _ID_BITS
-        known, new = by == 2, by == 3
-        start = start + np.where(known, w * self.start[ids], np.where(new, w * ids, 0))
-        width = np.where(known, w * self.freq[ids], np.where(new, w, width))
-        return start, width, state, by
-
-    def learn(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray, state: np.ndarray, by: np.ndarray) -> None:
-        np.add.at(self.hits, (state, by), 1)
+        f = self.freq[ids]
+        by = np.where(ids == g2, 0, np.where(ids == g1, 1, np.where(f > 0, 2, 3)))
+        key = state * 4 + by
+        w = self.weight[key]
+        start, width = self.base[key] << _ID_BITS, w << _ID_BITS
+        far = np.flatnonzero(by >= 2)
+        known = by[far] == 2
+        start[far] += w[far] * np.where(known, self.start[ids[far]], ids[far])
+        width[far] = w[far] * np.where(known, f[far], 1)
+        return start, width, key
+
+    def learn(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray, key: np.ndarray) -> None:
+        self.hits += np.bincount(key, minlength=128).reshape(32, 4)
         heavy = self.hits.sum(1) > 60_000
         self.hits[heavy] = self.hits[heavy] // 2 + 1
         self.counts += np.bincount(ids, minlength=_ALL)
-        for guess, sure, at in ((self.guess1, self.sure1, p1), (self.guess2, self.sure2, self.slot2(p2, p1))):
-            right = guess[at] == ids
-            level = sure[at]
-            new = np.where(right, np.minimum(level + 1, 3), np.where(level > 0, level - 1, 0)).astype(np.int8)
-            take = right | (level == 0)
-            guess[at[take]] = ids[take]
-            sure[at] = new
+        for after, at in ((self.after1, p1), (self.after2, self.slot2(p2, p1))):
+            told = after[at]
+            sure = told & 3
+            right = told >> 2 == ids
+            # A right guess gets surer, a wrong one less sure, and one that isn't sure at all gives way.
+            after[at] = np.where(right, ids * 4 + np.minimum(sure + 1, 3), np.where(sure > 0, told - 1, ids * 4))
         self._freeze()
 
 
@@ -119,108 +145,100 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _before(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p1 = np.zeros_like(grid)
-    p1[:, 1:] = grid[:, :-1]
-    p2 = np.zeros_like(grid)
-    p2[:, 2:] = grid[:, :-2]
-    return p2, p1
-
-
 def pack_ids(ids: np.ndarray) -> bytes:
     """A block of ids below 2**16."""
     lanes, length = _shape(len(ids))
-    grid = np.zeros(lanes * length, np.int32)
+    grid = np.zeros(lanes * length, np.int64)
     grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, length)
-    p2, p1 = _before(grid)
+    grid = np.concatenate([np.zeros((2, lanes), np.int64), grid.reshape(lanes, length).T])
     model = Model()
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
+    sizes = np.zeros(lanes, np.int64)
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    carries: list[tuple[np.ndarray, np.ndarray]] = []
     with np.errstate(over="ignore"):
         for at in range(0, length, STEPS):
-            a, b, c = (np.ascontiguousarray(x[:, at : at + STEPS].T) for x in (p2, p1, grid))
-            start, width, state, by = (x.reshape(a.shape) for x in model.intervals(a.ravel(), b.ravel(), c.ravel()))
-            start, width = start.astype(_U), width.astype(_U)
-            for k in range(len(a)):
-                unit = span >> _U(_MIX_BITS + _ID_BITS)
-                low += unit * start[k]
+            n = min(STEPS, length - at)
+            p2, p1, now = (grid[at + k : at + k + n].ravel() for k in range(3))
+            start, width, key = model.intervals(p2, p1, now)
+            start, width = start.astype(_U).reshape(n, lanes), width.astype(_U).reshape(n, lanes)
+            for k in range(n):
+                unit = span >> _UNIT
+                before = low
+                low = low + unit * start[k]
+                over = np.flatnonzero(low < before)
+                if len(over):
+                    carries.append((over, sizes[over] - 1))
                 span = unit * width[k]
-                while True:
-                    same = (low ^ (low + span)) < _TOP
-                    narrow = ~same & (span < _LOW)
-                    if narrow.any():
-                        span = np.where(narrow, (~low + _U(1)) & (_LOW - _U(1)), span)
-                    out = np.flatnonzero(same | narrow)
-                    if not len(out):
-                        break
-                    words.append((low[out] >> _U(48)).astype("<u2"))
+                out = np.flatnonzero(span < _LOW)
+                if len(out):
+                    words.append(low[out] >> _WORD)
                     owners.append(out)
-                    low[out] <<= _OUT
-                    span[out] <<= _OUT
-            model.learn(a.ravel(), b.ravel(), c.ravel(), state.ravel(), by.ravel())
-        for _ in range(4):
-            words.append((low >> _U(48)).astype("<u2"))
-            owners.append(np.arange(lanes))
-            low <<= _OUT
-    who = np.concatenate(owners)
-    by_lane = np.argsort(who, kind="stable")
-    return np.bincount(who, minlength=lanes).astype("<u4").tobytes() + np.concatenate(words)[by_lane].tobytes()
+                    sizes[out] += 1
+                    low[out] <<= _WORD
+                    span[out] <<= _WORD
+            model.learn(p2, p1, now, key)
+    for part in (low >> _WORD, low & (_LOW - _U(1))):
+        words.append(part)
+        owners.append(np.arange(lanes))
+    sizes += 2
+    values = np.concatenate(words)[np.argsort(np.concatenate(owners), kind="stable")]
+    first = np.cumsum(sizes) - sizes
+    for lane, place in carries:  # a carry goes into the lane's last word so far, and on to the left
+        values[first[lane] + place] += _U(1)
+    while (over := np.flatnonzero(values >> _WORD)).size:
+        values[over] &= _LOW - _U(1)
+        values[over - 1] += _U(1)
+    return sizes.astype("<u4").tobytes() + values.astype("<u4").tobytes()
 
 
 def unpack_ids(data: bytes, n: int) -> np.ndarray:
     """The n ids of a block."""
     lanes, length = _shape(n)
     sizes = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, "<u2")]).astype(_U)
+    words = np.concatenate([np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(2, "<u4")]).astype(_U)
     pos = np.cumsum(sizes) - sizes
-    grid = np.zeros((length, lanes), np.int32)
+    grid = np.zeros((length + 2, lanes), np.int64)
     model = Model()
-    low, span, code = np.zeros(lanes, _U), np.full(lanes, ~_U(0)), np.zeros(lanes, _U)
-    p1 = p2 = np.zeros(lanes, np.int32)
+    span, code = np.full(lanes, ~_U(0)), words[pos] << _WORD | words[pos + 1]
+    pos += 2
     most = _U((1 << (_MIX_BITS + _ID_BITS)) - 1)
     with np.errstate(over="ignore"):
-        for _ in range(4):
-            code = (code << _OUT) | words[pos]
-            pos += 1
         for at in range(0, length, STEPS):
             steps = min(STEPS, length - at)
-            a, b, states, bys = np.zeros((4, steps, lanes), np.int64)
+            keys = np.zeros((steps, lanes), np.int64)
+            e0, e1, e2 = model.ends
             for k in range(steps):
-                unit = span >> _U(_MIX_BITS + _ID_BITS)
-                value = np.minimum((code - low) // unit, most).astype(np.int64)
-                g2, g1, state = model.guesses(p2, p1)
-                upto = model.upto[state]
-                slot = value >> _ID_BITS
-                by = (slot >= upto[:, 1]).astype(np.int64) + (slot >= upto[:, 2]) + (slot >= upto[:, 3])
-                lanes_ = np.arange(lanes)
-                base = upto[lanes_, by]
-                w = model.weight[state, by]
-                inner = (value - (base << _ID_BITS)) // w
-                known = model.at[np.minimum(inner, _ALL - 1)]
-                ids = np.where(by == 0, g2, np.where(by == 1, g1, np.where(by == 2, known, np.minimum(inner, _ALL - 1)))).astype(np.int32)
-                start = (base << _ID_BITS) + np.where(by == 2, w * model.start[ids], np.where(by == 3, w * ids, 0))
-                width = np.where(by < 2, w << _ID_BITS, np.where(by == 2, w * model.freq[ids], w))
-                low += unit * start.astype(_U)
+                g2, g1, state = model.guesses(grid[at + k], grid[at + k + 1])
+                unit = span >> _UNIT
+                value = np.minimum(code // unit, most).astype(np.int64)
+                mix = value >> _ID_BITS
+                by = (mix >= e0[state]).astype(np.int64) + (mix >= e1[state]) + (mix >= e2[state])
+                key = state * 4 + by
+                w = model.weight[key]
+                start, width = model.base[key] << _ID_BITS, w << _ID_BITS
+                ids = np.where(by == 0, g2, g1)
+                far = np.flatnonzero(by >= 2)
+                if len(far):
+                    wf, known = w[far], by[far] == 2
+                    inner = np.minimum((value[far] - start[far]) // wf, _ALL - 1)
+                    x = np.where(known, model.at[inner], inner)
+                    ids[far] = x
+                    start[far] += wf * np.where(known, model.start[x], x)
+                    width[far] = wf * np.where(known, model.freq[x], 1)
+                code = code - unit * start.astype(_U)
                 span = unit * width.astype(_U)
-                while True:
-                    same = (low ^ (low + span)) < _TOP
-                    narrow = ~same & (span < _LOW)
-                    if narrow.any():
-                        span = np.where(narrow, (~low + _U(1)) & (_LOW - _U(1)), span)
-                    out = np.flatnonzero(same | narrow)
-                    if not len(out):
-                        break
-                    code[out] = (code[out] << _OUT) | words[np.minimum(pos[out], len(words) - 1)]
+                out = np.flatnonzero(span < _LOW)
+                if len(out):
+                    code[out] = code[out] << _WORD | words[pos[out]]
                     pos[out] += 1
-                    low[out] <<= _OUT
-                    span[out] <<= _OUT
-                a[k], b[k], states[k], bys[k] = p2, p1, state, by
-                grid[at + k] = ids
-                p2, p1 = p1, ids
-            model.learn(a.ravel(), b.ravel(), grid[at : at + steps].ravel(), states.ravel(), bys.ravel())
-    return grid.T.ravel()[:n]
+                    span[out] <<= _WORD
+                keys[k] = key
+                grid[at + k + 2] = ids
+            p2, p1, now = (grid[at + k : at + k + steps].ravel() for k in range(3))
+            model.learn(p2, p1, now, keys.ravel())
+    return grid[2:].T.ravel()[:n]
 
 
 def pack_block(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
