@@ -22,10 +22,9 @@ looked at. A text's ids must fit into memory, any number of texts may not.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +34,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tempograph.llm.bpe import Encoder, packed
+from tempograph.llm.bpe import PART_CHARS, PIECES, Encoder, packed
 from tempograph.llm.common import cut, doc_columns, fresh_path, slices, strings, tokenizer_path
 
 #: Ids of a block (whole documents), lanes, ids of a lane in a round, and bytes of text in a partition.
 BLOCK, LANES, STEPS, PARTITION_BYTES = 1_048_576, 2048, 32, 32 << 20
+#: Words and pieces that a task remembers, each.
+REMEMBERED = 600_000
 END_ID = 2
 MAGIC = b"TIDX\x01"
 
@@ -50,16 +51,55 @@ _U = np.uint64
 _WORD, _LOW, _UNIT = _U(32), _U(1 << 32), _U(_MIX_BITS + _ID_BITS)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary: a visible Latin-1 character for itself, the others in order from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+LETTERS = dict(enumerate(_byte_letters()))
+
+
+class Known(dict):
+    """Packed ids by word or piece, looked up by a function where they are missing; long ones are not kept."""
+
+    def __init__(self, look_up: Callable[[str], bytes]):
+        self.look_up = look_up
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.look_up(word)
+        if len(word) <= PART_CHARS:
+            self[word] = ids
+        return ids
+
+
 class LibraryEncoder(Encoder):
-    """As Encoder, but new words go to the tokenizers library; texts are still put together from words."""
+    """As Encoder, but the tokenizers library's model encodes each piece that is not yet known; texts are put together from words, words from pieces."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.model = Tokenizer.from_file(path).model
+        self.pieces = Known(self._piece)
+        self.bare = Known(self._word)
+        self.spaced = Known(lambda word: self._word(" " + word))
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(LETTERS)
+        return packed([t.id for t in self.model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self._put, self.plan(text))))
+            for known in (self.spaced, self.bare, self.pieces):
+                if len(known) > REMEMBERED:
+                    known.clear()
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}
