@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempograph.functions.predicates import ACTIVE, FORGOTTEN, active_at, visible
+from tempograph.functions.predicates import ACTIVE, FORGOTTEN, INFERRED, active_at, visible
+from tempograph.operators.graph import closure
 
 
 def top_per(rows: DataFrame, key: str | list[str], order: list[Column], limit: int) -> DataFrame:
@@ -61,3 +62,78 @@ def nested_sources(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """How many sources each fact has, and their references in order."""
     lists = sources.groupBy("fact_id").agg(F.count("*").alias("n_sources"), F.array_join(F.sort_array(F.collect_list("raw_reference")), ",").alias("refs"))
     return facts.select(F.col("id").alias("fact_id")).join(lists, "fact_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)).cast("long"))
+
+
+def pending(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Facts that wait for confirmation, with the names of both ends."""
+    names = entities.select("id", "name")
+    rows = facts.where("pending").join(names.select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id")
+    return rows.join(names.select(F.col("id").alias("object_id"), F.col("name").alias("_o")), "object_id", "left").select("id", "subject", "predicate", F.coalesce("_o", "object_literal").alias("object"))
+
+
+def dependency_edges(dependencies: DataFrame) -> DataFrame:
+    """How many dependency edges touch each fact, and how many of them lead to children."""
+    ends = dependencies.select(F.explode(F.array(F.struct(F.col("parent_fact_id").alias("fact_id"), F.lit(1).alias("down")), F.struct(F.col("child_fact_id").alias("fact_id"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("fact_id").agg(F.count("*").alias("n"), F.sum("down").alias("children"))
+
+
+def audit_log(audit: DataFrame, limit: int) -> DataFrame:
+    """The newest audit entries of each fact."""
+    return top_per(audit, "fact_id", [F.desc("changed_at"), F.desc("id")], limit)
+
+
+def export_order(messages: DataFrame) -> DataFrame:
+    """Messages of a session with their place: its first system message, then the others by turn."""
+    first = F.min(F.when(F.col("role") == "system", F.col("turn"))).over(W.partitionBy("session_id"))
+    rows = messages.withColumn("_first", first).withColumn("_late", (~F.col("turn").eqNullSafe(F.col("_first"))).cast("int"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("_late", "turn"))).drop("_first", "_late")
+
+
+def after_mark(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Messages from each session's compaction mark (session_id, mark) on; all of a session without one."""
+    return messages.join(marks, "session_id", "left").where("mark is null or turn >= mark").drop("mark")
+
+
+def fact_detail(facts: DataFrame, entities: DataFrame, sources: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Each fact with its ends' names and the number of its sources and parents."""
+    names = entities.select("id", "name")
+    rows = facts.join(names.select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id", "left").join(names.select(F.col("id").alias("object_id"), F.col("name").alias("_o")), "object_id", "left")
+    rows = rows.join(sources.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("s")), "id", "left").join(dependencies.groupBy(F.col("child_fact_id").alias("id")).agg(F.count("*").alias("p")), "id", "left")
+    shown = F.coalesce("_o", "object_literal", F.concat(F.lit("entity:"), F.col("object_id").cast("string")))
+    return rows.select("id", "subject", shown.alias("object"), F.coalesce("s", F.lit(0)).alias("n_sources"), F.coalesce("p", F.lit(0)).alias("n_parents"))
+
+
+def profile(facts: DataFrame, categories: DataFrame, fact_categories: DataFrame, limit: int) -> DataFrame:
+    """How many visible facts each subject has in its largest categories; facts without one are uncategorized."""
+    names = fact_categories.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id").select(F.col("fact_id").alias("id"), "name")
+    n = facts.where(visible()).join(names, "id", "left").groupBy("subject_id", F.coalesce("name", F.lit("Uncategorized")).alias("category")).agg(F.count("*").alias("n"))
+    return top_per(n, "subject_id", [F.desc("n"), F.col("category")], limit).drop("rank")
+
+
+def fact_weights(categories: DataFrame, fact_categories: DataFrame) -> DataFrame:
+    """Each fact's categories, highest weight and lowest bucket."""
+    rows = fact_categories.join(categories.select(F.col("id").alias("category_id"), "memory_weight", "memory_bucket_id"), "category_id")
+    listed = F.array_join(F.array_sort(F.collect_list(F.col("category_id").cast("string"))), ",")
+    return rows.groupBy("fact_id").agg(listed.alias("categories"), F.max("memory_weight").alias("weight"), F.min("memory_bucket_id").alias("bucket"))
+
+
+def same_ends(facts: DataFrame, limit: int) -> DataFrame:
+    """The first subjects and objects that live facts connect by several predicates, with these."""
+    live = facts.where(F.col("fact_status_id").isin(ACTIVE, INFERRED) & F.col("object_id").isNotNull())
+    found = live.groupBy("subject_id", "object_id").agg(F.array_sort(F.collect_set("predicate")).alias("p")).where(F.size("p") > 1)
+    return found.orderBy("subject_id", "object_id").limit(limit).select("subject_id", "object_id", F.array_join("p", ",").alias("predicates"))
+
+
+def subtree_counts(categories: DataFrame, fact_categories: DataFrame) -> DataFrame:
+    """How many facts each category has, its descendants' included; a fact counts once."""
+    tree = closure(categories.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
+    lone = categories.select(F.col("id").alias("node"), F.col("id").alias("ancestor"))
+    all_ = tree.unionByName(lone).distinct()
+    return fact_categories.join(all_, F.col("category_id") == F.col("node")).groupBy(F.col("ancestor").alias("category_id")).agg(F.count_distinct("fact_id").alias("n"))
+
+
+def children_counts(categories: DataFrame, fact_categories: DataFrame) -> DataFrame:
+    """The children of each category with the number of their facts, in one join."""
+    n = fact_categories.groupBy("category_id").agg(F.count("fact_id").alias("n"))
+    rows = categories.where("parent_id is not null").select("parent_id", "id", "name")
+    return rows.join(n, rows["id"] == n["category_id"], "left").select("parent_id", "id", "name", F.coalesce("n", F.lit(0)).alias("n"))

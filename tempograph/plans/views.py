@@ -48,6 +48,19 @@ SELECT conv_id AS session_id, turn, role, text AS content, CAST(length(text) AS
     "locations": """
 SELECT CAST(n_nationkey AS BIGINT) * 16 + 2 AS entity_id, CAST(n_nationkey * 73 % 1600 AS DOUBLE) / 10 - 80 AS latitude, CAST(n_nationkey * 297 % 3600 AS DOUBLE) / 10 - 180 AS longitude FROM nation
 UNION ALL SELECT s_suppkey * 16 + 4, CAST(s_suppkey * 73 % 1600 AS DOUBLE) / 10 - 80, CAST(s_suppkey * 297 % 3600 AS DOUBLE) / 10 - 180 FROM supplier""",
+    "overlays": """
+SELECT o_orderkey AS id, concat('o', CAST(o_orderkey AS STRING)) AS fact_id, o_custkey * 16 + 3 AS entity_id, CAST(o_orderdate AS TIMESTAMP) AS trigger_at, CASE WHEN o_orderkey % 4 = 3 THEN 'dismissed' ELSE 'active' END AS status,
+  CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' WHEN 3 THEN 'monthly' ELSE 'yearly' END AS recurrence, CAST(1 + o_orderkey % 3 AS INT) AS step, o_orderkey % 2 = 0 AS auto_complete FROM orders""",
+    "preferences": """
+SELECT event_id AS id, user_id * 16 + 3 AS entity_id, event_type AS key, props AS value, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence, CAST(ts AS TIMESTAMP) AS updated_at FROM events""",
+    "contexts": """
+SELECT event_id AS preference_id, 'place' AS context_key, CAST(event_id % 4 AS STRING) AS context_value FROM events WHERE event_id % 3 > 0
+UNION ALL SELECT event_id, 'hour', CAST(event_id % 7 AS STRING) FROM events WHERE event_id % 3 = 1""",
+    "aliases": """
+SELECT p_partkey * 16 + 5 AS entity_id, p_brand AS alias FROM part
+UNION ALL SELECT c_custkey * 16 + 3, c_mktsegment FROM customer""",
+    "attempts": """
+SELECT event_id AS id, user_id AS key, CAST(ts AS TIMESTAMP) AS ts, event_type = 'error' AS failed, event_type = 'click' AS active FROM events""",
     "audit": """
 SELECT event_id AS id, user_id AS fact_id, event_type AS change_type, CAST(ts AS TIMESTAMP) AS changed_at, value FROM events""",
 }

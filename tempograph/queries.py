@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempograph import write_queries
+from tempograph.catalogue import Query
+from tempograph.catalogue import at as _at
+from tempograph.catalogue import on_table as _table
+from tempograph.catalogue import on_views as _q
 from tempograph.functions import predicates, scalars
 from tempograph.operators import aggregates, graph, joins, memory, reads, search
-from tempograph.plans.views import ansi, view
-
-
-class Query(NamedTuple):
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
 
 
 NOW = "2024-01-15 00:00:00"
@@ -27,24 +25,6 @@ TERMS = ("the", "and")
 _VISIBLE = "NOT pending AND fact_status_id NOT IN (5, 6)"
 
 
-def _at(time: str) -> Column:
-    return F.lit(time).cast("timestamp")
-
-
-def _v(*names: str):
-    """The views, in order, as a function of session and folder."""
-    return lambda s, d: [view(s, d, n) for n in names]
-
-
-def _q(names: str, run: Callable[..., DataFrame], sql: str | None) -> Query:
-    load = _v(*names.split())
-    return Query(lambda s, d: run(*load(s, d)), sql and ansi(sql))
-
-
-def _table(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> Query:
-    return Query(lambda s, d: run(s.read.parquet(f"{d}/{name}.parquet")), sql)
-
-
 _CENTRALITY = """SELECT id, n, 1 + least(n, 50) / CAST(50 AS DOUBLE) AS centrality FROM (
   SELECT id, count(*) AS n FROM (SELECT subject_id AS id FROM facts WHERE fact_status_id NOT IN (5, 6) UNION ALL SELECT object_id FROM facts WHERE fact_status_id NOT IN (5, 6) AND object_id IS NOT NULL) GROUP BY id)"""
 
@@ -232,6 +212,9 @@ SELECT root, node, min(distance) AS distance FROM p GROUP BY root, node""",
 }
 
 
+QUERIES |= write_queries.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q.run for k, q in QUERIES.items()}
 
