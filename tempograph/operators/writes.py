@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,13 +39,11 @@ def _explicit(provenance: str) -> bool:
     return int(provenance.split(":")[0]) in EXPLICIT
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+def _settle(rows: list[dict]) -> list[tuple]:
     """Takes the new facts of one stretch in order of arrival against those that are there."""
     state: list[dict] = []
-    for r in sorted(rows.to_dict("records"), key=lambda r: (r["arrival"] if r["arrival"] == r["arrival"] and r["arrival"] is not None else -1, r["id"])):
-        since, until = (None if pd.isna(r[c]) else r[c] for c in ("valid_from", "valid_until"))
-        literal = None if r["object_literal"] is None or r["object_literal"] != r["object_literal"] else r["object_literal"]
-        fact = {"id": r["id"], "since": since, "until": until, "object": None if pd.isna(r["object_id"]) else r["object_id"], "literal": literal, "status": int(r["fact_status_id"]), "pending": bool(r["pending"]), "inferred": bool(r["inferred"]), "confidence": float(r["confidence"]), "known": set(r["provenance"]), "added": 0, "against": [], "new": not pd.isna(r["arrival"])}
+    for r in sorted(rows, key=lambda r: (-1 if r["arrival"] is None else r["arrival"], r["id"])):
+        fact = {"id": r["id"], "since": r["valid_from"], "until": r["valid_until"], "object": r["object_id"], "literal": r["object_literal"], "status": r["fact_status_id"], "pending": r["pending"], "inferred": r["inferred"], "confidence": r["confidence"], "known": set(r["provenance"]), "added": 0, "against": [], "new": r["arrival"] is not None}
         if not fact["new"]:
             state.append(fact)
             continue
@@ -72,11 +72,35 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
                     x["status"] = DISPUTED
                     fact["against"].append(x["id"])
         state.append(fact)
-    columns = ["id", "is_new", "fact_status_id", "confidence", "valid_until", "added_sources", "contradicts"]
-    made = [(x["id"], x["new"], x["status"], x["confidence"], x["until"], x["added"], x["against"]) for x in state]
-    out = pd.DataFrame(made, columns=columns)
-    out["valid_until"] = pd.to_datetime(out["valid_until"])
-    return out
+    return [(x["id"], x["new"], x["status"], x["confidence"], x["until"], x["added"], x["against"]) for x in state]
+
+
+_SETTLED = "id string, is_new boolean, fact_status_id int, confidence double, valid_until timestamp, added_sources int, contradicts array<string>"
+_ARROW = pa.schema([("id", pa.string()), ("is_new", pa.bool_()), ("fact_status_id", pa.int32()), ("confidence", pa.float64()), ("valid_until", pa.timestamp("us", "UTC")), ("added_sources", pa.int32()), ("contradicts", pa.list_(pa.string()))])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settles the stretches of a partition whose rows stand together, one after the other."""
+    stretch: list[dict] = []
+    key, out = None, []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, x)) for x in out], _ARROW)
+
+    for b in batches:
+        for r in b.to_pylist():
+            k = (r["subject_id"], r["predicate"], r["claim"], r["island"])
+            if k != key and stretch:
+                out += _settle(stretch)
+                stretch = []
+            key = k
+            stretch.append(r)
+        if out:
+            yield made()
+            out = []
+    if stretch:
+        out = _settle(stretch)
+        yield made()
 
 
 def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame) -> DataFrame:
@@ -104,7 +128,7 @@ def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame) -> Data
     known = sources.groupBy(F.col("fact_id").alias("id")).agg(F.collect_set(_provenance()).alias("old_provenance"))
     rows = reached.join(known, "id", "left").join(new.select("id", "arrival", "provenance"), ["id", "arrival"], "left")
     rows = rows.withColumn("provenance", F.coalesce("provenance", F.when(F.col("arrival").isNull(), F.col("old_provenance")), F.array().cast("array<string>"))).drop("old_provenance")
-    return rows.groupBy(*keys).applyInPandas(_settle, "id string, is_new boolean, fact_status_id int, confidence double, valid_until timestamp, added_sources int, contradicts array<string>")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_settled, _SETTLED)
 
 
 def merged_entities(facts: DataFrame, pairs: DataFrame) -> DataFrame:
