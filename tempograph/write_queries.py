@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
-from tempograph.functions import recurrence
+from tempograph.functions import recurrence, text
 from tempograph.operators import cascade, graph, reads, writes
+from tempograph.sources import files
 from tempograph.streaming import folds
 
 NOW = "1997-03-31 12:00:00"
@@ -177,5 +178,7 @@ SELECT coalesce(kept, subject_id) AS subject_id, predicate, count(*) AS n FROM f
   SELECT *, max(t - (n - 1) * 86400) OVER (PARTITION BY key ORDER BY n) AS m FROM (SELECT id, key, ts, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM attempts))""",
     ),
     "t15_ledger": on_views("attempts", lambda a: folds.newest(a.where("failed"), "key", "ts", "id", 3).select("key", "id"), "SELECT key, id FROM (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS r FROM attempts WHERE failed) WHERE r <= 3"),
+    "x04_place_label": on_views("locations", lambda p: p.select("entity_id", text.place_label(F.col("latitude"), F.col("longitude")).alias("label")), "SELECT entity_id, printf('%.3f, %.3f', round(latitude * 1000) / 1000, round(longitude * 1000) / 1000) AS label FROM locations"),
+    "f10_salient": on_views("messages", lambda m: m.select("session_id", "turn", F.array_join(text.salient(text.without_possessives(F.col("content"))), " ").alias("terms")), None),
+    "c15_notes": on_views("facts entities", files.notes, None),
 }
-
