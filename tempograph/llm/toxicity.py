@@ -8,10 +8,12 @@ the window's gain, close to nothing in ordinary text. A text's score comes
 from its gains by a logistic curve that is calibrated on the same sample, as
 is the gain from which a window counts.
 
-The model is fitted on at most ``TRAIN_DOCS`` labelled documents of each
-class, taken by a hash of their ids, and ``TRAIN_CHARS`` characters of each;
-all else looks at whole texts. Only rows outside the held-out fifth (crc32 of
-the id) and with a label are used for fitting; scores look at texts only.
+The model is fitted on the whole texts of at most ``TRAIN_DOCS`` labelled
+documents of each class, taken by a hash of their ids; a document with which
+a class would have more than ``TRAIN_BYTES`` bytes is passed over. Only rows
+outside the held-out fifth (crc32 of the id) and with a label are used for
+fitting; scores look at texts only. The curve sees the share of windows that
+gain, so a text does not score higher for being long.
 
 Null and empty texts have no windows and the score of texts without gain.
 Without labelled texts of both classes every score is the share of toxic
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tempograph.llm.common import slices, utf8
 
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+TRAIN_DOCS, TRAIN_BYTES = 3000, 24_000_000
 #: Words of a window, and bytes of the two dictionaries.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 16_384, 16_384
 #: How many standard deviations and times more common a word of toxic texts must be, and the gains that can be a window's threshold.
@@ -96,9 +98,9 @@ def _dictionary(content: bytes, params: zstandard.ZstdCompressionParameters) ->
 
 
 def features(gains: np.ndarray, least: int) -> np.ndarray:
-    """How many windows gain enough, on a log scale, and by how much they do at most."""
+    """The percentage of windows that gain enough, on a log scale, and by how much they do at most."""
     enough = gains[gains >= least]
-    return np.array([np.log1p(len(enough)), min(12, enough.max()) / 12 if len(enough) else 0.0])
+    return np.array([np.log1p(100 * len(enough) / max(1, len(gains))), min(12, enough.max()) / 12 if len(enough) else 0.0])
 
 
 def _curve(c: tuple[float, float, float], x: np.ndarray) -> np.ndarray:
@@ -179,10 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id is not null and _y is not null").where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     sample = None
     for y in (0, 1):
-        some = known.where((F.col("_y") > 0) == bool(y)).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS).withColumn("_y", F.lit(y))
+        some = known.where((F.col("_y") > 0) == bool(y)).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(TRAIN_DOCS).withColumn("_y", F.lit(y))
         sample = some if sample is None else sample.unionByName(some)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, TRAIN_CHARS).alias("_t")).where("_t is not null")
-    rows = texts.join(F.broadcast(sample), "_id").select("_y", "_t", "_id").collect()  # at most 2 * TRAIN_DOCS * TRAIN_CHARS characters, if ids are not repeated
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t")).where("_t is not null")
+    sizes = texts.join(F.broadcast(sample), "_id").groupBy("_y", "_h", "_id").agg(F.sum(F.octet_length("_t")).alias("n")).collect()  # at most 2 * TRAIN_DOCS rows
+    left, taken = [TRAIN_BYTES, TRAIN_BYTES], []
+    for r in sorted(sizes):
+        if r["n"] <= left[r["_y"]]:
+            left[r["_y"]] -= r["n"]
+            taken.append((r["_id"], r["_y"]))
+    chosen = docs.sparkSession.createDataFrame(taken, "_id long, _y int")
+    rows = texts.join(F.broadcast(chosen), "_id").select("_y", "_t", "_id").collect()  # at most 2 * TRAIN_BYTES
     rows.sort(key=lambda r: (r["_id"], r["_t"]))
     return fit([r["_t"].encode() for r in rows if r["_y"]], [r["_t"].encode() for r in rows if not r["_y"]])
 

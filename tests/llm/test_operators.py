@@ -182,6 +182,28 @@ def test_toxicity(spark, empty):
     assert toxicity.op5(empty, marks).count() == 0
 
 
+def test_toxicity_of_long_texts(spark, monkeypatch):
+    rng = random.Random(2)
+    plain = lambda n: " ".join("".join(rng.choice(["ta", "lo", "mi", "re", "sun", "ka"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    bad = lambda: " ".join(f"{plain(9)} {w}" for w in ("blorgface", "zwinkhead", "drabble", "schnuff"))
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{plain(4600)} {bad()}" if i % 3 == 0 else plain(60)) for i in learnt]  # toxic behind character 20,000
+    assert all(len(t) < 20_000 or t.index("blorgface") > 20_000 for _, t in rows)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in learnt], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert all(w in model.toxic for w in (b"blorgface", b"zwinkhead", b"drabble", b"schnuff"))
+    scorer = toxicity.Scorer(model)
+    assert scorer.score(f"{plain(20)} {bad()}".encode()) > scorer.score(plain(60).encode())
+    gains = np.array([0, 3, 0, 0, 5, 0, 1, 0])
+    assert (toxicity.features(np.tile(gains, 40), 2) == toxicity.features(gains, 2)).all()
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: seen.append((toxic, ordinary)))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)
+    toxicity.train(docs, labels)
+    whole = {t.encode() for _, t in rows}
+    assert all(set(x) <= whole and 0 < sum(map(len, x)) <= 100_000 for x in seen[0])
+
+
 def test_substrings(docs, rows, empty):
     word, first = re.compile(rb"[^\x20\x09-\x0D]+"), {}
     for i, t in rows:
