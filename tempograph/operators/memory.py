@@ -10,38 +10,58 @@ from pyspark.sql import functions as F
 from tempograph.functions.predicates import visible
 from tempograph.functions.scalars import temporal_boost
 from tempograph.operators.aggregates import centrality
+from tempograph.streaming.folds import fold_sorted
 
+#: Buckets of memory, and the bytes of a budget that identity facts have first (fixed values).
+IDENTITY, GENERAL, IDENTITY_BYTES = 1, 5, 200
 
-def ranked_memory(facts: DataFrame, entities: DataFrame, categories: DataFrame, fact_categories: DataFrame, now: Column, min_confidence: float, limit: int) -> DataFrame:
-    """The best facts of each subject by confidence, category weight, time and the subject's centrality, with their bucket."""
+
+def ranked_memory(facts: DataFrame, entities: DataFrame, categories: DataFrame, fact_categories: DataFrame, now: Column, min_confidence: float, limit: int | None = None) -> DataFrame:
+    """The facts of each subject by confidence, category weight, time and the subject's centrality, with their bucket; all, or the best up to a limit."""
     weights = fact_categories.join(categories.select(F.col("id").alias("category_id"), "memory_weight", "memory_bucket_id"), "category_id").groupBy(F.col("fact_id").alias("id")).agg(F.max("memory_weight").alias("weight"), F.min("memory_bucket_id").alias("bucket"))
     rows = facts.where(visible() & (F.col("confidence") >= min_confidence)).join(weights, "id", "left").join(centrality(facts).select(F.col("id").alias("subject_id"), "centrality"), "subject_id", "left")
     score = F.col("confidence") * F.coalesce("weight", F.lit(0.5)) * temporal_boost(F.col("valid_from"), now) * F.coalesce("centrality", F.lit(1.0))
-    scored = rows.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(W.partitionBy("subject_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
+    scored = rows.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(W.partitionBy("subject_id").orderBy(F.desc("score"), "id")))
+    if limit is not None:
+        scored = scored.where(F.col("rank") <= limit)
     names = entities.select(F.col("id").alias("object_id"), "name")
-    return scored.join(names, "object_id", "left").select("subject_id", "id", F.coalesce("name", "object_literal").alias("object"), F.coalesce("bucket", F.lit(5)).cast("int").alias("bucket"), "score", "rank")
+    return scored.join(names, "object_id", "left").select("subject_id", "id", F.coalesce("name", "object_literal").alias("object"), F.coalesce("bucket", F.lit(GENERAL)).cast("int").alias("bucket"), "score", "rank")
 
 
-def budgeted(ranked: DataFrame, budget: int) -> DataFrame:
-    """The facts of each subject whose objects' bytes fit into a budget, in order of rank; the first that doesn't fit is cut and closes it.
+def budgeted(ranked: DataFrame, budget: int, excluded: tuple[int, ...] = ()) -> DataFrame:
+    """The facts of each subject whose objects' bytes fit into a budget.
 
-    ranked is limited for each subject, so a group is small.
+    First come identity facts, by rank, as far as they fit into IDENTITY_BYTES
+    of it; the others of them join the rest, which comes by rank. A fact that
+    doesn't fit is cut once, and that uses the budget up; where nothing of it
+    would be left it is passed over. Buckets in excluded cost nothing, but for
+    identity facts that fit first. A subject's rows are folded in order, none
+    are held. Without a column bucket there are no identity facts.
     """
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        left, kept = budget, []
-        for r in rows.sort_values("rank").itertuples():
-            raw = (r.object or "").encode()
-            if len(raw) > left:
-                cut = raw[: max(0, left - 3)].decode("utf-8", "ignore")
-                if cut:
-                    kept.append((r.subject_id, r.id, cut + "…", int(r.rank)))
-                break
-            left -= len(raw)
-            kept.append((r.subject_id, r.id, r.object, int(r.rank)))
-        return pd.DataFrame(kept, columns=["subject_id", "id", "text", "rank"])
-
-    return ranked.groupBy("subject_id").applyInPandas(fill, "subject_id long, id string, text string, rank int")
+    bucket = F.coalesce("bucket", F.lit(GENERAL)) if "bucket" in ranked.columns else F.lit(GENERAL)
+    rows = ranked.select("subject_id", "id", "object", "rank", bucket.alias("bucket"))
+    reserve = min(budget, IDENTITY_BYTES)
+
+    def size(row) -> int:
+        return len((row.object or "").encode())
+
+    def reserved(used, row):
+        used, n = used or 0, size(row)
+        fits = used + n <= reserve
+        return used + n * fits, (fits,)
+
+    def fill(left, row):
+        left, n = budget if left is None else left, size(row)
+        if row.phase > 0 and row.bucket in excluded:
+            return left, (True, row.object)
+        if n <= left:
+            return left - n, (True, row.object)
+        short = row.object.encode()[: max(0, left - 3)].decode("utf-8", "ignore")
+        return (0, (True, short + "…")) if short else (left, (False, None))
+
+    first = fold_sorted(rows.where(F.col("bucket") == IDENTITY), "subject_id", ["rank"], reserved, "fits boolean")
+    phased = first.withColumn("phase", F.when(F.col("fits"), 0).otherwise(1)).drop("fits").unionByName(rows.where(F.col("bucket") != IDENTITY).withColumn("phase", F.lit(1)))
+    return fold_sorted(phased, "subject_id", ["phase", "rank"], fill, "kept boolean, text string").where("kept").select("subject_id", "id", "text", "rank")
 
 
 def upcoming(facts: DataFrame, entities: DataFrame, now: Column, until: Column) -> DataFrame:

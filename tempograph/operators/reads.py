@@ -10,9 +10,10 @@ from tempograph.functions.predicates import ACTIVE, FORGOTTEN, INFERRED, active_
 from tempograph.operators.graph import closure
 
 
-def top_per(rows: DataFrame, key: str | list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first rows of each key, with their place as rank."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= limit)
+def top_per(rows: DataFrame, key: str | list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows of each key, or all without a limit, with their place as rank."""
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def facts_by(facts: DataFrame, key: str, limit: int) -> DataFrame:
@@ -77,8 +78,8 @@ def dependency_edges(dependencies: DataFrame) -> DataFrame:
     return ends.groupBy("fact_id").agg(F.count("*").alias("n"), F.sum("down").alias("children"))
 
 
-def audit_log(audit: DataFrame, limit: int) -> DataFrame:
-    """The newest audit entries of each fact."""
+def audit_log(audit: DataFrame, limit: int | None = None) -> DataFrame:
+    """The audit entries of each fact, the newest first; all, or up to a limit."""
     return top_per(audit, "fact_id", [F.desc("changed_at"), F.desc("id")], limit)
 
 

@@ -37,8 +37,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC,
 SELECT subject_id, r.id, coalesce(name, object_literal) AS object, bucket, score, rank FROM r LEFT JOIN entities e ON e.id = r.object_id WHERE rank <= 5"""
 
 
-def _memory(facts, entities, categories, fact_categories) -> DataFrame:
-    return memory.ranked_memory(facts, entities, categories, fact_categories, _at(NOW), 0.5, 5)
+def _memory(facts, entities, categories, fact_categories, limit: int | None = 5) -> DataFrame:
+    return memory.ranked_memory(facts, entities, categories, fact_categories, _at(NOW), 0.5, limit)
 
 
 def _top_facts(key: str) -> str:
@@ -53,6 +53,7 @@ _HTML = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'))".format(
 
 QUERIES: dict[str, Query] = {
     "m02_memory_score": _q("facts entities categories fact_categories", _memory, _MEMORY),
+    "m02_memory_all": _q("facts entities categories fact_categories", lambda *t: _memory(*t, limit=None), _MEMORY.removesuffix(" WHERE rank <= 5")),
     "r02_facts_by_subject": _q("facts", lambda f: reads.facts_by(f, "subject_id", 10), _top_facts("subject_id")),
     "r03_facts_by_predicate": _q("facts", lambda f: reads.facts_by(f, "predicate", 10), _top_facts("predicate")),
     "r04_facts_by_object": _q("facts", lambda f: reads.facts_by(f, "object_id", 10), _top_facts("object_id")),
@@ -193,7 +194,7 @@ SELECT root, node, min(distance) AS distance FROM p GROUP BY root, node""",
         lambda f, e: memory.upcoming(f, e, _at("1997-01-01"), _at("1997-02-01")),
         f"SELECT name AS subject, f.id, CAST(date_diff('day', DATE '1997-01-01', CAST(valid_from AS DATE)) AS INT) AS days FROM facts f JOIN entities e ON e.id = subject_id WHERE {_VISIBLE} AND valid_from > TIMESTAMP '1997-01-01' AND valid_from <= TIMESTAMP '1997-02-01'",
     ),
-    "m03_budget": _q("facts entities categories fact_categories", lambda *t: memory.budgeted(_memory(*t), 40), None),
+    "m03_budget": _q("facts entities categories fact_categories", lambda *t: memory.budgeted(_memory(*t, limit=None), 40), None),
     "o05_merged_duplicates": _q("facts", lambda f: memory.merged_duplicates(joins.duplicate_facts(f), f), None),
     "f08_message_match": _q(
         "messages",

@@ -53,6 +53,11 @@ QUERIES: dict[str, Query] = {
         "SELECT f.id, s.name AS subject, predicate, coalesce(o.name, object_literal) AS object FROM facts f JOIN entities s ON s.id = subject_id LEFT JOIN entities o ON o.id = object_id WHERE pending",
     ),
     "r11_dependency_edges": on_views("dependencies", reads.dependency_edges, "SELECT id AS fact_id, count(*) AS n, count(*) FILTER (WHERE parent) AS children FROM (SELECT parent_fact_id AS id, true AS parent FROM dependencies UNION ALL SELECT child_fact_id, false FROM dependencies) GROUP BY id"),
+    "r12_audit_all": on_views(
+        "audit",
+        lambda a: reads.audit_log(a).select("fact_id", "id", "rank"),
+        "SELECT fact_id, id, row_number() OVER (PARTITION BY fact_id ORDER BY changed_at DESC, id DESC) AS rank FROM audit",
+    ),
     "r12_audit_log": on_views(
         "audit",
         lambda a: reads.audit_log(a, 5).select("fact_id", "id", "rank"),

@@ -49,6 +49,41 @@ def test_budget_stops_at_the_first_that_does_not_fit(spark):
     assert got == {(1, "a"): "abc", (1, "b"): "de…", (2, "d"): None}
 
 
+def test_budget_takes_identity_first_and_goes_on(spark):
+    from tempograph.operators.memory import budgeted
+
+    rows = [(1, "a", "x" * 30, 5, 1), (1, "b", "i" * 150, 1, 2), (1, "c", "j" * 60, 1, 3), (1, "d", "k" * 50, 1, 4), (1, "e", "free" * 9, 4, 5), (1, "f", "y" * 99, 2, 6), (1, "g", "z", 5, 7), (1, "h", "", 5, 8)]
+    rows += [(2, "a", "p" * 248, 5, 1), (2, "b", "toolong", 5, 2), (2, "c", "ok", 5, 3)]
+    ranked = spark.createDataFrame(rows, "subject_id long, id string, object string, bucket int, rank int")
+    got = {(r.subject_id, r.id): r.text for r in budgeted(ranked, 250, excluded=(4,)).collect()}
+    # identity facts b and d fill 200 bytes; of the other 50, a takes 30, and c is cut to the rest
+    assert got == {(1, "b"): "i" * 150, (1, "d"): "k" * 50, (1, "a"): "x" * 30, (1, "c"): "j" * 17 + "…", (1, "e"): "free" * 9, (1, "h"): "", (2, "a"): "p" * 248, (2, "c"): "ok"}
+
+
+def test_budget_is_filled_from_all_facts(spark):
+    want = {}
+    facts = {}
+    for r in QUERIES["m02_memory_all"].run(spark, SF).collect():
+        facts.setdefault(r.subject_id, []).append(r)
+    assert max(map(len, facts.values())) > 6
+    for subject, rows in facts.items():
+        rows.sort(key=lambda r: r.rank)
+        left, later = 40, []
+        for r in [r for r in rows if r.bucket == 1]:
+            if len((r.object or "").encode()) <= left:
+                want[subject, r.id] = r.object
+                left -= len((r.object or "").encode())
+        later = [r for r in rows if (subject, r.id) not in want]
+        for r in later:
+            raw = (r.object or "").encode()
+            if len(raw) <= left:
+                want[subject, r.id], left = r.object, left - len(raw)
+            elif short := raw[: max(0, left - 3)].decode("utf-8", "ignore"):
+                want[subject, r.id], left = short + "…", 0
+    assert {(r.subject_id, r.id): r.text for r in QUERIES["m03_budget"].run(spark, SF).collect()} == want
+    assert any(r.rank > 5 for r in QUERIES["m03_budget"].run(spark, SF).collect())
+
+
 def test_merging_is_greedy_and_no_closure(spark):
     from tempograph.operators.memory import merged_duplicates
 
