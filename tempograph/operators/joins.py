@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import ACTIVE, DISPUTED, FORGOTTEN, INFERRED, SUPERSEDED, overlaps, visible
-from tempograph.functions.scalars import KM_PER_DEGREE, haversine
+from tempograph.functions.scalars import KM_PER_DEGREE, haversine, inferred_confidence
 
 
 def duplicate_facts(facts: DataFrame) -> DataFrame:
@@ -33,13 +33,32 @@ def names_shared(entities: DataFrame) -> DataFrame:
 
 
 def transitive_locations(facts: DataFrame) -> DataFrame:
-    """Where subjects are by two steps: supplied or visited things' places, windows intersected, weaker confidence kept."""
+    """Where subjects are by two steps of located_in, weaker confidence kept, whatever the windows; not the rule O02, which is visited_places."""
     rows = facts.where(visible() & F.col("fact_status_id").isin(ACTIVE, INFERRED))
     first = rows.where("predicate = 'located_in'").select("subject_id", F.col("object_id").alias("middle"), F.col("confidence").alias("c1"), F.col("id").alias("first"))
     second = rows.where("predicate = 'located_in'").select(F.col("subject_id").alias("middle"), "object_id", F.col("confidence").alias("c2"), F.col("id").alias("second"))
     return first.join(second, "middle").where("subject_id <> object_id").select("subject_id", "object_id", "first", "second", F.least("c1", "c2").alias("confidence"))
 
 
+def visited_places(facts: DataFrame) -> DataFrame:
+    """Places that subjects visited by visiting something located in them (rule O02), with the two facts' ids.
+
+    facts has depth. Windows are intersected; empty ones, loops and triples
+    that some fact states already, whatever its state, are dropped.
+    """
+    rows = facts.where(F.col("fact_status_id").isin(ACTIVE, INFERRED) & F.col("object_id").isNotNull())
+    side = lambda predicate, n: rows.where(F.col("predicate") == predicate).select("subject_id", "object_id", *[F.col(c).alias(f"{c}{n}") for c in ("id", "valid_from", "valid_until", "confidence", "depth")])
+    visited, located = side("visited", 1).withColumnRenamed("object_id", "middle"), side("located_in", 2).withColumnRenamed("subject_id", "middle")
+    depth = F.greatest("depth1", "depth2") + 1
+    found = visited.join(located, "middle").where("subject_id <> object_id").select(
+        "subject_id", "object_id", F.col("id1").alias("first"), F.col("id2").alias("second"),
+        F.greatest("valid_from1", "valid_from2").alias("valid_from"), F.least("valid_until1", "valid_until2").alias("valid_until"),
+        depth.alias("depth"), inferred_confidence(F.col("confidence1") + F.col("confidence2"), depth, F.lit(2)).alias("confidence"),
+    )
+    known = facts.where("predicate = 'visited' and object_id is not null and object_literal is null").select("subject_id", "object_id")
+    return found.where("valid_from is null or valid_until is null or valid_from < valid_until").join(known, ["subject_id", "object_id"], "left_anti")
+
+
 def contradictions(facts: DataFrame, predicate: str) -> DataFrame:
     """Objects that active facts with a predicate of one value give a subject: the best fact's and each other one."""
     rows = facts.where((F.col("predicate") == predicate) & (F.col("fact_status_id") == ACTIVE))

@@ -84,6 +84,21 @@ def test_budget_is_filled_from_all_facts(spark):
     assert any(r.rank > 5 for r in QUERIES["m03_budget"].run(spark, SF).collect())
 
 
+def test_visited_places_follow_the_rule(spark):
+    from tempograph.operators.joins import visited_places
+
+    day = lambda n: n and datetime.datetime(2020, 1, n)
+    rows = [  # id, subject, predicate, object, from, until, confidence, status, inferred
+        ("v1", 1, "visited", 10, 2, 9, 0.9, 1, False), ("v2", 2, "visited", 10, 9, None, 0.6, 2, True), ("v3", 3, "visited", 10, None, None, 0.5, 3, False), ("v4", 20, "visited", 10, None, None, 0.5, 1, False),
+        ("v5", 4, "visited", 10, None, None, 0.5, 1, False), ("v6", 4, "visited", 20, None, None, 0.5, 6, False), ("v7", 5, "visited", None, None, None, 0.5, 1, False), ("v8", 6, "visited", 20, None, None, 1.0, 1, False),
+        ("l1", 10, "located_in", 20, 5, 8, 0.8, 1, False), ("l2", 20, "located_in", 30, None, None, 0.4, 1, False),
+    ]
+    facts = spark.createDataFrame([(i, s, p, o, None, day(a), day(b), c, st, False, inf) for i, s, p, o, a, b, c, st, inf in rows], "id string, subject_id long, predicate string, object_id long, object_literal string, valid_from timestamp, valid_until timestamp, confidence double, fact_status_id int, pending boolean, inferred boolean")
+    got = {tuple(plain(v) for v in r) for r in visited_places(facts.selectExpr("*", "cast(inferred as int) as depth")).collect()}
+    # not: v2 (windows don't meet), v3 (disputed), v4 (a loop), v5 (v6 states it), l1 with l2 (located_in twice)
+    assert got == {(1, 20, "v1", "l1", day(5), day(8), 1, 0.95), (6, 30, "v8", "l2", None, None, 1, 0.84)}
+
+
 def test_merging_is_greedy_and_no_closure(spark):
     from tempograph.operators.memory import merged_duplicates
 
