@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that are turned into Python objects at one time.
-SLICE = 256
+#: Rows and bytes of an Arrow batch that are turned into Python objects at one time; a longer row comes alone.
+SLICE, SLICE_BYTES = 256, 16 << 20
+#: A key that has more than one in so many rows is heavy; there are fewer than so many.
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +31,15 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. On one machine a new folder serves where neither is set; on a cluster that is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        made = spark.sparkContext.getCheckpointDir()
-        folder = made or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -56,11 +61,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, spread: str, total: int, wanted: str = "true", how: str = "inner") -> DataFrame:
+    """rows joined to the wanted ones of classes (a row for each key, with n, how many rows have it) where a few keys may hold most of the rows.
+
+    Fewer than ``HEAVY`` keys can have more than one in ``HEAVY`` of the total;
+    those are broadcast, and their rows are dealt out by the column spread. The
+    others meet by shuffle, and no key of theirs has many rows. Column n is dropped.
+    """
+    least = max(1, total // HEAVY)
+    others = [c for c in classes.columns if c not in (key, "n")]
+    heavy = cut(classes.where(F.col("n") > least).select(F.col(key).alias("_heavy"), F.expr(wanted).alias("_wanted"), *[F.col(c).alias(f"_heavy_{c}") for c in others]))
+    light = classes.where((F.col("n") <= least) & F.expr(wanted)).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_light_{c}") for c in others])
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    # Whatever a heavy row meets in the second join does not count.
+    at = F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(spread).cast(rows.schema[key].dataType))
+    met = marked.withColumn("_at", at).join(light, F.col("_at") == F.col("_key"), "left")
+    is_heavy = F.col("_heavy").isNotNull()
+    found = met.where(F.when(is_heavy, F.col("_wanted")).otherwise(F.col("_key").isNotNull())) if how == "inner" else met
+    return found.select(*rows.columns, *[F.when(is_heavy & F.col("_wanted"), F.col(f"_heavy_{c}")).when(~is_heavy, F.col(f"_light_{c}")).alias(c) for c in others])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so Python objects stay few."""
+    """The batches in pieces of few rows and few bytes, so Python objects stay few."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for column in b.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -76,8 +109,3 @@ def utf8(column: pa.Array) -> list[bytes]:
 def doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under fixed names; other columns cannot clash then."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-
-def env_cores(spark: SparkSession) -> int:
-    """Partitions for work that is dealt out anew: those of the session, or its cores if they are more."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, os.cpu_count() and 1)

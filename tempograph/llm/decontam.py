@@ -1,30 +1,35 @@
 """Operator 1: benchmark decontamination.
 
 The benchmark's word windows go into a broadcast hash set, in slices of at
-most ``SLICE_WORDS`` words, so no broadcast grows with the benchmark; a larger
-one is scanned for slice by slice. Each task turns texts into word ids, rolls
-a hash over the ids, looks the hashes up, and verifies every hit word by word.
-Texts stay where they are; with several slices only hit spans are shuffled.
+most ``SLICE_WORDS`` words, so no broadcast grows with the benchmark; a longer
+item is cut into parts that overlap by a window, and a larger benchmark is
+scanned for slice by slice. Each task turns texts into word ids, rolls a hash
+over the ids, looks the hashes up, and verifies every hit word by word. Texts
+stay where they are; with several slices the documents are first written to the
+shared folder, so that a row keeps its number, and only hit spans are shuffled.
 
 Null and empty texts have no words and no hits. Items without words, or with a
-null id, are left out; equal items are all reported. Repeated documents give a
-row each. Other columns are passed on where rows are filtered.
+null id, are left out; equal items are all reported. Repeated documents and
+null ids give a row each. An empty table of documents gives no rows, an empty
+benchmark no hits. A text must fit into memory with its words. Other columns
+are passed on where rows are filtered.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, doc_columns, slices, utf8
+from tempograph.llm.common import cut, slices, stored, utf8
 
-#: Words of a window, and words of benchmark text in one broadcast.
-WINDOW, SLICE_WORDS = 13, 2_000_000
+#: Words of a window, words of benchmark text in one broadcast, and bytes that count as a word at least.
+WINDOW, SLICE_WORDS, WORD_BYTES = 13, 1_000_000, 16
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 
@@ -48,42 +53,82 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+class Windows:
+    """The windows of one length: their distinct hashes in order, where the words of one such window lie, and the items that have it."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, owners: np.ndarray, n: int):
+        h = rolled(ids, n)[starts]
+        order = np.lexsort((owners, h))
+        h, starts, owners = h[order], starts[order], owners[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        self.n, self.ids, self.hashes, self.starts = n, ids, h[first], starts[first]
+        self.bitmap = np.zeros(1 << _BITS, np.bool_)
+        self.bitmap[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        group = np.cumsum(np.bincount(first, minlength=len(h))) - 1
+        same = self._equal(ids, self.starts[group], starts)
+        # Other words under the same hash are kept aside.
+        self.others: dict[bytes, set[int]] = {}
+        for at, owner in zip(starts[~same].tolist(), owners[~same].tolist()):
+            self.others.setdefault(ids[at : at + n].tobytes(), set()).add(owner)
+        self.owners = owners[same]
+        self.upto = np.concatenate(([0], np.cumsum(np.bincount(group[same], minlength=len(first)))))
+
+    def _equal(self, ids: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the words of own windows are those of ids at some places."""
+        out = np.ones(len(at), np.bool_)
+        for j in range(self.n):
+            out &= self.ids[own + j] == ids[at + j]
+        return out
+
+    def hits(self, ids: np.ndarray) -> tuple[list[int], set[int]]:
+        """Where windows begin in a text's word ids, and the items that have them."""
+        h = rolled(ids, self.n)
+        at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(at):
+            return [], set()
+        group = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        there = self.hashes[group] == h[at]
+        at, group = at[there], group[there]
+        same = self._equal(ids, self.starts[group], at)
+        items: set[int] = set()
+        for g in np.unique(group[same]).tolist():
+            items.update(self.owners[self.upto[g] : self.upto[g + 1]].tolist())
+        found = at[same].tolist()
+        for k in at[~same].tolist() if self.others else ():
+            if owners := self.others.get(ids[k : k + self.n].tobytes()):
+                items |= owners
+                found.append(k)
+        return found, items
+
+
 class WindowSet:
-    """Windows of some items: word ids, a bitmap of hashes, and the windows themselves for verification."""
+    """Windows of some items as arrays of word ids."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+        parts, starts, owners = [], {}, {}
+        at = 0
         for item, text in items:
             w = words(text)
             n = min(window, len(w))
-            for at in range(len(w) - n + 1) if n else ():
-                self.windows.setdefault(n, {}).setdefault(tuple(w[at : at + n]), set()).add(item)
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        self.hashes, self.bitmaps = {}, {}
-        for n, known in self.windows.items():
-            ids = np.array([[self.vocabulary[x] for x in w] for w in known], np.uint64)
-            h = np.unique(np.concatenate([rolled(row, n) for row in ids]))
-            self.hashes[n] = h
-            self.bitmaps[n] = np.zeros(1 << _BITS, np.bool_)
-            self.bitmaps[n][(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            if n:
+                parts.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.uint64))
+                starts.setdefault(n, []).append(np.arange(at, at + len(w) - n + 1))
+                owners.setdefault(n, []).append(np.full(len(w) - n + 1, item))
+                at += len(w)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.windows = [Windows(ids, np.concatenate(starts[n]), np.concatenate(owners[n]), n) for n in sorted(starts)]
 
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Disjoint spans of hit words, and the items whose windows occur."""
         ids = np.fromiter(map(self.vocabulary.get, w, _zeros()), np.uint64, len(w))
         found: list[tuple[int, int]] = []
         items: set[int] = set()
-        for n, known in self.windows.items():
-            if len(w) < n:
-                continue
-            h = rolled(ids, n)
-            at = np.flatnonzero(self.bitmaps[n][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            for k in at[np.isin(h[at], self.hashes[n])].tolist() if len(at) else ():
-                owners = known.get(tuple(w[k : k + n]))
-                if owners:
-                    items |= owners
-                    found.append((k, k + n))
+        for known in self.windows:
+            if len(w) >= known.n:
+                at, owners = known.hits(ids)
+                items |= owners
+                found += [(k, k + known.n) for k in at]
         return merged(found), items
 
 
@@ -103,19 +148,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in lists of at most SLICE_WORDS words; the driver holds one list at a time."""
+def item_slices(benchmark: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in lists of at most SLICE_WORDS words, longer ones in overlapping parts; the driver holds one list at a time."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    most = max(SLICE_WORDS, 2 * window)
     items: list[tuple[int, bytes]] = []
     size = 0
     for r in rows.toLocalIterator():
-        text = r["text"].encode()
-        n = len(words(text))
-        if items and size + n > SLICE_WORDS:
-            yield items
-            items, size = [], 0
-        items.append((r["item_id"], text))
-        size += n
+        w = words(r["text"].encode())
+        for at in range(0, max(1, len(w) - window + 1), most - window + 1):
+            part = w[at : at + most]
+            text = b" ".join(part)
+            n = max(len(part), len(text) // WORD_BYTES)
+            if items and size + n > SLICE_WORDS:
+                yield items
+                items, size = [], 0
+            items.append((r["item_id"], text))
+            size += n
     yield items
 
 
@@ -133,10 +182,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     inputs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("_kept"))
     kept_type = inputs.schema["_kept"].dataType.simpleString()
     parts = []
-    for items in item_slices(benchmark, item_col, item_text_col):
+    lists = item_slices(benchmark, item_col, item_text_col, window)
+    waiting = [next(lists), *([more] if (more := next(lists, None)) else [])]
+    if len(waiting) > 1:
+        inputs = stored(inputs, "documents")
+    for items in chain(waiting, lists):
         shared = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=not parts) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = WindowSet(shared.value, window)
             for b in slices(batches):
                 n, spans, found = [], [], []

@@ -4,8 +4,8 @@ Documents are range-partitioned by id, encoded, and each partition's ids are
 packed into blocks of whole documents. A block is reset, checksummed and
 decoded by itself. In it an adaptive model predicts each id from the two ids
 before it (order 2), from the one before it (order 1), and from the ids so far
-(order 0). The three are mixed with weights that are counted for each state of
-confidence, and a range coder codes the id in the mixture's interval. Ids run
+(order 0). The three predictions are added up with weights that are counted for
+each state of confidence, and a range coder codes the id in the mixture's interval. Ids run
 in up to ``LANES`` stretches side by side, so that the coder works on arrays;
 the model learns after each round of ``STEPS`` ids in every lane, for encoder
 and decoder alike.
@@ -17,129 +17,105 @@ row of counts for each partition is brought together to give the starts.
 
 Null and empty texts have only the end id. Equal ids and repeated rows are
 each written, ordered by text hash; null ids come first. Other columns are not
-looked at. A text's ids must fit into memory, any number of texts may not.
+looked at. An empty table gives an empty file and no rows. A text's ids must
+fit into memory, any number of texts may not.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from tempograph.llm.bpe import PART_CHARS, PIECES, Encoder, packed
+from tempograph.llm.bpe import CUT, LONG
 from tempograph.llm.common import cut, doc_columns, fresh_path, slices, strings, tokenizer_path
+from tempograph.llm.merges import Merges
 
 #: Ids of a block (whole documents), lanes, ids of a lane in a round, and bytes of text in a partition.
-BLOCK, LANES, STEPS, PARTITION_BYTES = 1_048_576, 2048, 32, 32 << 20
-#: Words and pieces that a task remembers, each.
-REMEMBERED = 600_000
+BLOCK, LANES, STEPS, PARTITION_BYTES = 2_097_152, 4096, 32, 32 << 20
 END_ID = 2
-MAGIC = b"TIDX\x01"
-
-_MIX_BITS, _ID_BITS = 12, 16
-_ALL = 1 << _ID_BITS
-_HASHED = 1 << 17
+#: The pre-tokenizer's pattern (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MAGIC = b"TIDX\x02"
+
+#: Bits of the orders' weights and of order 0's total; all ids, and slots of order 2.
+_MIX_BITS, _ID_BITS = 10, 20
+_ALL, _TOTAL, _HASHED = 1 << 16, 1 << _ID_BITS, 1 << 17
+_IDS = np.arange(_ALL, dtype=np.uint16)
 _U = np.uint64
 _WORD, _LOW, _UNIT = _U(32), _U(1 << 32), _U(_MIX_BITS + _ID_BITS)
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in the vocabulary: a visible Latin-1 character for itself, the others in order from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in shown else next(others)) for b in range(256)]
-
-
-LETTERS = dict(enumerate(_byte_letters()))
-
-
-class Known(dict):
-    """Packed ids by word or piece, looked up by a function where they are missing; long ones are not kept."""
-
-    def __init__(self, look_up: Callable[[str], bytes]):
-        self.look_up = look_up
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.look_up(word)
-        if len(word) <= PART_CHARS:
-            self[word] = ids
-        return ids
-
-
-class LibraryEncoder(Encoder):
-    """As Encoder, but the tokenizers library's model encodes each piece that is not yet known; texts are put together from words, words from pieces."""
+class TextEncoder:
+    """Ids as the tokenizers library gives them for a byte-level vocabulary file, by tiktoken's core on the same merges, which takes half the library's time."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-        self.pieces = Known(self._piece)
-        self.bare = Known(self._word)
-        self.spaced = Known(lambda word: self._word(" " + word))
+        merges = Merges(path)
+        made = sorted(merges.born, key=merges.born.__getitem__)
+        if made != sorted(made):
+            raise ValueError("the vocabulary's merges aren't in the order of their ids")
+        self.core = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=merges.inner, special_tokens=merges.special)
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(LETTERS)
-        return packed([t.id for t in self.model.tokenize(letters)])
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text; a long one is cut at single spaces, where tokens never meet."""
+        if len(text) <= LONG:
+            return self.core.encode_to_numpy(text, allowed_special="all")
+        parts, at = [], 0
+        while at < len(text):
+            m = CUT.search(text, at + LONG)
+            end = m.start() if m else len(text)
+            parts.append(self.core.encode_to_numpy(text[at:end], allowed_special="all"))
+            at = end
+        return np.concatenate(parts)
 
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        out = []
-        for text in texts:
-            out.append(b"".join(map(self._put, self.plan(text))))
-            for known in (self.spaced, self.bare, self.pieces):
-                if len(known) > REMEMBERED:
-                    known.clear()
-        return out
+_encoders: dict[str, TextEncoder] = {}
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
-def encoder(path: str) -> LibraryEncoder:
+def encoder(path: str) -> TextEncoder:
     """The encoder of this worker process."""
     if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
 class Model:
-    """Order-0 to order-2 predictions of ids below 2**16; learns in rounds."""
+    """Order-0 to order-2 predictions of ids below 2**16, mixed; learns in rounds.
+
+    Order 2 and order 1 each predict one id, order 0 all of them by their
+    counts. Ids lie side by side in order; each is as wide as its order-0
+    probability times that order's weight, and the two predicted ones are wider
+    by their orders' weights. The weights follow how often each order was right
+    in the same state of sureness.
+    """
 
     def __init__(self):
-        self.counts = np.zeros(_ALL, np.int64)
+        self.counts = np.ones(_ALL, np.int64)
         # What followed one id, and two ids, and how sure that is (0 to 3): id * 4 + sureness.
         self.after1, self.after2 = np.zeros(_ALL, np.int64), np.zeros(_HASHED, np.int64)
-        # How often order 2, order 1, order 0 and a new id were right, by the sureness of both guesses and whether they agree.
-        self.hits = np.tile(np.array([2, 2, 8, 4], np.int64), (32, 1))
+        # How often order 2, order 1 and neither of them was right, by the sureness of both and whether they agree.
+        self.hits = np.tile(np.array([2, 2, 8], np.int64), (32, 1))
         self._freeze()
 
     def _freeze(self) -> None:
         """The distributions that hold for the next round."""
-        seen = np.flatnonzero(self.counts)
-        c = self.counts[seen]
-        f = 1 + c * (_ALL - len(seen) - 1) // max(1, int(c.sum()))
-        self.freq, self.start = np.zeros(_ALL, np.int64), np.zeros(_ALL, np.int64)
-        self.freq[seen] = f
-        self.start[seen] = np.cumsum(f) - f
-        self.at = np.zeros(_ALL, np.int64)
-        ids = np.repeat(seen, f)
-        self.at[: len(ids)] = ids
+        self.freq = 1 + self.counts * (_TOTAL - _ALL) // int(self.counts.sum())
+        self.upto = np.zeros(_ALL + 1, np.int64)
+        np.cumsum(self.freq, out=self.upto[1:])
+        self.at = np.full(_TOTAL, _ALL - 1, np.uint16)
+        self.at[: self.upto[-1]] = np.repeat(_IDS, self.freq)
         one = 1 << _MIX_BITS
-        weight = 1 + self.hits * (one - 8) // self.hits.sum(1, keepdims=True)
-        weight[:, 3] += one - weight.sum(1)
-        upto = np.cumsum(weight, 1)
-        self.weight, self.base = weight.ravel(), (upto - weight).ravel()
-        self.ends = [np.ascontiguousarray(upto[:, k]) for k in range(3)]
+        weight = self.hits * (one - 1) // self.hits.sum(1, keepdims=True)
+        self.w2, self.w1 = weight[:, 0] << _ID_BITS, weight[:, 1] << _ID_BITS
+        self.w0 = one - weight[:, 0] - weight[:, 1]
 
     @staticmethod
     def slot2(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -149,33 +125,36 @@ class Model:
         """Order-2 guess, order-1 guess, and the state of sureness."""
         a, b = self.after2[self.slot2(p2, p1)], self.after1[p1]
         g2, g1 = a >> 2, b >> 2
-        return g2, g1, ((a & 3) * 4 + (b & 3)) * 2 + (g2 == g1)
-
-    def intervals(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of each id's interval in 2**28, and by which state and predictor it was coded (state * 4 + predictor)."""
-        g2, g1, state = self.guesses(p2, p1)
-        f = self.freq[ids]
-        by = np.where(ids == g2, 0, np.where(ids == g1, 1, np.where(f > 0, 2, 3)))
-        key = state * 4 + by
-        w = self.weight[key]
-        start, width = self.base[key] << _ID_BITS, w << _ID_BITS
-        far = np.flatnonzero(by >= 2)
-        known = by[far] == 2
-        start[far] += w[far] * np.where(known, self.start[ids[far]], ids[far])
-        width[far] = w[far] * np.where(known, f[far], 1)
-        return start, width, key
-
-    def learn(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray, key: np.ndarray) -> None:
-        self.hits += np.bincount(key, minlength=128).reshape(32, 4)
+        return g2, g1, ((a & 3) << 3) + ((b & 3) << 1) + (g2 == g1)
+
+    def intervals(self, g2: np.ndarray, g1: np.ndarray, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id in the mixture's total."""
+        w2, w1, w0 = self.w2[state], self.w1[state], self.w0[state]
+        return w0 * self.upto[ids] + (ids > g2) * w2 + (ids > g1) * w1, w0 * self.freq[ids] + (ids == g2) * w2 + (ids == g1) * w1
+
+    def find(self, g2: np.ndarray, g1: np.ndarray, state: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose intervals values lie, with start and width."""
+        w2, w1, w0 = self.w2[state], self.w1[state], self.w0[state]
+        first = g2 < g1
+        end2, end1 = w0 * self.upto[g2 + 1], w0 * self.upto[g1 + 1]
+        # Take out of the value what the two predicted ids are wider; the lower one's width comes first.
+        for end, w in ((np.where(first, end2, end1), np.where(first, w2, w1)), (np.where(first, end1, end2), np.where(first, w1, w2))):
+            value = value - np.minimum(np.maximum(value - end + 1, 0), w)
+        ids = self.at[value // w0].astype(np.int64)
+        return ids, w0 * self.upto[ids] + (ids > g2) * w2 + (ids > g1) * w1, w0 * self.freq[ids] + (ids == g2) * w2 + (ids == g1) * w1
+
+    def learn(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray, g2: np.ndarray, g1: np.ndarray, state: np.ndarray) -> None:
+        by = state * 3 + np.where(ids == g2, 0, np.where(ids == g1, 1, 2))
+        self.hits += np.bincount(by, minlength=96).reshape(32, 3)
         heavy = self.hits.sum(1) > 60_000
         self.hits[heavy] = self.hits[heavy] // 2 + 1
-        self.counts += np.bincount(ids, minlength=_ALL)
+        self.counts += 32 * np.bincount(ids, minlength=_ALL)
         for after, at in ((self.after1, p1), (self.after2, self.slot2(p2, p1))):
             told = after[at]
             sure = told & 3
             right = told >> 2 == ids
             # A right guess gets surer, a wrong one less sure, and one that isn't sure at all gives way.
-            after[at] = np.where(right, ids * 4 + np.minimum(sure + 1, 3), np.where(sure > 0, told - 1, ids * 4))
+            after[at] = np.where(right, told + (sure < 3), np.where(sure > 0, told - 1, ids * 4))
         self._freeze()
 
 
@@ -201,8 +180,8 @@ def pack_ids(ids: np.ndarray) -> bytes:
         for at in range(0, length, STEPS):
             n = min(STEPS, length - at)
             p2, p1, now = (grid[at + k : at + k + n].ravel() for k in range(3))
-            start, width, key = model.intervals(p2, p1, now)
-            start, width = start.astype(_U).reshape(n, lanes), width.astype(_U).reshape(n, lanes)
+            guessed = model.guesses(p2, p1)
+            start, width = (x.astype(_U).reshape(n, lanes) for x in model.intervals(*guessed, now))
             for k in range(n):
                 unit = span >> _UNIT
                 before = low
@@ -218,7 +197,7 @@ def pack_ids(ids: np.ndarray) -> bytes:
                     sizes[out] += 1
                     low[out] <<= _WORD
                     span[out] <<= _WORD
-            model.learn(p2, p1, now, key)
+            model.learn(p2, p1, now, *guessed)
     for part in (low >> _WORD, low & (_LOW - _U(1))):
         words.append(part)
         owners.append(np.arange(lanes))
@@ -247,26 +226,11 @@ def unpack_ids(data: bytes, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for at in range(0, length, STEPS):
             steps = min(STEPS, length - at)
-            keys = np.zeros((steps, lanes), np.int64)
-            e0, e1, e2 = model.ends
+            guessed = []
             for k in range(steps):
-                g2, g1, state = model.guesses(grid[at + k], grid[at + k + 1])
+                g = model.guesses(grid[at + k], grid[at + k + 1])
                 unit = span >> _UNIT
-                value = np.minimum(code // unit, most).astype(np.int64)
-                mix = value >> _ID_BITS
-                by = (mix >= e0[state]).astype(np.int64) + (mix >= e1[state]) + (mix >= e2[state])
-                key = state * 4 + by
-                w = model.weight[key]
-                start, width = model.base[key] << _ID_BITS, w << _ID_BITS
-                ids = np.where(by == 0, g2, g1)
-                far = np.flatnonzero(by >= 2)
-                if len(far):
-                    wf, known = w[far], by[far] == 2
-                    inner = np.minimum((value[far] - start[far]) // wf, _ALL - 1)
-                    x = np.where(known, model.at[inner], inner)
-                    ids[far] = x
-                    start[far] += wf * np.where(known, model.start[x], x)
-                    width[far] = wf * np.where(known, model.freq[x], 1)
+                ids, start, width = model.find(*g, np.minimum(code // unit, most).astype(np.int64))
                 code = code - unit * start.astype(_U)
                 span = unit * width.astype(_U)
                 out = np.flatnonzero(span < _LOW)
@@ -274,10 +238,10 @@ def unpack_ids(data: bytes, n: int) -> np.ndarray:
                     code[out] = code[out] << _WORD | words[pos[out]]
                     pos[out] += 1
                     span[out] <<= _WORD
-                keys[k] = key
+                guessed.append(g)
                 grid[at + k + 2] = ids
             p2, p1, now = (grid[at + k : at + k + steps].ravel() for k in range(3))
-            model.learn(p2, p1, now, keys.ravel())
+            model.learn(p2, p1, now, *(np.concatenate(x) for x in zip(*guessed)))
     return grid[2:].T.ravel()[:n]
 
 
@@ -327,8 +291,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
             return done
 
         for b in slices(batches, 64):
-            for doc, ids in zip(b["doc_id"].to_pylist(), enc.encode(strings(b["text"]))):
-                ids = np.append(np.frombuffer(ids, "<u4"), end_id).astype(np.int32)
+            for doc, text in zip(b["doc_id"].to_pylist(), strings(b["text"])):
+                ids = np.append(enc.encode(text), end_id).astype(np.int32)
                 if waiting and size + len(ids) > block:
                     yield flush()
                 waiting.append((doc, ids))

@@ -11,9 +11,11 @@ within two bits of each other, are linked to the smallest. No link is lost
 that way, and rows grow with the members, not with their square.
 
 Links become components by alternating star contraction, checkpointed in the
-shared folder. Null and empty texts have the fingerprint zero. Repeated rows
-give a row each. A null id is larger than any other. Other columns are not
-looked at.
+shared folder. A fingerprint that many documents have is joined by broadcast, so
+its documents stay dealt out. Null and empty texts have the fingerprint zero.
+Repeated rows give a row each. A null id is larger than any other. A text must
+fit into memory with its shingles' hashes. An empty table gives no rows. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, doc_columns, slices, utf8
+from tempograph.llm.common import cut, doc_columns, join_classes, slices, utf8
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Representatives that may share a pair of blocks and still be compared in pairs.
@@ -109,13 +111,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links lead to, of each row."""
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    nodes = components(links(reps, bucket))
-    linked = cut(nodes.join(reps.withColumnRenamed("fp", "node"), "node"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    nodes = components(links(reps.select("fp"), bucket))
+    linked = cut(nodes.join(reps.select(F.col("fp").alias("node"), "first"), "node"))
+    sizes = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    moved = join_classes(linked, sizes, "root", "node", linked.count()).select(F.col("node").alias("fp"), "component_id")
+    classes = reps.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    return join_classes(fps, classes, "fp", "doc_id", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

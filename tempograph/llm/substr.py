@@ -15,11 +15,14 @@ minimizers, so through Spark joins on the minimizer:
 
 Digests are of the words themselves (128 bits, beside the minimizer's 64), so
 equal ones verify equal spans. A hot passage has one row per document in the
-first grouping, which is pre-aggregated, and one path in the last.
+first grouping, which is pre-aggregated, and one path in the last; where its
+documents get to know the passage's class, the class is broadcast.
 
 Null and empty texts have no words and stay. Rows with equal ids count as one
-document. Rows with a null id keep all words and repeat nothing. Other columns
-are passed on by ``deduplicate``.
+document; equal rows are cut up once for each, and treated alike. Rows with a
+null id keep all words and repeat nothing. An empty table gives no rows. A text
+must fit into memory with its words. Other columns are passed on by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import fresh_path, slices, stored, utf8
+from tempograph.llm.common import HEAVY, cut, join_classes, slices, stored, utf8
 
 WINDOW, KMER = 50, 25
 #: Words whose hashes a task remembers.
@@ -175,24 +178,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_c
     """doc_id, content (a hash of the text) and spans (start, end of words) of all windows that start in a document with a smaller id too."""
     named = _documents(docs, id_col, text_col).where("doc_id is not null")
     path = stored(named.mapInArrow(_path_rows(window, kmer), _PATH), "paths")
-    kinds = path.groupBy("minimizer", "d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    kinds_of = kinds.groupBy("minimizer").agg(F.count("*").alias("n_kinds"), F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("minimizer", "n_kinds", "first")
-    again = stored(path.join(kinds_of, "minimizer"), "repeated")
-    whole = again.where("n_kinds = 1 and doc_id > first").select("doc_id", "content", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
-
-    branching = again.where("n_kinds > 1")
-    sources = branching.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "content", "start", "windows")).alias("s")).select("d1", "d2", "s.*")
+    total = path.count()
+    kinds = path.groupBy("minimizer", "d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    of_each = kinds.groupBy("minimizer").agg(F.count("*").alias("n_kinds"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    kinds_of = cut(of_each.where((F.col("first") < F.col("last")) | (F.col("n") > total // HEAVY)))
+    again = stored(join_classes(path, kinds_of, "minimizer", "doc_id", total, wanted="first < last").drop("last"), "repeated")
+    span_end = (F.col("start") + F.col("windows") + (window - 1)).alias("end")
+    whole = again.where("n_kinds = 1 and doc_id > first").select("doc_id", "content", "start", span_end)
+
+    branching = again.where("n_kinds > 1").withColumn("path", F.concat_ws(":", "d1", "d2"))
+    sources = cut(branching.groupBy("path", "d1", "d2").agg(F.min(F.struct("doc_id", "content", "start", "windows")).alias("s"), F.count("*").alias("n")).select("path", "d1", "d2", "n", "s.*"))
     listed = sources.groupBy("doc_id", "content").agg(F.collect_list(F.struct("d1", "d2", F.col("doc_id").alias("first"), "start", "windows")).alias("listed"))
-    read = named.join(listed.hint("shuffle_hash"), ["doc_id", "content"]).select("text", "listed")
+    # A row that is repeated is read once.
+    read = named.join(listed.hint("shuffle_hash"), ["doc_id", "content"]).dropDuplicates(["doc_id", "content"]).select("text", "listed")
     split = stored(read.mapInArrow(_window_rows(window), "d1 long, d2 long, first long, place int, w1 long, w2 long"), "windows")
     starts = split.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.count("*").alias("n"))
     # A window of one path only repeats with the path itself; the rest start first in the smallest of their paths' documents.
-    per_path = split.drop("first").join(starts.where("n > 1 and first < last").select("w1", "w2", "first"), ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list(F.struct("place", "first")).alias("earlier"))
-    some = branching.join(per_path, ["d1", "d2"], "left").join(sources.select("d1", "d2", F.col("doc_id").alias("source")), ["d1", "d2"])
+    per_path = split.drop("first").join(starts.where("n > 1 and first < last").select("w1", "w2", "first"), ["w1", "w2"]).groupBy(F.concat_ws(":", "d1", "d2").alias("path")).agg(F.collect_set(F.struct("place", "first")).alias("earlier"))
+    classes = cut(sources.select("path", "n", F.col("doc_id").alias("source")).join(per_path, "path", "left"))
+    some = join_classes(branching, classes, "path", "doc_id", branching.count())
     own = F.col("source") < F.col("doc_id")
-    all_of_it = some.where(own).select("doc_id", "content", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
+    all_of_it = some.where(own).select("doc_id", "content", "start", span_end)
     few = some.where(~own & F.col("earlier").isNotNull()).select("doc_id", "content", "start", F.explode(F.filter("earlier", lambda e: e["first"] < F.col("doc_id"))).alias("e")).select("doc_id", "content", (F.col("start") + F.col("e.place")).alias("start")).withColumn("end", F.col("start") + window)
-    return whole.unionByName(all_of_it).unionByName(few).groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return whole.unionByName(all_of_it).unionByName(few).groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, only_digest: bool = False) -> DataFrame:
@@ -233,5 +241,3 @@ def op6(docs: DataFrame) -> DataFrame:
     """The counts and digests of every document."""
     return deduplicate(docs, only_digest=True)
 
-
-__all__ = ["deduplicate", "fresh_path", "op6", "paths", "repeated_spans"]

@@ -6,14 +6,19 @@ input that some token may still go on from, and for each border in it the last
 token and the count of tokens before it. A transition is annotated with the
 number of tokens that it emits (net: a longer token may take the place of two).
 
-Texts are cut into chunks anywhere. A chunk's state map is constant behind its
-first white space, as that always leads to the start state; before it the map
-is kept as the input that it reads. So a map is (head, count, tail), maps
-compose associatively, and a prefix scan over the chunks of a text gives the
-count before each chunk and at the end.
-
-Null and empty texts have no tokens; repeated rows and ids give a row each;
-other columns are not looked at and not returned.
+Texts are cut into chunks anywhere. What has been read since the last white
+space is a text's state there. A chunk's state map takes any state to the
+tokens that end within the chunk and to the next state. It is constant behind
+the chunk's first white space; before it, it is kept as the input that it
+reads. So a map is (head, count, tail), maps compose associatively, and a
+prefix scan gives the count before each chunk and at the end: the maps of
+``FAN`` neighbouring chunks are scanned as a balanced tree, each such block in
+its own row, and then the blocks' maps of a text are scanned with one another.
+
+Null and empty texts have no tokens; repeated rows and ids give a row each; an
+empty table gives no rows; other columns are not looked at and not returned. A
+text of any length works; only what stands between two white spaces must fit
+into memory at once.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm.common import doc_columns, slices, strings, tokenizer_path
@@ -34,6 +39,8 @@ from tempograph.llm.merges import Merges
 #: Characters of a chunk; words and states that a task remembers; the longest word it keeps.
 CHUNK, WORDS, STATES, WORD_CHARS = 65_536, 500_000, 300_000, 64
 LIMIT = 2048
+#: Chunks of a block of the scan: blocks of a text are as few again, as a row holds at most 2**31 bytes.
+FAN = 256
 
 #: The pre-tokenizer's pattern (fixed value); white space is no part of a word.
 TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
@@ -50,6 +57,9 @@ class ChunkMap(NamedTuple):
     joined: bool
 
 
+NOTHING = ChunkMap("", 0, "", True)
+
+
 class Transducer:
     """Counts the tokens of byte strings; states and transitions are compiled when first met."""
 
@@ -168,11 +178,19 @@ class Counter:
         middle = a.tail + b.head
         return ChunkMap(a.head, a.count + b.count + (self.word(middle) if middle else 0), b.tail, False)
 
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        """All maps of a text in order, composed as a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.join(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0] if maps else ChunkMap("", 0, "", True)
+    def before(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+        """The composition of all maps before each one, and of all of them; neighbours are joined in pairs first, up a balanced tree and down again."""
+        if len(maps) < 2:
+            return [NOTHING, *maps]
+        evens = self.before([self.join(*maps[k : k + 2]) for k in range(0, len(maps) - 1, 2)])
+        out = []
+        for k, m in enumerate(maps):
+            out.append(self.join(evens[k // 2], maps[k - 1]) if k % 2 else evens[k // 2])
+        return [*out, self.join(out[-1], maps[-1]) if len(maps) % 2 else evens[-1]]
+
+    def ended(self, m: ChunkMap) -> int:
+        """Tokens that have ended by the last white space, from the start state."""
+        return 0 if m.joined else m.count + (self.word(m.head) if m.head else 0)
 
     def applied(self, m: ChunkMap) -> int:
         """Tokens that the whole input emits from the start state."""
@@ -217,27 +235,54 @@ CHUNK_NAMES = ["row", "doc_id", "seq", "n_bytes", "head", "count", "tail", "join
 CHUNK_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def _map_column() -> Column:
+    return F.struct("head", "count", "tail", "joined").alias("map")
+
+
+def _of(m: dict) -> ChunkMap:
+    return ChunkMap(m["head"], m["count"], m["tail"], m["joined"])
+
+
+def scanned_blocks(maps: DataFrame, path: str, fan: int = FAN) -> DataFrame:
+    """A row for each block of a text's chunks: row, block, doc_id, n_bytes, its state map, and within: the count before each of its chunks (null if no white space has come yet), relative to its beginning."""
+    lists = maps.groupBy("row", F.expr(f"seq div {fan}").cast("int").alias("block")).agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("seq", _map_column()))).alias("maps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for b in slices(batches):
+            totals, within = [], []
+            for maps in b["maps"].to_pylist():
+                *before, total = c.before([_of(m["map"]) for m in maps])
+                totals.append(total)
+                within.append([None if m.joined else m.count for m in before])
+            cols = [pa.array(x, t) for x, t in zip(zip(*totals), CHUNK_TYPES[4:])]
+            yield pa.RecordBatch.from_arrays([b["row"], b["block"], b["doc_id"], b["n_bytes"], *cols, pa.array(within, pa.list_(pa.int64()))], ["row", "block", "doc_id", "n_bytes", *CHUNK_NAMES[4:], "within"])
+
+    return lists.mapInArrow(run, "row long, block int, doc_id long, n_bytes long, head string, count long, tail string, joined boolean, within array<long>")
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Token and byte counts of each text: doc_id, n_bytes, n_tokens, over_limit, and chunk_starts, the tokens that ended before each chunk."""
-    maps = chunk_maps(docs, path, id_col, text_col, chunk)
-    lists = maps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("seq", "head", "count", "tail", "joined"))).alias("maps"))
+    blocks = scanned_blocks(chunk_maps(docs, path, id_col, text_col, chunk), path, fan)
+    lists = blocks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("block", _map_column(), "within"))).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in slices(batches):
             totals, starts = [], []
-            for maps in b["maps"].to_pylist():
-                maps = [ChunkMap(m["head"], m["count"], m["tail"], m["joined"]) for m in maps]
-                before, at = c.scan([]), []
-                for m in maps if len(maps) > 1 else ():
-                    at.append(before.count + (c.word(before.head) if before.head and not before.joined else 0))
-                    before = c.join(before, m)
-                totals.append(c.applied(before if len(maps) > 1 else c.scan(maps)))
-                starts.append(at or [0])
+            for blocks in b["blocks"].to_pylist():
+                maps = [_of(x["map"]) for x in blocks]
+                *before, total = c.before(maps)
+                totals.append(c.applied(total))
+                at = []
+                for x, m, p in zip(blocks, maps, before):
+                    first = c.ended(c.join(p, m._replace(count=0))) if any(n is not None for n in x["within"]) else 0
+                    at += [c.ended(p) if n is None else first + n for n in x["within"]]
+                starts.append(at)
             n = pa.array(totals, pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], n, pa.array([t > limit for t in totals]), pa.array(starts, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_tokens", "over_limit", "chunk_starts"])
 
-    return lists.select("doc_id", "n_bytes", "maps").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chunk_starts array<long>")
+    return lists.select("doc_id", "n_bytes", "blocks").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chunk_starts array<long>")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@
 as a transport stream (ISO/IEC 13818-1): a program association table and a
 program map table, then one private-data elementary stream. An access unit is
 up to ``UNIT`` bytes in a PES packet with a time stamp; each ``EVERY``-th one
-is a random-access point. ``demux`` parses the tables, checks continuity
-counters, reassembles the PES packets and returns the payload with time stamps
-and random-access points.
+is a random-access point and carries a clock reference. ``demux`` parses the
+tables wherever they lie, checks continuity counters, reassembles the PES
+packets and returns the payload with the time stamps and random-access points
+as columns. ``op10`` writes the streams as a table in the shared folder and
+reads that.
 
 Null and empty texts are 64 zero bytes. Equal texts give equal bytes; repeated
-rows give a row each; other columns are not looked at. Streams are a binary
-column; nothing is shuffled.
+rows and null ids give a row each; an empty table gives no rows; other columns
+are not looked at. A text of any length that a row can hold works, and must fit
+into memory three times. Streams are a binary column; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempograph.llm.common import doc_columns, slices, utf8
+from tempograph.llm.common import doc_columns, slices, stored, utf8
 
 #: Padding, bytes of an access unit, access units from one random-access point to the next, and 90 kHz ticks of a unit.
 BLOCK, UNIT, EVERY, TICKS = 64, 32_768, 8, 3_600
+#: Bytes of an adaptation field with a clock reference, its length byte included.
+CLOCK = 8
 #: Packets, sync byte, packet ids and stream types of ISO/IEC 13818-1 (fixed values; the two PIDs are free to choose).
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, PRIVATE_TYPE, PRIVATE_ID = 188, 0x47, 0, 0x100, 0x101, 1, 0x06, 0xBD
 
@@ -68,7 +73,7 @@ def mux_bytes(payload: bytes) -> bytes:
         data = payload[at : at + UNIT]
         pes = b"\x00\x00\x01" + bytes([PRIVATE_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(k * TICKS & (1 << 33) - 1) + data
         random_access = k % EVERY == 0
-        first = 184 - 2 * random_access
+        first = 184 - CLOCK * random_access
         n = 1 + max(0, -(-(len(pes) - first) // 184))
         stuffing = first + 184 * (n - 1) - len(pes)
         packets = np.full((n, PACKET), 0xFF, np.uint8)
@@ -77,14 +82,17 @@ def mux_bytes(payload: bytes) -> bytes:
         packets[:, 3] = 0x10 | (counter + np.arange(n)) & 15
         counter = (counter + n) & 15
         field = np.zeros(n, np.int64)  # bytes of the adaptation field, its length byte included
-        field[0] = 2 * random_access
+        field[0] = CLOCK * random_access
         field[-1] += stuffing
         for j in {0, n - 1}:
             if field[j]:
                 packets[j, 3] |= 0x20
                 packets[j, 4] = field[j] - 1
                 if field[j] > 1:
-                    packets[j, 5] = 0x40 if random_access and j == 0 else 0
+                    packets[j, 5] = 0
+                if random_access and j == 0:  # random access, and the clock as it is at the time stamp
+                    packets[j, 5] = 0x50
+                    packets[j, 6:12] = np.frombuffer(((k * TICKS & (1 << 33) - 1) << 15 | 0x7E00).to_bytes(6, "big"), np.uint8)
         body = np.frombuffer(pes, np.uint8)
         if n == 1:
             packets[0, 4 + field[0] :] = body
@@ -110,21 +118,51 @@ class Stream(NamedTuple):
     gaps: int  # breaks of a continuity counter
 
 
-def _table(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes:
-    """The body of the first section of a table, its checksum verified."""
-    at = np.flatnonzero(pids == pid)
-    if not len(at):
-        raise ValueError(f"no packet has the id {pid:#x}")
-    raw = packets[at[0]].tobytes()[4:]
-    section = raw[1 + raw[0] :]
-    size = int.from_bytes(section[1:3], "big") & 0x0FFF
-    section = section[: 3 + size]
-    if section[0] != table or crc32_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
-        raise ValueError("a table is damaged")
-    return section[8:-4]
-
-
-_parsed: dict[bytes, tuple[int, int, int]] = {}
+def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int) -> bytes:
+    """The first section that begins in a packet with this id, over as many packets as it takes."""
+    own = packets[pids == pid]
+    begins = np.flatnonzero(own[:, 1] & 0x40)
+    raw, wanted = b"", None
+    for p in own[begins[0] :] if len(begins) else ():
+        if not p[3] & 0x10:
+            continue
+        raw += p[4 + (1 + p[4] if p[3] & 0x20 else 0) :].tobytes()
+        if wanted is None:
+            raw = raw[1 + raw[0] :]
+            wanted = 3 + (int.from_bytes(raw[1:3], "big") & 0x0FFF)
+        if len(raw) >= wanted:
+            return raw[:wanted]
+    raise ValueError(f"no whole table in packets with the id {pid:#x}")
+
+
+_checked: dict[bytes, bytes] = {}
+
+
+def _body(section: bytes, table: int) -> bytes:
+    """What a section of a table says, its checksum verified; sections mostly repeat."""
+    if section not in _checked:
+        if section[0] != table or crc32_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
+            raise ValueError("a table is damaged")
+        if len(_checked) > 1000:
+            _checked.clear()
+        _checked[section] = section[8:-4]
+    return _checked[section]
+
+
+def _program(packets: np.ndarray, pids: np.ndarray) -> tuple[int, int, int]:
+    """The first program that has a stream of private data: its number, the stream's packet id and type."""
+    pat = _body(_section_of(packets, pids, PAT_PID), 0)
+    for at in range(0, len(pat), 4):
+        program, pmt_pid = int.from_bytes(pat[at : at + 2], "big"), int.from_bytes(pat[at + 2 : at + 4], "big") & 0x1FFF
+        if program == 0:  # the network's table
+            continue
+        pmt = _body(_section_of(packets, pids, pmt_pid), 2)
+        k = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
+        while k < len(pmt):
+            if pmt[k] == PRIVATE_TYPE:
+                return program, int.from_bytes(pmt[k + 1 : k + 3], "big") & 0x1FFF, pmt[k]
+            k += 5 + (int.from_bytes(pmt[k + 3 : k + 5], "big") & 0x0FFF)
+    raise ValueError("no program has a stream of private data")
 
 
 def demux_bytes(data: bytes) -> Stream:
@@ -135,16 +173,8 @@ def demux_bytes(data: bytes) -> Stream:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a packet doesn't begin with the sync byte")
     pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
-    head = data[: 2 * PACKET]
-    if head not in _parsed:  # table packets mostly repeat
-        pat = _table(packets, pids, PAT_PID, 0)
-        pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
-        pmt = _table(packets, pids, pmt_pid, 2)
-        if len(_parsed) > 1000:
-            _parsed.clear()
-        _parsed[head] = (int.from_bytes(pat[:2], "big"), int.from_bytes(pmt[5:7], "big") & 0x1FFF, pmt[4])
-    program, pid, kind = _parsed[head]
-    own = packets[pids == pid]
+    program, pid, kind = _program(packets, pids)
+    own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]  # packets without payload don't count
     counters = own[:, 3] & 15
     gaps = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
     adapted = (own[:, 3] & 0x20) > 0
@@ -162,11 +192,12 @@ def demux_bytes(data: bytes) -> Stream:
         if pes[:4] != b"\x00\x00\x01" + bytes([PRIVATE_ID]):
             raise ValueError("a PES packet doesn't begin with its start code")
         size = int.from_bytes(pes[4:6], "big")
-        p = pes[9:14]
-        stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
+        if pes[7] & 0x80:
+            p = pes[9:14]
+            stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
         if flagged[a]:
             points.append(unit)
-        parts.append(pes[9 + pes[8] : 6 + size])
+        parts.append(pes[9 + pes[8] : 6 + size if size else len(pes)])  # 0: up to the next one
     return Stream(b"".join(parts), program, pid, kind, len(packets), stamps, points, gaps)
 
 
@@ -200,7 +231,7 @@ def demux(media: DataFrame, emit_payload: bool = True) -> DataFrame:
                 "tail_crc32": pa.array([zlib.crc32(x.payload[-BLOCK:]) for x in found], pa.int64()),
                 "media_bytes": pa.array(map(len, streams), pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-                "feature": pa.array([f"program={x.program} pid={x.pid:#x} type={x.stream_type:#x} packets={x.packets} units={len(x.stamps)} pts={x.stamps[0]}-{x.stamps[-1]} random_access={len(x.random_access)} gaps={x.gaps}" for x in found]),
+                "feature": pa.array([f"program={x.program} pid={x.pid:#x} type={x.stream_type:#x} packets={x.packets} units={len(x.stamps)} pts={min(x.stamps, default=None)}-{max(x.stamps, default=None)} random_access={len(x.random_access)} gaps={x.gaps}" for x in found]),
                 "stamps": pa.array([x.stamps for x in found], pa.list_(pa.int64())),
                 "random_access": pa.array([x.random_access for x in found], pa.list_(pa.int32())),
             }
@@ -212,5 +243,5 @@ def demux(media: DataFrame, emit_payload: bool = True) -> DataFrame:
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """Stores every text as a transport stream and reads it back."""
-    return demux(mux(docs), emit_payload=False).drop("stamps", "random_access")
+    """Stores every text as a transport stream in a table, and reads that back; time stamps and random-access points come along."""
+    return demux(stored(mux(docs), "media"), emit_payload=False)

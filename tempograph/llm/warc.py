@@ -13,7 +13,9 @@ have the empty payload. Rows that repeat a page_id with an equal payload are
 all responses. A null page_id is a revisit unless all its payload's ids are
 null. Archives are files in the folder that driver and executors share; a task
 that is run again writes files of its own, and only those that the finished
-task names are read.
+task names are read. Archives are streamed; one record must fit into memory. A
+payload that many pages share is joined by broadcast, so its pages stay dealt
+out. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, fresh_path
+from tempograph.llm.common import cut, fresh_path, join_classes
 
 #: Bytes read at one time, compression level, and bytes of payload that a record must have to be a revisit.
 READ, LEVEL, LEAST = 1 << 20, 6, 0
@@ -56,8 +58,8 @@ def record_kinds(pages: DataFrame, page_col: str = "page_id", html_col: str = "h
     rows = pages.select(F.col(f"`{page_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("payload", "utf-8")))
     # Digests alone are grouped; only payloads that occur more than once meet their pages again.
-    copies = cut(rows.where(F.octet_length("payload") >= LEAST).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("sha1", "response"))
-    known = rows.join(copies, "sha1", "left")
+    copies = cut(rows.where(F.octet_length("payload") >= LEAST).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1"))
+    known = join_classes(rows, copies, "sha1", "page_id", pages.count(), how="left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return known.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
@@ -79,7 +81,9 @@ def write_monolithic(pages: DataFrame, path: str, **columns) -> None:
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    if ":" not in uri.split("/")[0]:
+        raise ValueError(f"{uri} doesn't name its file system")
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and uri[5:7] != "//" else uri)
 
 
 def _records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -116,14 +120,19 @@ def _records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, b
 
 
 def _inflated(stream: io.IOBase) -> Iterator[bytes]:
-    """The bytes of a gzip file, whatever its members; bounded pieces."""
-    d = zlib.decompressobj(31)
+    """The bytes of a gzip file, whatever its members, in bounded pieces; raises ValueError if it ends within a member."""
+    d, whole = zlib.decompressobj(31), True
     while data := stream.read(READ):
         while data:
             yield d.decompress(data, 4 * READ)
-            data = d.unconsumed_tail
+            data, whole = d.unconsumed_tail, d.eof
             if d.eof:
                 data, d = d.unused_data, zlib.decompressobj(31)
+    while not whole and (rest := d.decompress(d.unconsumed_tail, 4 * READ)):
+        yield rest
+        whole = d.eof
+    if not whole:
+        raise ValueError("a gzip file ends within a member")
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
@@ -131,17 +140,18 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     Returns archive, index and n_records of each archive; nothing else in target counts.
     """
-    files = spark.read.format("binaryFile").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").load(source).select("path")  # names only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
+            for path in b["path"].to_pylist():
                 disk, folder = _filesystem(target)
                 disk.create_dir(folder, recursive=True)
-                name = f"{path.as_py().rsplit('/', 1)[1].split('.')[0]}-{uuid.uuid4().hex}.warc.gz"
+                name = f"{path.rsplit('/', 1)[1].split('.')[0]}-{uuid.uuid4().hex}.warc.gz"
                 at, index = 0, []
-                with disk.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                    for fields, head, block in _records(_inflated(pa.BufferReader(content.as_buffer()))):
+                there, place = _filesystem(path)
+                with there.open_input_stream(place, compression=None) as stream, disk.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                    for fields, head, block in _records(_inflated(stream)):
                         c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = c.compress(head) + c.compress(block) + c.compress(_SEPARATOR.encode()) + c.flush()
                         out.write(member)

@@ -105,8 +105,11 @@ def test_bpe_in_parts(monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 20)
     monkeypatch.setattr(bpe, "WORDS", 50)
     monkeypatch.setattr(bpe, "PARTS", 50)
-    for enc in (bpe.Encoder(path), idfile.LibraryEncoder(path)):
-        assert [list(bpe.unpacked(x)) for x in enc.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    monkeypatch.setattr(idfile, "LONG", 20)
+    some += ["<|endoftext|>".join(some[k : k + 3]) for k in range(100)]
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    assert [list(bpe.unpacked(x)) for x in bpe.Encoder(path).encode(some)] == want
+    assert [x.tolist() for x in map(idfile.TextEncoder(path).encode, some)] == want
 
 
 @pytest.mark.parametrize("bucket", [16, 2])
@@ -233,9 +236,15 @@ def test_token_counts(docs, rows, empty):
 
     library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = {i: (len(utf8(t)), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows}
-    for chunk in (tokcount.CHUNK, 7):
-        got = tokcount.count_tokens(docs, tokenizer_path("word_bpe_49k.json"), chunk=chunk).drop("chunk_starts")
-        assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
+    path = tokenizer_path("word_bpe_49k.json")
+    for chunk, fan in ((tokcount.CHUNK, tokcount.FAN), (7, 5), (7, 10_000)):
+        got = tokcount.count_tokens(docs, path, chunk=chunk, fan=fan).collect()
+        assert {r.doc_id: tuple(r)[1:4] for r in got} == want
+        counter, text = tokcount.counter(path), dict(rows)
+        for r in got:  # what ended before each chunk, by counting up to its last white space
+            t = text[r.doc_id] or ""
+            upto = [max((m.end() for m in tokcount.BLANK.finditer(t[:at])), default=0) for at in range(0, max(1, len(t)), chunk)]
+            assert r.chunk_starts == [counter.total(tokcount.split_blanks(t[:at])) for at in upto]
     assert tokcount.op7(empty).count() == 0
 
 
