@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    if ":" not in folder.split("/")[0]:  # the default file system is meant
+        folder = context._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + folder
     return folder.rstrip("/")
 
 
