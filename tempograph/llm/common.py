@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Rows and bytes of an Arrow batch that are turned into Python objects at one time; a longer row comes alone.
 SLICE, SLICE_BYTES = 256, 16 << 20
@@ -45,9 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this process has named in the shared one and not discarded.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard_others(spark: SparkSession, kept: list[str]) -> None:
+    """Deletes the folders that fresh_path() has named since, but for those to keep; for when no result that reads them is needed any more."""
+    for path in [p for p in _made if p not in kept]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
+
+
+def made() -> list[str]:
+    """The folders that are there now."""
+    return list(_made)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -76,7 +96,8 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, spread: str, tot
     light = classes.where((F.col("n") <= least) & F.expr(wanted)).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_light_{c}") for c in others])
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
     # Whatever a heavy row meets in the second join does not count.
-    at = F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(spread).cast(rows.schema[key].dataType))
+    kind = rows.schema[key].dataType
+    at = F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.hash(spread) if isinstance(kind, IntegerType) else F.xxhash64(spread).cast(kind))
     met = marked.withColumn("_at", at).join(light, F.col("_at") == F.col("_key"), "left")
     is_heavy = F.col("_heavy").isNotNull()
     found = met.where(F.when(is_heavy, F.col("_wanted")).otherwise(F.col("_key").isNotNull())) if how == "inner" else met

@@ -16,6 +16,15 @@ its documents stay dealt out. Null and empty texts have the fingerprint zero.
 Repeated rows give a row each. A null id is larger than any other. A text must
 fit into memory with its shingles' hashes. An empty table gives no rows. Other
 columns are not looked at.
+
+``similar`` finds documents alike in a wider sense, a share of common shingles
+of 0.8 or more. Fingerprints then have ``WIDE`` bits, of which such pairs differ
+in about one in seven. They are split into ``TABLES`` overlapping blocks of 24
+bits; pairs that share a block are verified by their Hamming distance over all
+bits. Pairs within 9 bits always share a block, as at most 12 of the blocks have
+a given byte; nine in ten of those at the limit do. Where more than ``BUCKET``
+representatives share a block, each is compared with one of them, another one
+in each block.
 """
 
 from __future__ import annotations
@@ -29,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, doc_columns, join_classes, slices, utf8
+from tempograph.llm.common import cut, doc_columns, join_classes, slices, stored, utf8
+from tempograph.llm.substr import runs, word_ids
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Representatives that may share a pair of blocks and still be compared in pairs.
@@ -66,6 +76,99 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+#: Bits of a wide fingerprint, five-word shingles, and the distances between the three bytes of a block.
+WIDE, WIDE_SHINGLE = 256, 5
+SPACINGS = ((1, 3), (5, 12), (7, 18), (9, 20))
+TABLES = len(SPACINGS) * WIDE // 8
+_SEEDS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """WIDE bits as uint64: the bitwise majority of the hashes of a text's different shingles; zero for none."""
+    w = text.translate(_LOWER).split()
+    if not w:
+        return np.zeros(WIDE // 64, np.uint64)
+    h = np.unique(runs(word_ids(w), min(shingle, len(w))))
+    with np.errstate(over="ignore"):
+        x = h[None, :] + _SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    out = []
+    for row in x:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(row), 8192):
+            ones += np.unpackbits(row[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(row)).view(">u8")[0])
+    return np.array(out, np.uint64)
+
+
+def wide_distance(similarity: float) -> int:
+    """Bits in which two texts that share so much of all their shingles, each having as many, differ: what is expected and one standard deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(WIDE * p + (WIDE * p * (1 - p)) ** 0.5)
+
+
+_WIDE_COLUMNS = [f"f{k}" for k in range(WIDE // 64)]
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fingerprint as signed longs f0, f1 ... of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fp = np.array([wide_fingerprint(t, shingle) for t in utf8(b["text"])], np.uint64).reshape(-1, WIDE // 64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["doc_id", *_WIDE_COLUMNS])
+
+    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _WIDE_COLUMNS))
+
+
+def wide_blocks(reps: DataFrame) -> DataFrame:
+    """(block, rep) for each of the TABLES blocks of each representative (rep, f0, f1 ...); block holds the table's number and its 24 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [((k, (k + a) % (WIDE // 8), (k + b) % (WIDE // 8))) for a, b in SPACINGS for k in range(WIDE // 8)]
+        for b in slices(batches, 4096):
+            octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1).astype(np.int32)
+            blocks = np.stack([t << 24 | octets[:, i] << 16 | octets[:, j] << 8 | octets[:, k] for t, (i, j, k) in enumerate(places)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel().astype(np.int32)), pa.array(np.repeat(b["rep"].to_numpy(zero_copy_only=False), len(places)))], ["block", "rep"])
+
+    return reps.select("rep", *_WIDE_COLUMNS).mapInArrow(run, "block int, rep long")
+
+
+def wide_links(reps: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Pairs (a, b) of representatives that share a block and lie within the similarity's distance."""
+    keyed = stored(wide_blocks(reps), "blocks")
+    pivot = F.min_by("rep", F.xxhash64("rep", "block")).alias("pivot")
+    sizes = cut(keyed.groupBy("block").agg(F.count("*").alias("n"), pivot).where("n > 1").withColumn("size", F.col("n")))
+    shared = join_classes(keyed, sizes, "block", "rep", keyed.count())
+    small = stored(shared.where(F.col("size") <= bucket).select("block", "rep"), "shared")
+    pairs = small.select("block", F.col("rep").alias("a")).join(small.select("block", F.col("rep").alias("b")), "block").where("a < b").select("a", "b")
+    stars = shared.where((F.col("size") > bucket) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    met = stored(pairs.unionByName(stars).distinct(), "pairs")
+    bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
+    first = met.groupBy("a").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "a"), "a").withColumnRenamed("bits", "x")
+    both = join_classes(met, cut(first), "a", "b", met.count()).join(bits.withColumnRenamed("rep", "b"), "b")
+    apart = F.aggregate(F.zip_with("x", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(apart <= wide_distance(similarity)).select("a", "b")
+
+
+def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links between similar texts lead to, of each row."""
+    fps = stored(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("rep", F.xxhash64(*_WIDE_COLUMNS)), "fingerprints")
+    reps = cut(fps.groupBy("rep", *_WIDE_COLUMNS).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(wide_links(reps, similarity, bucket)), "rep").select("doc_id", "component_id")
+
+
+def _classes(rows: DataFrame, reps: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """rows (doc_id and key) with component_id, from representatives (key, first, n) and the components of some of them (node, root)."""
+    linked = cut(nodes.join(reps.select(F.col(key).alias("node"), "first"), "node"))
+    sizes = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    moved = join_classes(linked, sizes, "root", "node", linked.count()).select(F.col("node").alias(key), "component_id")
+    classes = reps.join(moved, key, "left").select(key, "n", F.coalesce("component_id", "first").alias("component_id"))
+    return join_classes(rows, classes, key, "doc_id", rows.count())
+
+
 def _blocks() -> F.Column:
     """The six pairs of 16-bit blocks as (which, value)."""
     block = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
@@ -112,20 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links lead to, of each row."""
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    nodes = components(links(reps.select("fp"), bucket))
-    linked = cut(nodes.join(reps.select(F.col("fp").alias("node"), "first"), "node"))
-    sizes = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    moved = join_classes(linked, sizes, "root", "node", linked.count()).select(F.col("node").alias("fp"), "component_id")
-    classes = reps.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
-    return join_classes(fps, classes, "fp", "doc_id", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _classes(fps, reps, components(links(reps.select("fp"), bucket)), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, that have the smallest id of their component.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their component; components by a similarity, or by two differing bits where none is given.
 
     Rows that repeat a kept id stay beside it; rows with a null id stay if one of them has a component without ids.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how) if similarity is None else similar(docs, similarity, id_col=id_col, text_col=text_col, **how)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
 

@@ -1,12 +1,16 @@
 """Operator 5: toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled texts: one on windows of
-ordinary texts, one on those words of toxic texts that are clearly more common
-there. A window of a text is compressed twice, with the ordinary dictionary
-alone and with the toxic one before it; the bytes that the toxic one saves are
-the window's gain, close to nothing in ordinary text. A text's score comes
-from its gains by a logistic curve that is calibrated on the same sample, as
-is the gain from which a window counts.
+ordinary texts, one on those parts of toxic texts that set them apart, the
+words that are clearly more common there. A window of a text is compressed
+twice, with the ordinary dictionary alone and with the toxic one before it; the
+bytes that the toxic one saves are the window's gain, close to nothing in
+ordinary text. A text's score comes from its gains by a logistic curve.
+
+Curve, the gain from which a window counts and how clear a contrast must be are
+chosen by likelihood on gains that dictionaries of other rows give: the
+training rows are dealt into ``PARTS``, each of which is scored by dictionaries
+trained on the rest.
 
 The model is fitted on the whole texts of at most ``TRAIN_DOCS`` labelled
 documents of each class, taken by a hash of their ids; a document with which
@@ -15,11 +19,12 @@ outside the held-out fifth (crc32 of the id) and with a label are used for
 fitting; scores look at texts only. The curve sees the share of windows that
 gain, so a text does not score higher for being long.
 
-Null and empty texts have no windows and the score of texts without gain.
-Without labelled texts of both classes every score is the share of toxic
-labels, or 0. A repeated id with several labels counts as toxic if one is.
-Repeated rows give a row each; a null id is held out. Columns named in keep
-are passed on.
+Null and empty texts have no windows and the score of texts without gain, as
+all such texts have. Without labelled texts of both classes every score is the
+share of toxic labels, or 0. A repeated id with several labels counts as toxic
+if one is; of its texts, one counts. Repeated rows give a row each; a null id is
+held out. An empty table gives no rows. A text must fit into memory. Columns
+named in keep are passed on whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,9 +44,10 @@ from tempograph.llm.common import slices, utf8
 TRAIN_DOCS, TRAIN_BYTES = 3000, 24_000_000
 #: Words of a window, and bytes of the two dictionaries.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 16_384, 16_384
-#: How many standard deviations and times more common a word of toxic texts must be, and the gains that can be a window's threshold.
-CONTRAST, RATIO, GAINS = 4.0, 4, (2, 3, 4, 5)
-FOLDS = 5
+#: How many standard deviations more common a word of toxic texts can have to be, how many times it must be, and the gains that can be a window's threshold.
+CONTRASTS, RATIO, GAINS = (3.0, 5.0), 4, (2, 3, 4, 5)
+#: The held-out share of ids is one in so many; the parts into which training rows are dealt.
+FOLDS, PARTS = 5, 2
 #: The longest window in bytes; longer words are cut.
 WINDOW_BYTES = 1024
 
@@ -139,36 +145,58 @@ def _spread(texts: list[bytes]) -> Counter[bytes]:
     return out
 
 
+def contrasts(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
+    """By how many standard deviations each word is more common in toxic texts, of the words that are at least RATIO times as common there."""
+    around = [_spread(texts) for texts in (toxic, ordinary)]
+    n, m = len(toxic), len(ordinary)
+    out = {}
+    for w, a in around[0].items():
+        b = around[1][w]
+        if len(w) > 2 and a > 2 and a / n > RATIO * b / m:
+            share = (a + b) / (n + m)
+            out[w] = (a / n - b / m) / (share * (1 - share) * (1 / n + 1 / m)) ** 0.5 if share < 1 else float("inf")
+    return out
+
+
+def toxic_dictionary(toxic: list[bytes], apart: dict[bytes, float], least: float) -> bytes:
+    """A dictionary of what sets toxic texts apart; empty where nothing does."""
+    parts = [x for t in toxic if (x := b" ".join(w for w in words(t) if apart.get(w, 0.0) > least))]
+    return _trained([b" " + x + b" " for x in parts], TOXIC_BYTES) if parts else b""
+
+
+def ordinary_dictionary(ordinary: list[bytes]) -> bytes:
+    return _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries and thresholds from labelled texts."""
     if not toxic or not ordinary:
         share = (len(toxic) + 1e-9) / (len(toxic) + len(ordinary) + 1e-6)
         return Model(b"", b"", GAINS[0], (float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0, 0.0, 0.0))
-    around = [_spread(texts) for texts in (toxic, ordinary)]
-    n, m = len(toxic), len(ordinary)
-    marked = set()
-    for w, a in around[0].items():
-        b = around[1][w]
-        share = (a + b) / (n + m)
-        if len(w) > 2 and a > 2 and a / n > RATIO * b / m and a / n - b / m > CONTRAST * (share * (1 - share) * (1 / n + 1 / m)) ** 0.5:
-            marked.add(w)
-    contrast = [b" ".join(w for w in words(t) if w in marked) for t in toxic]
-    tox = _trained([b" " + c + b" " for c in contrast if c], TOXIC_BYTES) if marked else b""
-    plain = _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    gains: dict[float, list[np.ndarray]] = {c: [] for c in CONTRASTS}
+    y: list[float] = []
+    for k in range(PARTS):
+        learnt = [[t for j, t in enumerate(texts) if j % PARTS != k] for texts in (toxic, ordinary)]
+        scored = [[t for j, t in enumerate(texts) if j % PARTS == k] for texts in (toxic, ordinary)]
+        y += [1.0] * len(scored[0]) + [0.0] * len(scored[1])
+        apart, plain = contrasts(*learnt) if all(learnt) else {}, ordinary_dictionary(learnt[1])
+        for c in CONTRASTS:
+            scorer = Scorer(Model(plain, toxic_dictionary(learnt[0], apart, c), 0, (0.0, 0.0, 0.0)))
+            gains[c] += [scorer.gains(t) for texts in scored for t in texts]
+    label, best = np.array(y), None
+    for c in CONTRASTS:
+        for least in GAINS:
+            x = np.array([features(g, least) for g in gains[c]])
+            curve = _logistic(x, label)
+            p = _curve(curve, x)
+            likelihood = float(np.mean(np.log(np.where(label > 0, p, 1 - p) + 1e-9)))
+            if best is None or likelihood > best[0]:
+                best = likelihood, c, least, curve
+    _, contrast, least, curve = best
+    tox = toxic_dictionary(toxic, contrasts(toxic, ordinary), contrast)
     if not tox:
-        return Model(b"", b"", GAINS[0], (float(np.log(len(toxic) / len(ordinary))), 0.0, 0.0))
-    scorer = Scorer(Model(plain, tox, 0, (0.0, 0.0, 0.0)))
-    gains = [scorer.gains(t) for t in [*toxic, *ordinary]]
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    weight_best, best = -1.0, None
-    for least in GAINS:
-        x = np.array([features(g, least) for g in gains])
-        curve = _logistic(x, y)
-        p = _curve(curve, x)
-        likelihood = float(np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-9)))
-        if best is None or likelihood > weight_best:
-            weight_best, best = likelihood, Model(plain, tox, least, curve)
-    return best
+        return Model(b"", b"", least, (float(np.log(len(toxic) / len(ordinary))), 0.0, 0.0))
+    return Model(ordinary_dictionary(ordinary), tox, least, curve)
 
 
 def held_out(id_col: Column) -> Column:
@@ -184,14 +212,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = known.where((F.col("_y") > 0) == bool(y)).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(TRAIN_DOCS).withColumn("_y", F.lit(y))
         sample = some if sample is None else sample.unionByName(some)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t")).where("_t is not null")
-    sizes = texts.join(F.broadcast(sample), "_id").groupBy("_y", "_h", "_id").agg(F.sum(F.octet_length("_t")).alias("n")).collect()  # at most 2 * TRAIN_DOCS rows
+    # Of the texts of a repeated id the one that sorts last by hash counts.
+    sizes = texts.join(F.broadcast(sample), "_id").groupBy("_y", "_h", "_id").agg(F.max(F.struct(F.xxhash64("_t").alias("h"), F.octet_length("_t").alias("n"))).alias("t")).select("_y", "_h", "_id", "t.*").collect()  # at most 2 * TRAIN_DOCS rows
     left, taken = [TRAIN_BYTES, TRAIN_BYTES], []
     for r in sorted(sizes):
         if r["n"] <= left[r["_y"]]:
             left[r["_y"]] -= r["n"]
-            taken.append((r["_id"], r["_y"]))
-    chosen = docs.sparkSession.createDataFrame(taken, "_id long, _y int")
-    rows = texts.join(F.broadcast(chosen), "_id").select("_y", "_t", "_id").collect()  # at most 2 * TRAIN_BYTES
+            taken.append((r["_id"], r["_y"], r["h"]))
+    chosen = docs.sparkSession.createDataFrame(taken, "_id long, _y int, _text long")
+    same = (texts["_id"] == chosen["_id"]) & (F.xxhash64("_t") == chosen["_text"])
+    rows = texts.join(F.broadcast(chosen), same).select("_y", "_t", texts["_id"]).groupBy("_id", "_y").agg(F.first("_t").alias("_t")).collect()  # at most 2 * TRAIN_BYTES
     rows.sort(key=lambda r: (r["_id"], r["_t"]))
     return fit([r["_t"].encode() for r in rows if r["_y"]], [r["_t"].encode() for r in rows if not r["_y"]])
 
