@@ -9,8 +9,9 @@ ordinary text. A text's score comes from its gains by a logistic curve.
 
 Curve, the gain from which a window counts and how clear a contrast must be are
 chosen by likelihood on gains that dictionaries of other rows give: the
-training rows are dealt into ``PARTS``, each of which is scored by dictionaries
-trained on the rest.
+training rows are dealt into ``PARTS``, and up to ``CALIBRATION_DOCS`` of either
+class in each are scored by dictionaries trained on the other parts. The curve's constant allows for how many labelled rows of
+each class there are, and for ``COST``.
 
 The model is fitted on the whole texts of at most ``TRAIN_DOCS`` labelled
 documents of each class, taken by a hash of their ids; a document with which
@@ -41,13 +42,15 @@ from pyspark.sql import functions as F
 
 from tempograph.llm.common import slices, utf8
 
-TRAIN_DOCS, TRAIN_BYTES = 3000, 24_000_000
+TRAIN_DOCS, TRAIN_BYTES, CALIBRATION_DOCS = 3000, 24_000_000, 1000
 #: Words of a window, and bytes of the two dictionaries.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 8, 16_384, 16_384
 #: How many standard deviations more common a word of toxic texts can have to be, how many times it must be, and the gains that can be a window's threshold.
 CONTRASTS, RATIO, GAINS = (3.0, 5.0), 4, (2, 3, 4, 5)
 #: The held-out share of ids is one in so many; the parts into which training rows are dealt.
 FOLDS, PARTS = 5, 2
+#: How many clean documents lost weigh as much as a toxic one left in.
+COST = 2
 #: The longest window in bytes; longer words are cut.
 WINDOW_BYTES = 1024
 
@@ -135,12 +138,13 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 def _spread(texts: list[bytes]) -> Counter[bytes]:
     """In how many texts a word stands between neighbours that it had in none before; copies of a text count once."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
+    seen: set[int] = set()  # hashes of a word and its neighbours
     out: Counter[bytes] = Counter()
     for t in texts:
         w = words(t)
-        new = set(zip([b"", *w], w, [*w[1:], b""])) - seen
-        out.update({x for _, x, _ in new})
+        around = {hash(x): x[1] for x in zip([b"", *w], w, [*w[1:], b""])}
+        new = around.keys() - seen
+        out.update({around[h] for h in new})
         seen |= new
     return out
 
@@ -168,21 +172,25 @@ def ordinary_dictionary(ordinary: list[bytes]) -> bytes:
     return _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Dictionaries and thresholds from labelled texts."""
+def fit(toxic: list[bytes], ordinary: list[bytes], seen: tuple[int, int] | None = None) -> Model:
+    """Dictionaries and thresholds from labelled texts; seen: how many labelled rows of either class they stand for."""
+    n, m = seen or (len(toxic), len(ordinary))
     if not toxic or not ordinary:
-        share = (len(toxic) + 1e-9) / (len(toxic) + len(ordinary) + 1e-6)
+        share = (n + 1e-9) / (n + m + 1e-6)
         return Model(b"", b"", GAINS[0], (float(np.log(share / (1 - share))) if 0 < share < 1 else -20.0, 0.0, 0.0))
     gains: dict[float, list[np.ndarray]] = {c: [] for c in CONTRASTS}
     y: list[float] = []
     for k in range(PARTS):
         learnt = [[t for j, t in enumerate(texts) if j % PARTS != k] for texts in (toxic, ordinary)]
-        scored = [[t for j, t in enumerate(texts) if j % PARTS == k] for texts in (toxic, ordinary)]
+        scored = [[t for j, t in enumerate(texts) if j % PARTS == k][:CALIBRATION_DOCS] for texts in (toxic, ordinary)]
         y += [1.0] * len(scored[0]) + [0.0] * len(scored[1])
         apart, plain = contrasts(*learnt) if all(learnt) else {}, ordinary_dictionary(learnt[1])
-        for c in CONTRASTS:
-            scorer = Scorer(Model(plain, toxic_dictionary(learnt[0], apart, c), 0, (0.0, 0.0, 0.0)))
-            gains[c] += [scorer.gains(t) for texts in scored for t in texts]
+        scorers = [Scorer(Model(plain, toxic_dictionary(learnt[0], apart, c), 0, (0.0, 0.0, 0.0))) for c in CONTRASTS]
+        for t in [t for texts in scored for t in texts]:
+            parts = list(windows(t))
+            before = [len(scorers[0].pair[0](w)) for w in parts]
+            for c, scorer in zip(CONTRASTS, scorers):
+                gains[c].append(np.array([n - len(scorer.pair[1](w)) for n, w in zip(before, parts)], np.int64))
     label, best = np.array(y), None
     for c in CONTRASTS:
         for least in GAINS:
@@ -192,11 +200,13 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
             likelihood = float(np.mean(np.log(np.where(label > 0, p, 1 - p) + 1e-9)))
             if best is None or likelihood > best[0]:
                 best = likelihood, c, least, curve
-    _, contrast, least, curve = best
+    _, contrast, least, (constant, *slopes) = best
+    n_toxic = int(label.sum())
+    constant += float(np.log(COST * n / max(1, n_toxic)) - np.log(m / max(1, len(label) - n_toxic)))
     tox = toxic_dictionary(toxic, contrasts(toxic, ordinary), contrast)
     if not tox:
-        return Model(b"", b"", least, (float(np.log(len(toxic) / len(ordinary))), 0.0, 0.0))
-    return Model(ordinary_dictionary(ordinary), tox, least, curve)
+        return Model(b"", b"", least, (float(np.log(n / m)), 0.0, 0.0))
+    return Model(ordinary_dictionary(ordinary), tox, least, (constant, *slopes))
 
 
 def held_out(id_col: Column) -> Column:
@@ -207,6 +217,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits a model on a bounded sample of the labelled documents outside the held-out fifth."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id is not null and _y is not null").where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
+    seen = known.agg(F.count_if(F.col("_y") > 0), F.count_if(F.col("_y") <= 0)).first()
     sample = None
     for y in (0, 1):
         some = known.where((F.col("_y") > 0) == bool(y)).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(TRAIN_DOCS).withColumn("_y", F.lit(y))
@@ -223,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     same = (texts["_id"] == chosen["_id"]) & (F.xxhash64("_t") == chosen["_text"])
     rows = texts.join(F.broadcast(chosen), same).select("_y", "_t", texts["_id"]).groupBy("_id", "_y").agg(F.first("_t").alias("_t")).collect()  # at most 2 * TRAIN_BYTES
     rows.sort(key=lambda r: (r["_id"], r["_t"]))
-    return fit([r["_t"].encode() for r in rows if r["_y"]], [r["_t"].encode() for r in rows if not r["_y"]])
+    return fit([r["_t"].encode() for r in rows if r["_y"]], [r["_t"].encode() for r in rows if not r["_y"]], tuple(seen))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def test_toxicity_of_long_texts(spark, monkeypatch):
     gains = np.array([0, 3, 0, 0, 5, 0, 1, 0])
     assert (toxicity.features(np.tile(gains, 40), 2) == toxicity.features(gains, 2)).all()
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: seen.append((toxic, ordinary)))
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, _: seen.append((toxic, ordinary)))
     monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)
     toxicity.train(docs, labels)
     whole = {t.encode() for _, t in rows}
