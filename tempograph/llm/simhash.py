@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import cut, doc_columns, join_classes, slices, stored, utf8
+from tempograph.llm.common import HEAVY, cut, doc_columns, join_classes, slices, stored, utf8
 from tempograph.llm.substr import runs, word_ids
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -136,16 +136,58 @@ def wide_blocks(reps: DataFrame) -> DataFrame:
     return reps.select("rep", *_WIDE_COLUMNS).mapInArrow(run, "block int, rep long")
 
 
+def _met(bucket: int):
+    """Pairs within each block of sorted (block, h, rep): all of a small one; of a crowded one each with the first, without holding more than a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, crowded = None, [], False
+        a: list[int] = []
+        b: list[int] = []
+
+        def close() -> None:
+            if not crowded:
+                for x, y in combinations(held, 2):
+                    a.append(x)
+                    b.append(y)
+
+        for batch in batches:
+            blocks, reps = batch["block"].to_numpy(zero_copy_only=False), batch["rep"].to_numpy(zero_copy_only=False)
+            # Rows alone in their block meet nobody; the first and last of a batch may have neighbours elsewhere.
+            alone = np.zeros(len(blocks), np.bool_)
+            alone[1:-1] = (blocks[1:-1] != blocks[:-2]) & (blocks[1:-1] != blocks[2:])
+            for block, rep in zip(blocks[~alone].tolist(), reps[~alone].tolist()):
+                if block != now:
+                    close()
+                    now, held, crowded = block, [], False
+                if crowded or len(held) == bucket:
+                    if not crowded:
+                        a.extend(held[:1] * (len(held) - 1))
+                        b.extend(held[1:])
+                        crowded = True
+                    a.append(held[0])
+                    b.append(rep)
+                else:
+                    held.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def wide_links(reps: DataFrame, similarity: float, bucket: int) -> DataFrame:
     """Pairs (a, b) of representatives that share a block and lie within the similarity's distance."""
-    keyed = stored(wide_blocks(reps), "blocks")
-    pivot = F.min_by("rep", F.xxhash64("rep", "block")).alias("pivot")
-    sizes = cut(keyed.groupBy("block").agg(F.count("*").alias("n"), pivot).where("n > 1").withColumn("size", F.col("n")))
-    shared = join_classes(keyed, sizes, "block", "rep", keyed.count())
-    small = stored(shared.where(F.col("size") <= bucket).select("block", "rep"), "shared")
-    pairs = small.select("block", F.col("rep").alias("a")).join(small.select("block", F.col("rep").alias("b")), "block").where("a < b").select("a", "b")
-    stars = shared.where((F.col("size") > bucket) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    met = stored(pairs.unionByName(stars).distinct(), "pairs")
+    keyed = wide_blocks(reps)
+    # Blocks of more than one in HEAVY rows, fewer than HEAVY of them: all their rows are compared with one, where they are.
+    most = max(bucket, reps.count() * TABLES // HEAVY)
+    heavy = cut(keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block"))
+    pivots = cut(keyed.join(F.broadcast(heavy), "block").groupBy("block").agg(F.min_by("rep", F.hash("rep", "block")).alias("pivot")))
+    stars = keyed.join(F.broadcast(pivots), "block").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    others = keyed.join(F.broadcast(heavy), "block", "left_anti").withColumn("h", F.hash("rep", "block"))
+    pairs = others.repartition("block").sortWithinPartitions("block", "h").select("block", "rep").mapInArrow(_met(bucket), "a long, b long")
+    met = stored(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
     first = met.groupBy("a").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "a"), "a").withColumnRenamed("bits", "x")
     both = join_classes(met, cut(first), "a", "b", met.count()).join(bits.withColumnRenamed("rep", "b"), "b")
