@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fact states (fixed values).
 ACTIVE, INFERRED, DISPUTED, CORRECTED, SUPERSEDED, FORGOTTEN = 1, 2, 3, 4, 5, 6
-#: Predicates of which a subject can have several objects at one time here.
-MULTI_VALUED = ("has_order", "supplies", "rejected_action")
+#: Predicates of which a subject can have several objects at one time (fixed values).
+MULTI_VALUED = ("has_event", "prefers", "hobby", "dislikes", "skill", "has_pets", "has_child", "has_parent", "has_sibling", "has_partner")
 
 
 def visible() -> Column:

@@ -20,12 +20,13 @@ def _recalculated(children: DataFrame, dependencies: DataFrame, confidence: Data
     return children.join(sums, "id", "left").select("id", "depth", inferred_confidence(total, F.col("depth"), n).alias("confidence"))
 
 
-def cascade(facts: DataFrame, dependencies: DataFrame, changed: DataFrame, levels: int = 20) -> DataFrame:
+def cascade(facts: DataFrame, dependencies: DataFrame, changed: DataFrame, levels: int = 10_000) -> DataFrame:
     """Confidence of all facts that a change of some (id, confidence) reaches.
 
     facts has id, confidence, depth. Children are recalculated from all their
-    parents; a change of more than SMALL goes on to their children, up to
-    ``levels`` times, so that cycles end.
+    parents; a change of more than SMALL goes on to their children until none is
+    left. On a cycle changes get smaller, as depth and breadth weigh them down;
+    should some be left after so many levels, that is an error.
     """
     now, front = changed.select("id", "confidence"), changed.select("id")
     for _ in range(levels):
@@ -36,17 +37,19 @@ def cascade(facts: DataFrame, dependencies: DataFrame, changed: DataFrame, level
         if moved.isEmpty():
             break
         now, front = cut(now.join(moved, "id", "left_anti").unionByName(moved)), moved.select("id")
+    else:
+        raise RuntimeError(f"confidence still changes after {levels} levels")
     return now
 
 
-def forget(facts: DataFrame, dependencies: DataFrame, chosen: DataFrame, levels: int = 20) -> DataFrame:
+def forget(facts: DataFrame, dependencies: DataFrame, chosen: DataFrame) -> DataFrame:
     """What forgetting facts (id) does: they and inferred facts without any parent left are forgotten, level by level; other children get new confidence, and are disputed if it is low.
 
     facts has id, confidence, depth, inferred. Returns id, change (forgotten,
     disputed or recalculated) and confidence (null if forgotten).
     """
     gone = front = chosen.select("id").distinct()
-    for _ in range(levels):
+    while True:  # ends, as only facts that were there before go
         left = dependencies.join(gone.select(F.col("id").alias("parent_fact_id")), "parent_fact_id", "left_anti").select(F.col("child_fact_id").alias("id"))
         reached = dependencies.join(front.select(F.col("id").alias("parent_fact_id")), "parent_fact_id", "left_semi").select(F.col("child_fact_id").alias("id")).distinct()
         front = cut(facts.where("inferred").select("id").join(reached, "id", "left_semi").join(left, "id", "left_anti").join(gone, "id", "left_anti"))

@@ -9,12 +9,12 @@ from tempograph.functions.predicates import visible
 from tempograph.plans.lineage import cut
 
 
-def closure(edges: DataFrame, depth: int = 16) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor) of a hierarchy of (child, parent), each node with itself; several parents and cycles are fine."""
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
     found = cut(nodes.select("node", F.col("node").alias("ancestor")))
     new = found
-    for _ in range(depth):
+    while True:  # ends on cycles too, as only new pairs go on
         step = new.join(edges, new["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
         new = cut(step.join(found, ["node", "ancestor"], "left_anti"))
         if new.isEmpty():

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import ACTIVE, DISPUTED, FORGOTTEN, INFERRED, SUPERSEDED, overlaps, visible
-from tempograph.functions.scalars import KM_PER_DEGREE, haversine, inferred_confidence
+from tempograph.functions.scalars import EARTH_KM, haversine, inferred_confidence
 
 
 def duplicate_facts(facts: DataFrame) -> DataFrame:
@@ -19,6 +21,60 @@ def duplicate_facts(facts: DataFrame) -> DataFrame:
     return a.join(b, same & (F.col("a.id") < F.col("b.id")) & meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+_TRIPLE = ["subject_id", "predicate", "object_id", "object_literal"]
+
+
+def duplicate_classes(facts: DataFrame) -> DataFrame:
+    """id, class_id and n_links of live facts that have duplicates: class_id is the smallest id of the facts of the triple that windows connect, n_links how many others' windows the fact's own overlaps.
+
+    Starts and ends of windows are put in order once, so rows don't grow with
+    the pairs. Empty windows overlap nothing.
+    """
+    rows = facts.where(F.col("fact_status_id").isin(ACTIVE, INFERRED) & (F.col("valid_from").isNull() | F.col("valid_until").isNull() | (F.col("valid_from") < F.col("valid_until"))))
+    since, until = F.coalesce(F.unix_micros("valid_from"), F.lit(-(2**62))), F.coalesce(F.unix_micros("valid_until"), F.lit(2**62))
+    point = lambda at, start: F.struct(at.alias("at"), F.lit(start).alias("start"))
+    points = rows.select("id", *_TRIPLE, F.explode(F.array(point(since, 1), point(until, 0))).alias("p")).select("id", *_TRIPLE, "p.*")
+    order = W.partitionBy(*_TRIPLE).orderBy("at", "start", "id").rowsBetween(W.unboundedPreceding, 0)
+    seen = points.withColumn("starts", F.sum("start").over(order)).withColumn("ends", F.sum(1 - F.col("start")).over(order))
+    # A stretch of connected windows begins where nothing else is open.
+    seen = seen.withColumn("stretch", F.sum(((F.col("start") == 1) & (F.col("starts") - F.col("ends") == 1)).cast("long")).over(order))
+    each = seen.groupBy("id", *_TRIPLE).agg(F.min("stretch").alias("stretch"), F.max(F.when(F.col("start") == 1, F.col("starts") - F.col("ends") - 1)).alias("open"), (F.max(F.when(F.col("start") == 0, F.col("starts"))) - F.max(F.when(F.col("start") == 1, F.col("starts")))).alias("later"))
+    linked = each.withColumn("n_links", F.col("open") + F.col("later")).where("n_links > 0")
+    return linked.withColumn("class_id", F.min("id").over(W.partitionBy(*_TRIPLE, "stretch"))).select("id", "class_id", "n_links")
+
+
+def sharing(rows: DataFrame, key: Column, member: str) -> DataFrame:
+    """key, member, class_id (the smallest member) and n of all members that share a key with another one; keys are counted before they meet their members."""
+    pairs = rows.select(key.alias("key"), F.col(member).alias("member")).where("key is not null").distinct()
+    classes = pairs.groupBy("key").agg(F.min("member").alias("class_id"), F.count("*").alias("n")).where("n > 1")
+    return pairs.join(classes, "key")
+
+
+def contradicting(facts: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Pairs of different live facts (a, b) that Contradicts edges connect, each once, with the one that stays: the one that is not inferred, else the more confident one, null if they tie."""
+    pairs = dependencies.select(F.least("parent_fact_id", "child_fact_id").alias("a"), F.greatest("parent_fact_id", "child_fact_id").alias("b")).where("a <> b").distinct()
+    side = lambda n: facts.where(~F.col("fact_status_id").isin(SUPERSEDED, FORGOTTEN)).select(F.col("id").alias(n), F.col("inferred").alias(f"i_{n}"), F.col("confidence").alias(f"c_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    kept = F.when(F.col("i_a") & ~F.col("i_b"), F.col("b")).when(F.col("i_b") & ~F.col("i_a"), F.col("a")).when(F.col("c_a") > F.col("c_b"), F.col("a")).when(F.col("c_b") > F.col("c_a"), F.col("b"))
+    return both.select("a", "b", kept.alias("kept"))
+
+
+def not_evaluated(pairs: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) that have not been looked at in either order."""
+    seen = evaluated.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+    return pairs.join(seen, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+
+
+def names_within(entities: DataFrame, least: int = 3) -> DataFrame:
+    """Pairs of entities of one type of which one's name (at least so long) is a part of the other's, whatever their case: short, long. A name meets the equal parts of others, so not all pairs are tried."""
+    rows = entities.select("id", "entity_type_id", F.lower("name").alias("name")).where(F.length("name") >= least)
+    size = F.length("name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(least), size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring("name", at, n))))
+    long = rows.select(F.col("id").alias("long"), "entity_type_id", F.explode(F.array_distinct(parts)).alias("part"))
+    short = rows.select(F.col("id").alias("short"), "entity_type_id", F.col("name").alias("part"))
+    return short.join(long, ["entity_type_id", "part"]).where("short <> long").select("short", "long")
+
+
 def dormant_facts(facts: DataFrame, sources: DataFrame, before: Column) -> DataFrame:
     """Old disputed facts without a user's edit of which the subject has a disputed one with higher confidence."""
     rows = facts.where((F.col("fact_status_id") == DISPUTED) & (F.col("valid_from") < before))
@@ -32,14 +88,6 @@ def names_shared(entities: DataFrame) -> DataFrame:
     return entities.groupBy(F.lower("name").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
-def transitive_locations(facts: DataFrame) -> DataFrame:
-    """Where subjects are by two steps of located_in, weaker confidence kept, whatever the windows; not the rule O02, which is visited_places."""
-    rows = facts.where(visible() & F.col("fact_status_id").isin(ACTIVE, INFERRED))
-    first = rows.where("predicate = 'located_in'").select("subject_id", F.col("object_id").alias("middle"), F.col("confidence").alias("c1"), F.col("id").alias("first"))
-    second = rows.where("predicate = 'located_in'").select(F.col("subject_id").alias("middle"), "object_id", F.col("confidence").alias("c2"), F.col("id").alias("second"))
-    return first.join(second, "middle").where("subject_id <> object_id").select("subject_id", "object_id", "first", "second", F.least("c1", "c2").alias("confidence"))
-
-
 def visited_places(facts: DataFrame) -> DataFrame:
     """Places that subjects visited by visiting something located in them (rule O02), with the two facts' ids.
 
@@ -75,10 +123,10 @@ def future_without_overlay(facts: DataFrame, overlays: DataFrame, now: Column, l
 def nearby(places: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """Places within a distance of centres (id, latitude, longitude), the nearest first in rank.
 
-    Both sides are put into bands of latitude that are km high; a centre looks
+    Both sides are put into bands of latitude at least km high; a centre looks
     into its own band and the two beside it, so only near latitudes meet.
     """
-    height = km / KM_PER_DEGREE
+    height = 1.000001 * km / (EARTH_KM * math.pi / 180)
     p = places.where("latitude is not null and longitude is not null").withColumn("band", F.floor(F.col("latitude") / height))
     band = F.floor(F.col("latitude") / height)
     c = centres.select(F.col("id").alias("centre"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))

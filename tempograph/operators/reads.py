@@ -118,11 +118,13 @@ def fact_weights(categories: DataFrame, fact_categories: DataFrame) -> DataFrame
     return rows.groupBy("fact_id").agg(listed.alias("categories"), F.max("memory_weight").alias("weight"), F.min("memory_bucket_id").alias("bucket"))
 
 
-def same_ends(facts: DataFrame, limit: int) -> DataFrame:
-    """The first subjects and objects that live facts connect by several predicates, with these."""
+def same_ends(facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Subjects and objects that live facts connect by several predicates, with these; all, or the first up to a limit."""
     live = facts.where(F.col("fact_status_id").isin(ACTIVE, INFERRED) & F.col("object_id").isNotNull())
     found = live.groupBy("subject_id", "object_id").agg(F.array_sort(F.collect_set("predicate")).alias("p")).where(F.size("p") > 1)
-    return found.orderBy("subject_id", "object_id").limit(limit).select("subject_id", "object_id", F.array_join("p", ",").alias("predicates"))
+    if limit is not None:
+        found = found.orderBy("subject_id", "object_id").limit(limit)
+    return found.select("subject_id", "object_id", F.array_join("p", ",").alias("predicates"))
 
 
 def subtree_counts(categories: DataFrame, fact_categories: DataFrame) -> DataFrame:

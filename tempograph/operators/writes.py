@@ -17,9 +17,9 @@ EXPLICIT = (1, 6)
 BOOST, MOST = 0.05, 0.95
 
 
-def _islands(rows: DataFrame) -> DataFrame:
+def _islands(rows: DataFrame, several: tuple[str, ...]) -> DataFrame:
     """Rows with the number of their stretch of meeting windows within subject, predicate and, where a predicate has several values, object."""
-    claim = F.when(F.col("predicate").isin(*MULTI_VALUED), F.coalesce(F.concat(F.lit("#"), F.col("object_id").cast("string")), F.concat(F.lit("="), F.col("object_literal"))))
+    claim = F.when(F.col("predicate").isin(*several), F.coalesce(F.concat(F.lit("#"), F.col("object_id").cast("string")), F.concat(F.lit("="), F.col("object_literal"))))
     start = F.coalesce(F.unix_micros("valid_from"), F.lit(-(2**62)))
     end = F.coalesce(F.unix_micros("valid_until"), F.lit(2**62))
     keys = ["subject_id", "predicate", "claim"]
@@ -103,13 +103,14 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame) -> DataFrame:
+def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame, several: tuple[str, ...] = MULTI_VALUED) -> DataFrame:
     """Inserts a batch of facts, each with its source, in order of arrival.
 
     A fact whose window meets one with the same object, active or pending, adds
     its source to it (nothing, if that source is known) and is no row of its
     own. An explicit one supersedes all that it meets and closes the only one if
     that was open. Any other one that meets facts is disputed, and they are.
+    Of the predicates in several a subject can have several objects at a time.
     Facts whose windows don't meet, even by way of others, can't touch each
     other, so such stretches are settled apart and those without a new fact
     don't reach Python.
@@ -122,7 +123,7 @@ def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame) -> Data
     touched = batch.select("subject_id", "predicate").distinct()
     old = facts.select(*columns).join(touched, ["subject_id", "predicate"], "left_semi").withColumn("arrival", F.lit(None).cast("long"))
     new = batch.select(*columns, F.col("arrival").cast("long"), F.array(_provenance()).alias("provenance"))
-    split = _islands(old.unionByName(new.drop("provenance")))
+    split = _islands(old.unionByName(new.drop("provenance")), several)
     keys = ["subject_id", "predicate", "claim", "island"]
     reached = split.withColumn("_reached", F.count("arrival").over(W.partitionBy(*keys))).where("_reached > 0").drop("_reached")
     known = sources.groupBy(F.col("fact_id").alias("id")).agg(F.collect_set(_provenance()).alias("old_provenance"))

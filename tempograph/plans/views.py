@@ -28,7 +28,8 @@ UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), c_custkey * 16 + 3, 'lo
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_suppkey * 16 + 4, 'located_in', CAST(s_nationkey AS BIGINT) * 16 + 2, NULL, NULL, NULL, CAST(3 + s_suppkey % 7 AS DOUBLE) / 10, 1, false, false FROM supplier
 UNION ALL SELECT concat('o', CAST(o_orderkey AS STRING)), o_custkey * 16 + 3, 'has_order', o_orderkey * 16 + 6, NULL, CAST(o_orderdate AS TIMESTAMP), NULL, CAST(3 + o_orderkey % 7 AS DOUBLE) / 10, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 3 ELSE 5 END, o_orderkey % 17 = 0, o_orderkey % 5 = 0 FROM orders
 UNION ALL SELECT concat('l', {line}), l_suppkey * 16 + 4, 'supplies', l_partkey * 16 + 5, NULL, CAST(l_shipdate AS TIMESTAMP), {until}, 1 - l_discount, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END, l_orderkey % 17 = 0, l_orderkey % 5 = 0 FROM lineitem
-UNION ALL SELECT concat('e', CAST(event_id AS STRING)), user_id * 16 + 3, 'rejected_action', NULL, substring(props, 1, 7), CAST(ts AS TIMESTAMP), NULL, CAST(5 AS DOUBLE) / 10, 1, false, false FROM events WHERE event_type = 'error'""",
+UNION ALL SELECT concat('e', CAST(event_id AS STRING)), user_id * 16 + 3, 'rejected_action', NULL, props, CAST(ts AS TIMESTAMP), NULL, CAST(5 AS DOUBLE) / 10, 1, false, false FROM events WHERE event_type = 'error'
+UNION ALL SELECT concat('v', CAST(o_orderkey AS STRING)), o_custkey * 16 + 3, 'visited', (1 + o_orderkey % 10) * 16 + 4, NULL, CAST(o_orderdate AS TIMESTAMP), CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY END, CAST(3 + o_orderkey % 7 AS DOUBLE) / 10, 1, false, o_orderkey % 5 = 0 FROM orders WHERE o_orderkey % 7 = 0""",
     "categories": """
 SELECT CAST(r_regionkey AS BIGINT) + 1 AS id, r_name AS name, CAST(NULL AS BIGINT) AS parent_id, CAST(8 AS DOUBLE) / 10 AS memory_weight, 1 AS memory_bucket_id FROM region
 UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 100, n_name, CAST(n_regionkey AS BIGINT) + 1, CAST(5 + n_nationkey % 5 AS DOUBLE) / 10, 2 + n_nationkey % 4 FROM nation""",

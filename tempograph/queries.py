@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph import write_queries
+from tempograph import lookup_queries, write_queries
 from tempograph.catalogue import Query
 from tempograph.catalogue import at as _at
 from tempograph.catalogue import on_table as _table
@@ -158,9 +158,13 @@ SELECT r.subject_id, kept, object_id AS other FROM r JOIN b USING (subject_id) W
     ),
     "j13_transitivity": _q(
         "facts",
-        joins.transitive_locations,
-        f"""SELECT a.subject_id, b.object_id, a.id AS first, b.id AS second, least(a.confidence, b.confidence) AS confidence FROM facts a JOIN facts b ON a.object_id = b.subject_id
-  WHERE a.predicate = 'located_in' AND b.predicate = 'located_in' AND {' AND '.join(f"NOT {x}.pending AND {x}.fact_status_id IN (1, 2)" for x in 'ab')} AND a.subject_id <> b.object_id""",
+        lambda f: joins.visited_places(f.withColumn("depth", F.col("inferred").cast("int"))),
+        """WITH r AS (SELECT *, CASE WHEN inferred THEN 1 ELSE 0 END AS depth FROM facts WHERE fact_status_id IN (1, 2)),
+p AS (SELECT a.subject_id, b.object_id, a.id AS first, b.id AS second, greatest(a.valid_from, b.valid_from) AS valid_from, least(a.valid_until, b.valid_until) AS valid_until, greatest(a.depth, b.depth) + 1 AS depth,
+  least(greatest((a.confidence + b.confidence) * pow(0.8, greatest(a.depth, b.depth) + 1) * 0.75, 0), 0.95) AS confidence
+  FROM r a JOIN r b ON a.object_id = b.subject_id WHERE a.predicate = 'visited' AND b.predicate = 'located_in' AND a.subject_id <> b.object_id)
+SELECT * FROM p WHERE (valid_from IS NULL OR valid_until IS NULL OR valid_from < valid_until)
+  AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.predicate = 'visited' AND f.subject_id = p.subject_id AND f.object_id = p.object_id AND f.object_literal IS NULL)""",
     ),
     "o02_visited_places": _q(
         "facts",
@@ -223,7 +227,7 @@ SELECT root, node, min(distance) AS distance FROM p GROUP BY root, node""",
 }
 
 
-QUERIES |= write_queries.QUERIES
+QUERIES |= write_queries.QUERIES | lookup_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,12 +29,14 @@ def _time(line: Column, zones: list[str]) -> Column:
     return F.coalesce(utc, F.to_utc_timestamp(local, F.when(zone.isin(zones), zone).otherwise("UTC")))
 
 
-#: Zones that are looked up unless others are named.
-ZONES = ["America/Chicago", "America/Los_Angeles", "America/New_York", "Asia/Tokyo", "Europe/Berlin", "Europe/London", "Europe/Paris"]
+def known_zones(texts: DataFrame) -> list[str]:
+    """The names of the time zones that the session knows."""
+    return sorted(texts.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
-def events(texts: DataFrame, text: str = "text", reference: str = "reference", zones: list[str] = ZONES) -> DataFrame:
+def events(texts: DataFrame, text: str = "text", reference: str = "reference", zones: list[str] | None = None) -> DataFrame:
     """Each VEVENT of the texts: reference, uid, summary, starts_at, ends_at, location, status, rule, attendees."""
+    zones = known_zones(texts) if zones is None else zones
     unfolded = F.regexp_replace(F.col(text), r"\r?\n[ \t]", "")
     blocks = texts.select(F.col(reference).alias("reference"), F.explode(F.regexp_extract_all(unfolded, F.lit(r"(?is)BEGIN:VEVENT\s*\n(.*?)END:VEVENT"), F.lit(1))).alias("b"))
     b = F.col("b")

@@ -20,7 +20,7 @@ def _insert(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """The inferred facts of the suppliers come as a batch to the others."""
     supplied = facts.where("predicate = 'supplies'")
     batch = supplied.where("inferred").join(sources.select(F.col("fact_id").alias("id"), "source_type_id", "raw_reference"), "id").withColumn("arrival", F.abs(F.xxhash64("id")))
-    return writes.insert_batch(supplied.where("not inferred"), sources, batch).withColumn("contradicts", F.array_join(F.array_sort("contradicts"), ","))
+    return writes.insert_batch(supplied.where("not inferred"), sources, batch, ("supplies",)).withColumn("contradicts", F.array_join(F.array_sort("contradicts"), ","))
 
 
 def _depths(facts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-ICAL = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Team\\, weekly\r\nDTSTART;TZID=Europe/Berlin:20240105T100000\r\nDTEND:20240105T100000Z\r\nLOCATION:Room\r\n  4\r\nRRULE:FREQ=WEEKLY;COUNT=3\r\nATTENDEE;CN=Ann:mailto:ann@x.org\r\nATTENDEE:mailto:bo@x.org\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20240301\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:no start\r\nDTSTART:soon\r\nEND:VEVENT\r\nEND:VCALENDAR"
+ICAL = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Team\\, weekly\r\nDTSTART;TZID=Europe/Berlin:20240105T100000\r\nDTEND;TZID=Australia/Sydney:20240105T210000\r\nLOCATION:Room\r\n  4\r\nRRULE:FREQ=WEEKLY;COUNT=3\r\nATTENDEE;CN=Ann:mailto:ann@x.org\r\nATTENDEE:mailto:bo@x.org\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20240301\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:no start\r\nDTSTART:soon\r\nEND:VEVENT\r\nEND:VCALENDAR"
 
 
 def test_calendar(spark):
