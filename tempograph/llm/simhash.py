@@ -24,7 +24,8 @@ bits; pairs that share a block are verified by their Hamming distance over all
 bits. Pairs within 9 bits always share a block, as at most 12 of the blocks have
 a given byte; nine in ten of those at the limit do. Where more than ``BUCKET``
 representatives share a block, each is compared with one of them, another one
-in each block.
+in each block. What a quarter of the blocks has connected is not compared again,
+so a large group makes few pairs.
 """
 
 from __future__ import annotations
@@ -123,83 +124,86 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str
     return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _WIDE_COLUMNS))
 
 
-def wide_blocks(reps: DataFrame) -> DataFrame:
-    """(block, rep) for each of the TABLES blocks of each representative (rep, f0, f1 ...); block holds the table's number and its 24 bits."""
+def wide_blocks(reps: DataFrame, spacings: tuple[tuple[int, int], ...] = SPACINGS) -> DataFrame:
+    """(block, rep, part) for each block of each representative (rep, part, f0, f1 ...); block holds the block's number and its 24 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = [((k, (k + a) % (WIDE // 8), (k + b) % (WIDE // 8))) for a, b in SPACINGS for k in range(WIDE // 8)]
+        places = [(k, (k + a) % (WIDE // 8), (k + b) % (WIDE // 8)) for a, b in spacings for k in range(WIDE // 8)]
         for b in slices(batches, 4096):
             octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1).astype(np.int32)
             blocks = np.stack([t << 24 | octets[:, i] << 16 | octets[:, j] << 8 | octets[:, k] for t, (i, j, k) in enumerate(places)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel().astype(np.int32)), pa.array(np.repeat(b["rep"].to_numpy(zero_copy_only=False), len(places)))], ["block", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel().astype(np.int32)), *(pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), len(places))) for c in ("rep", "part"))], ["block", "rep", "part"])
 
-    return reps.select("rep", *_WIDE_COLUMNS).mapInArrow(run, "block int, rep long")
+    return reps.select("rep", "part", *_WIDE_COLUMNS).mapInArrow(run, "block int, rep long, part long")
 
 
 def _met(bucket: int):
-    """Pairs within each block of sorted (block, h, rep): all of a small one; of a crowded one each with the first, without holding more than a bucket."""
+    """Pairs of different parts within each block of sorted (block, h, rep, part): all of a small one; of a crowded one each with the first, without holding more than a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, crowded = None, [], False
-        a: list[int] = []
-        b: list[int] = []
+        pairs: list[tuple[int, int]] = []
 
         def close() -> None:
             if not crowded:
-                for x, y in combinations(held, 2):
-                    a.append(x)
-                    b.append(y)
+                pairs.extend((x, y) for (x, p), (y, q) in combinations(held, 2) if p != q)
+
+        def made() -> pa.RecordBatch:
+            found = np.array(pairs, np.int64).reshape(-1, 2)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
-            blocks, reps = batch["block"].to_numpy(zero_copy_only=False), batch["rep"].to_numpy(zero_copy_only=False)
+            blocks, reps, parts = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "rep", "part"))
             # Rows alone in their block meet nobody; the first and last of a batch may have neighbours elsewhere.
             alone = np.zeros(len(blocks), np.bool_)
             alone[1:-1] = (blocks[1:-1] != blocks[:-2]) & (blocks[1:-1] != blocks[2:])
-            for block, rep in zip(blocks[~alone].tolist(), reps[~alone].tolist()):
+            for block, rep, part in zip(blocks[~alone].tolist(), reps[~alone].tolist(), parts[~alone].tolist()):
                 if block != now:
                     close()
                     now, held, crowded = block, [], False
-                if crowded or len(held) == bucket:
-                    if not crowded:
-                        a.extend(held[:1] * (len(held) - 1))
-                        b.extend(held[1:])
-                        crowded = True
-                    a.append(held[0])
-                    b.append(rep)
-                else:
-                    held.append(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
+                if not crowded and len(held) < bucket:
+                    held.append((rep, part))
+                    continue
+                late = [(rep, part)] if crowded else [*held[1:], (rep, part)]
+                crowded = True
+                pairs.extend((held[0][0], x) for x, p in late if p != held[0][1])
+            yield made()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield made()
 
     return run
 
 
-def wide_links(reps: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Pairs (a, b) of representatives that share a block and lie within the similarity's distance."""
-    keyed = wide_blocks(reps)
+def wide_links(reps: DataFrame, similarity: float, bucket: int, spacings: tuple[tuple[int, int], ...] = SPACINGS) -> DataFrame:
+    """Pairs (a, b) of representatives of different parts that share a block and lie within the similarity's distance."""
+    keyed = wide_blocks(reps, spacings)
     # Blocks of more than one in HEAVY rows, fewer than HEAVY of them: all their rows are compared with one, where they are.
-    most = max(bucket, reps.count() * TABLES // HEAVY)
+    most = max(bucket, reps.count() * len(spacings) * WIDE // 8 // HEAVY)
     heavy = cut(keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block"))
-    pivots = cut(keyed.join(F.broadcast(heavy), "block").groupBy("block").agg(F.min_by("rep", F.hash("rep", "block")).alias("pivot")))
-    stars = keyed.join(F.broadcast(pivots), "block").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    pivot = F.min_by(F.struct("rep", "part"), F.hash("rep", "block")).alias("pivot")
+    pivots = cut(keyed.join(F.broadcast(heavy), "block").groupBy("block").agg(pivot).select("block", F.col("pivot.rep").alias("pivot"), F.col("pivot.part").alias("pivot_part")))
+    stars = keyed.join(F.broadcast(pivots), "block").where("part <> pivot_part").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     others = keyed.join(F.broadcast(heavy), "block", "left_anti").withColumn("h", F.hash("rep", "block"))
-    pairs = others.repartition("block").sortWithinPartitions("block", "h").select("block", "rep").mapInArrow(_met(bucket), "a long, b long")
+    pairs = others.repartition("block").sortWithinPartitions("block", "h").select("block", "rep", "part").mapInArrow(_met(bucket), "a long, b long")
     met = stored(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
     first = met.groupBy("a").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "a"), "a").withColumnRenamed("bits", "x")
     both = join_classes(met, cut(first), "a", "b", met.count()).join(bits.withColumnRenamed("rep", "b"), "b")
     apart = F.aggregate(F.zip_with("x", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.where(apart <= wide_distance(similarity)).select("a", "b")
+    return cut(both.where(apart <= wide_distance(similarity)).select("a", "b"))
 
 
 def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links between similar texts lead to, of each row."""
     fps = stored(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("rep", F.xxhash64(*_WIDE_COLUMNS)), "fingerprints")
     reps = cut(fps.groupBy("rep", *_WIDE_COLUMNS).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(wide_links(reps, similarity, bucket)), "rep").select("doc_id", "component_id")
+    # A quarter of the blocks connects most of what is close; the others compare only what is still apart.
+    links = wide_links(reps.withColumn("part", F.col("rep")), similarity, bucket, SPACINGS[:1])
+    parts = components(links).select(F.col("node").alias("rep"), "root")
+    again = cut(reps.join(parts, "rep", "left").withColumn("part", F.coalesce("root", "rep")))
+    links = links.unionByName(wide_links(again, similarity, bucket, SPACINGS[1:]))
+    return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(links), "rep").select("doc_id", "component_id")
 
 
 def _classes(rows: DataFrame, reps: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
