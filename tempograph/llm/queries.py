@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempograph.llm import bpe, decontam, idfile, shards, simhash, substr, tokcount, toxicity, tsmedia, warc
+from tempograph.llm import bpe, decontam, idfile, phrases, prefixtrie, quality, shards, simhash, substr, tokcount, toxicity, tsmedia, warc
 from tempograph.llm.common import table
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: shards.op8(table(s, d, "documents")),
         "op9_warc": lambda s, d: warc.op9(table(s, d, "pages")),
         "op10_media": lambda s, d: tsmedia.op10(table(s, d, "documents")),
+        "op11_prefix_trie": lambda s, d: prefixtrie.op11(table(s, d, "conversations")),
+        "op12_phrases": lambda s, d: phrases.op12(table(s, d, "documents")),
+        "op13_quality": lambda s, d: quality.op13(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
@@ -70,6 +73,45 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGITS} AS payload_dige
 FROM p JOIN r USING (html)
 """
 
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda r, b: list_reduce(list_prepend(xor(r, b), repeat([0::BIGINT], 8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+_OP11 = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS s FROM turns GROUP BY conv_id),
+hashed AS (SELECT conv_id, s, {_CRC} % 9 AS h FROM own),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(p.s, [])[1 : c.h], c.s[c.h + 1 :]) AS s FROM hashed c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, d AS depth, s[1 : d] AS prefix, len(s) = d AS ends FROM rebuilt, unnest(range(0, len(s) + 1)) AS t(d)),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+    CASE WHEN depth > 0 THEN (count(*) - 1) * strlen(prefix[-1].text) ELSE 0 END AS cost
+  FROM prefixes GROUP BY prefix, depth),
+tops AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]),
+children AS (SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n_children FROM tops WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM tops t LEFT JOIN children c ON c.parent_conv_id = t.conv_id AND c.depth = t.depth),
+above AS (SELECT n_children, cost, d AS depth, prefix[1 : d] AS prefix FROM counted, unnest(range(0, depth + 1)) AS t(d)),
+sums AS (SELECT prefix, depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(cost) AS saved FROM above GROUP BY prefix, depth)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM counted JOIN sums USING (prefix, depth)
+"""
+
+_OP12 = r"""
+WITH texts AS (SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+split AS (SELECT t, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM pieces, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS p(i)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+longs AS (SELECT * FROM f WHERE m > 1),
+held AS (
+  SELECT c.lang, c.phrase FROM longs c JOIN longs l ON l.lang = c.lang AND l.m > c.m AND contains(' ' || l.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * l.f >= 100 * c.f GROUP BY ALL),
+cuts AS (
+  SELECT s.lang, s.phrase, s.f AS a, k, array_to_string(string_split(s.phrase, ' ')[1 : k], ' ') AS head, array_to_string(string_split(s.phrase, ' ')[k + 1 :], ' ') AS tail
+  FROM longs s ANTI JOIN held USING (lang, phrase), unnest(range(1, s.m)) AS t(k)),
+met AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail JOIN totals t ON t.lang = c.lang),
+least AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op6_substrings": _OP6, "op9_warc": _OP9}
+    return {"op1_decontamination": _OP1, "op6_substrings": _OP6, "op9_warc": _OP9, "op11_prefix_trie": _OP11, "op12_phrases": _OP12}
