@@ -65,6 +65,15 @@ def discard_others(spark: SparkSession, kept: list[str]) -> None:
         _made.remove(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has written, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(file)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def made() -> list[str]:
     """The folders that are there now."""
     return list(_made)

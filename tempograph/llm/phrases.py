@@ -8,8 +8,14 @@ words that stand there, which gives the lists of the longer phrases; a list's
 length is the phrase's exact frequency in the block. Only those lengths are
 shuffled: added up over all blocks by phrase and next word, they tell which
 phrases are frequent, and each block hears of its own and drops the other lists.
-A phrase that starts where the phrase after its first word isn't frequent can't
-be frequent, and is left out at once.
+
+Two tests spare most phrases the shuffle, and neither can drop a frequent one: a
+phrase that starts where the phrase after its first word isn't frequent is left
+out at once; and the lists' lengths are first added up by a hash of the phrase,
+in a number of buckets that grows with the input up to ``BUCKETS``, as packed
+numbers. What falls into a bucket with too few occurrences is no candidate. Of
+the buckets only one bit each is broadcast, 32 MiB at most; in inputs so large that
+all buckets fill up, all lists are candidates.
 
 Phrases have numbers (the smallest block and place that has them), so pairs of
 number and next word are exact. Frequencies, scores and ranks are Spark joins
@@ -30,17 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import slices, stored, utf8
+from tempograph.llm.common import discard, slices, stored, utf8
 
 #: Words of the longest phrase, occurrences of a frequent one, and phrases of a language that are returned.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words and separators of a block, and bytes of a text that are split at one time.
-BLOCK, PART = 1 << 21, 1 << 20
+#: Words and separators of a block, those that a task holds in all its open blocks, and bytes of a text that are split at one time.
+BLOCK, HELD, PART = 1 << 20, 1 << 21, 1 << 20
+#: Most buckets (a power of two), occurrences for one bucket, and buckets of a segment.
+BUCKETS, LOAD, SEGMENT = 1 << 28, 32, 1 << 16
 #: Rows of words of a batch; bits of a phrase's number for its place in a block, and for the block's place in its partition.
 _SOME, _PLACE, _SEQ = 1 << 16, 23, 18
 
@@ -48,13 +57,33 @@ _MARK = b"\xff"  # occurs in no UTF-8
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
-#: A row of a block (words, numbers of its words, lists) or of one phrase of a block.
-_FIELDS = "block long, lang string, before int, words binary, numbers binary, starts binary, counts binary, place int, word string, prefix long, next long, n long"
-_SCHEMA = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in _FIELDS.split(", ")])
 
 
-def _filled(n: int, /, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+def _schema(fields: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in fields.split(", ")])
+
+
+#: A block with its words or a word of it; a block with its postings and lists; a phrase of a block; the buckets of a segment.
+_TEXT = "block long, lang string, before int, words binary, place int, word string, n long"
+_LISTS = "block long, lang string, before int, words binary, numbers binary, starts binary, counts binary, phrases binary"
+_FOUND = "block long, lang string, place int, prefix long, next long, n long"
+_COUNTS = "segment int, packed binary"
+
+
+def _filled(fields: str, n: int, /, **columns) -> pa.RecordBatch:
+    schema = _schema(fields)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all first bytes before all second ones."""
+    size = a.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, size).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -80,12 +109,13 @@ class _Block:
     """Words of one language; those before the first own word were counted in the block before."""
 
     def __init__(self, before: list[bytes]) -> None:
-        self.numbers, self.parts, self.before, self.last = _Numbers({_MARK: 0}), [], len(before), []
+        self.numbers, self.parts, self.before, self.last, self.size = _Numbers({_MARK: 0}), [], len(before), [], 0
         self.add(before)
 
     def add(self, words: list[bytes]) -> None:
         self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.last = [*self.last, *words[1 - LONGEST :]][1 - LONGEST :]
+        self.size += len(words)
 
     def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(self.parts)
@@ -93,26 +123,26 @@ class _Block:
             return
         n = np.bincount(ids[self.before :], minlength=len(self.numbers))
         names = [w.decode() for w in self.numbers if w != _MARK]
-        yield _filled(1, block=[block], lang=[lang], before=[self.before], words=[ids.tobytes()])
+        yield _filled(_TEXT, 1, block=[block], lang=[lang], before=[self.before], words=[packed(ids)])
         for k in range(0, len(names), _SOME):
             some = names[k : k + _SOME]
-            yield _filled(len(some), block=np.full(len(some), block), lang=[lang] * len(some), place=np.arange(k + 1, k + 1 + len(some), dtype=np.int32), word=some, n=n[k + 1 : k + 1 + len(some)])
+            yield _filled(_TEXT, len(some), block=np.full(len(some), block), lang=[lang] * len(some), place=np.arange(k + 1, k + 1 + len(some), dtype=np.int32), word=some, n=n[k + 1 : k + 1 + len(some)])
 
 
-def _blocks(size: int):
+def _blocks(size: int, most: int):
     """Cuts texts into blocks of about size words; gives a row for each block and one for each of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, _Block] = {}
         held, seq, part = 0, 0, TaskContext.get().partitionId()
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal held, seq
-            for lang, block in blocks.items():
+            for lang in langs:
+                block = blocks.pop(lang)
+                held -= block.size
                 yield from block.rows((part << _SEQ | seq) << _PLACE, lang)
                 seq += 1
-            blocks.clear()
-            held = 0
 
         for b in batches:
             for s in slices([b]):
@@ -122,67 +152,162 @@ def _blocks(size: int):
                             blocks[lang] = _Block([])
                         blocks[lang].add(words)
                         held += len(words)
-                        if held >= size:
+                        if blocks[lang].size >= size:
                             before = blocks[lang].last
-                            yield from close()
+                            yield from close([lang])
                             blocks[lang] = _Block(before)  # the text may go on
+                            held += len(before)
                     if lang in blocks:
                         blocks[lang].add([_MARK])
-        yield from close()
+                        held += 1
+                    if held >= most:
+                        yield from close(list(blocks))
+        yield from close(list(blocks))
 
     return run
 
 
-def _grow(length: int, last: bool):
-    """Of a block, given the numbers of its frequent phrases of some length: the lists of the phrases that are one word longer, and a row for each of those."""
-
-    def run(block: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not block.num_rows or not frequent.num_rows:
-            return pa.Table.from_batches([], _SCHEMA)
-        row = block.slice(0, 1).to_pylist()[0]
-        words = np.frombuffer(row["words"], np.int32)
-        place, number = frequent["place"].to_numpy(), frequent["number"].to_numpy()
-        if length == 1:  # only frequent words are postings from here on
-            order = np.argsort(place)
-            place, numbers = place[order], number[order]
-            new = np.zeros(max(int(words.max()), int(place[-1])) + 1, np.int32)
-            new[place] = np.arange(1, len(place) + 1)
-            words = new[words]
-            starts = np.argsort(words, kind="stable").astype(np.int32)
-            starts = starts[words[starts] > 0]
-            phrase = numbers[words[starts] - 1]
+class _Lists:
+    """The inverted lists of a block: where its frequent phrases of some length start, and what grows out of them."""
+
+    def __init__(self, row: dict, length: int) -> None:
+        self.block, self.lang, self.before, self.length = row["block"], row["lang"], row["before"], length
+        self.words, self.numbers = unpacked(row["words"], np.int32), unpacked(row["numbers"], np.int64)
+        if length == 1:
+            starts = np.argsort(self.words, kind="stable").astype(np.int32)
+            starts = starts[self.words[starts] > 0]
+            phrase, self.phrases = self.words[starts] - 1, self.numbers
         else:
-            numbers = np.frombuffer(row["numbers"], np.int64)
-            counts = np.frombuffer(row["counts"], np.int32)
-            of_place = np.full(len(counts), -1, np.int64)
-            of_place[place] = number
-            phrase = np.repeat(of_place, counts)
-            starts = np.frombuffer(row["starts"], np.int32)[phrase >= 0]
-            phrase = phrase[phrase >= 0]
-        begins = np.zeros(len(words) + 1, bool)
+            self.phrases = unpacked(row["phrases"], np.int64)
+            starts = unpacked(row["starts"], np.int32)
+            phrase = np.repeat(np.arange(len(self.phrases), dtype=np.int32), unpacked(row["counts"], np.int32))
+        begins = np.zeros(len(self.words) + 1, bool)
         begins[starts] = True
         # Where the next word's phrase begins too, a posting of a frequent word follows.
-        able = begins[starts + 1] & (starts + length < len(words))
+        able = begins[starts + 1] & (starts + length < len(self.words))
         starts, phrase = starts[able], phrase[able]
-        _, rank = np.unique(phrase, return_inverse=True)
-        follows = words[starts + length]
-        key = rank.astype(np.int64) << 32 | follows
+        key = phrase.astype(np.int64) << 32 | self.words[starts + length]
         order = np.argsort(key, kind="stable")
-        key, starts, phrase, follows = key[order], starts[order], phrase[order], follows[order]
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(heads, len(key))).astype(np.int32)
-        own = np.add.reduceat(starts >= row["before"] - length, heads, dtype=np.int64) if len(key) else np.zeros(0, np.int64)
-        k = len(heads)
-        out = [_filled(k, block=np.full(k, row["block"]), lang=[row["lang"]] * k, place=np.arange(k, dtype=np.int32), prefix=phrase[heads], next=numbers[follows[heads] - 1], n=own)]
-        if not last:
-            read = np.zeros_like(words)  # postings that no later phrase can reach are dropped
-            read[starts + length] = follows
-            out.append(_filled(1, block=[row["block"]], lang=[row["lang"]], before=[row["before"]], words=[read.tobytes()], numbers=[numbers.tobytes()], starts=[starts.tobytes()], counts=[counts.tobytes()]))
-        return pa.Table.from_batches(out, _SCHEMA)
+        key, self.starts = key[order], starts[order]
+        self.heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.counts = np.diff(np.append(self.heads, len(key))).astype(np.int32)
+        self.prefix, self.next = self.phrases[key[self.heads] >> 32], self.numbers[(key[self.heads] & 0xFFFFFFFF) - 1]
+
+    def own(self) -> np.ndarray:
+        """How often each longer phrase ends in a word that this block counts."""
+        return np.add.reduceat(self.starts >= self.before - self.length, self.heads, dtype=np.int64) if len(self.heads) else np.zeros(0, np.int64)
+
+    def buckets(self, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (self.next.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+    def kept(self, place: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        """The lists of those longer phrases that are frequent (their places and numbers), with the postings that they can meet."""
+        order = np.argsort(place)
+        place, number = place[order], number[order]
+        chosen = np.zeros(len(self.heads), bool)
+        chosen[place] = True
+        reach = np.zeros_like(self.words)
+        at = self.starts + self.length
+        reach[at] = self.words[at]
+        starts = self.starts[np.repeat(chosen, self.counts)]
+        return _filled(_LISTS, 1, block=[self.block], lang=[self.lang], before=[self.before], words=[packed(reach)], numbers=[packed(self.numbers)], starts=[packed(starts)], counts=[packed(self.counts[place])], phrases=[packed(number)])
+
+
+def _each(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[_Lists]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield _Lists(b.slice(k, 1).to_pylist()[0], length)
+
+
+def _counted(length: int, bits: int, least: int):
+    """Occurrences by bucket, up to least, packed for each segment of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _each(batches, length):
+            bucket, which = np.unique(x.buckets(bits), return_inverse=True)
+            n = np.minimum(np.bincount(which, weights=x.own()), least).astype(np.int64)
+            bucket, n = bucket[n > 0], n[n > 0]
+            cuts = np.flatnonzero(np.diff(bucket // SEGMENT)) + 1
+            for at, some in zip(np.split(bucket, cuts), np.split(n, cuts)):
+                if len(at):
+                    yield _filled(_COUNTS, 1, segment=[int(at[0] // SEGMENT)], packed=[packed(np.stack((np.diff(at % SEGMENT, prepend=0), some)).astype(np.uint32).reshape(-1))])
+
+    return run
+
+
+def _summed(least: int):
+    """Of each segment whose rows stand together, a bit for each bucket: whether it has enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, total = None, np.zeros(SEGMENT, np.int64)
+        for b in batches:
+            for s, data in zip(b["segment"].to_pylist(), b["packed"]):
+                if s != segment:
+                    if segment is not None:
+                        yield _filled(_COUNTS, 1, segment=[segment], packed=[np.packbits(total >= least).tobytes()])
+                    segment, total = s, np.zeros(SEGMENT, np.int64)
+                gaps, n = unpacked(data.as_py(), np.uint32).astype(np.int64).reshape(2, -1)
+                total[np.cumsum(gaps)] += n
+        if segment is not None:
+            yield _filled(_COUNTS, 1, segment=[segment], packed=[np.packbits(total >= least).tobytes()])
 
     return run
 
 
+def _grown(length: int, bits: int, enough):
+    """A row for each longer phrase of a block whose bucket has enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _each(batches, length):
+            bucket = x.buckets(bits)
+            place = np.flatnonzero(enough.value[bucket >> 3] >> (7 - (bucket & 7)) & 1)
+            n = x.own()
+            for k in range(0, len(place), _SOME):
+                p = place[k : k + _SOME]
+                yield _filled(_FOUND, len(p), block=np.full(len(p), x.block), lang=[x.lang] * len(p), place=p.astype(np.int32), prefix=x.prefix[p], next=x.next[p], n=n[p])
+
+    return run
+
+
+def _posted(text: pa.Table, frequent: pa.Table) -> pa.Table:
+    """A block with the postings of its frequent words only."""
+    if not text.num_rows or not frequent.num_rows:
+        return pa.Table.from_batches([], _schema(_LISTS))
+    row = text.slice(0, 1).to_pylist()[0]
+    place, number = frequent["place"].to_numpy(), frequent["number"].to_numpy()
+    order = np.argsort(place)
+    words = unpacked(row["words"], np.int32)
+    new = np.zeros(max(int(words.max()), int(place.max())) + 1, np.int32)
+    new[place[order]] = np.arange(1, len(place) + 1)
+    return pa.Table.from_batches([_filled(_LISTS, 1, block=[row["block"]], lang=[row["lang"]], before=[row["before"]], words=[packed(new[words])], numbers=[packed(number[order])])])
+
+
+def _chosen(length: int):
+    """A block with the lists of its frequent phrases that are one word longer."""
+
+    def run(lists: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not lists.num_rows or not frequent.num_rows:
+            return pa.Table.from_batches([], _schema(_LISTS))
+        x = _Lists(lists.slice(0, 1).to_pylist()[0], length)
+        return pa.Table.from_batches([x.kept(frequent["place"].to_numpy(), frequent["number"].to_numpy())])
+
+    return run
+
+
+def _enough(lists: DataFrame, length: int, occurrences: int, least: int):
+    """The buckets that have enough occurrences of longer phrases, as a broadcast array of bits, and the number of bits of a bucket's number."""
+    bits = min(max(16, (max(1, occurrences // LOAD) - 1).bit_length()), BUCKETS.bit_length() - 1)
+    counts = lists.mapInArrow(_counted(length, bits, least), _COUNTS).repartition("segment").sortWithinPartitions("segment")
+    flags = np.zeros((1 << bits) // 8, np.uint8)
+    for row in counts.mapInArrow(_summed(least), _COUNTS).toLocalIterator():  # a bit for each bucket in all
+        flags[row["segment"] * (SEGMENT // 8) : (row["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(row["packed"], np.uint8)
+    return bits, lists.sparkSession.sparkContext.broadcast(flags)
+
+
 def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     """Rows of phrases that are frequent over all blocks, with f (how often they occur) and number."""
     same = W.partitionBy(*by)
@@ -195,20 +320,33 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases have 1 to {LONGEST} words")
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    made = stored(texts.mapInArrow(_blocks(block), _FIELDS), "blocks")
-    spoken = made.where("word is not null")
-    totals = spoken.groupBy("lang").agg(F.sum("n").alias("n"))
-    owner = F.col("number") == F.col("block") + F.col("place")
+    read = stored(texts.mapInArrow(_blocks(block, HELD), _TEXT), "blocks")
+    spoken = read.where("word is not null").select("block", "lang", "place", "word", "n")
+    totals = stored(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     known = stored(_frequent(spoken, ["lang", "word"], least), "frequent-1")
-    words = known.where(owner).select("lang", "number", F.col("word").alias("phrase"), "f")
+    owner = F.col("number") == F.col("block") + F.col("place")
+    words = stored(known.where(owner).select("lang", "number", F.col("word").alias("phrase"), "f"), "phrases-1")
     found = [words]
+    if longest > 1:
+        text = read.where("words is not null").select("block", "lang", "before", "words").groupBy("block")
+        lists = stored(text.cogroup(known.select("block", "place", "number").groupBy("block")).applyInArrow(_posted, _LISTS), "lists-1")
+        discard(read, known)
     for length in range(1, longest):
-        lists, answers = made.where("words is not null").groupBy("block"), known.select("block", "place", "number").groupBy("block")
-        made = stored(lists.cogroup(answers).applyInArrow(_grow(length, length + 1 == longest), _FIELDS), f"lists-{length + 1}")
-        known = stored(_frequent(made.where("n is not null"), ["prefix", "next"], least), f"frequent-{length + 1}")
+        occurrences = found[-1].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+        bits, enough = _enough(lists, length, occurrences, least)
+        grown = stored(lists.mapInArrow(_grown(length, bits, enough), _FOUND), f"grown-{length + 1}")
+        enough.destroy()
+        known = stored(_frequent(grown, ["prefix", "next"], least), f"frequent-{length + 1}")
+        discard(grown)
         heads = found[-1].select(F.col("number").alias("prefix"), F.col("phrase").alias("head"))
         tails = words.select(F.col("number").alias("next"), F.col("phrase").alias("tail"))
         found.append(stored(known.where(owner).join(heads, "prefix").join(tails, "next").select("lang", "number", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases-{length + 1}"))
+        if length + 1 < longest:
+            longer = stored(lists.groupBy("block").cogroup(known.select("block", "place", "number").groupBy("block")).applyInArrow(_chosen(length), _LISTS), f"lists-{length + 1}")
+            discard(lists, known)
+            lists = longer
+        else:
+            discard(lists, known)
     all_of_them = found[0].withColumn("length", F.lit(1))
     for k, f in enumerate(found[1:], 2):
         all_of_them = all_of_them.unionByName(f.withColumn("length", F.lit(k)))
