@@ -62,6 +62,21 @@ SELECT p_partkey * 16 + 5 AS entity_id, p_brand AS alias FROM part
 UNION ALL SELECT c_custkey * 16 + 3, c_mktsegment FROM customer""",
     "attempts": """
 SELECT event_id AS id, user_id AS key, CAST(ts AS TIMESTAMP) AS ts, event_type = 'error' AS failed, event_type = 'click' AS active FROM events""",
+    "rings": """
+SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, CAST(r_regionkey AS BIGINT) * 16 + 1 AS subject_id, 'located_in' AS predicate, CAST((r_regionkey + 1) % 5 AS BIGINT) * 16 + 1 AS object_id, CAST(NULL AS STRING) AS object_literal,
+  CAST(NULL AS TIMESTAMP) AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_until, CAST(9 AS DOUBLE) / 10 AS confidence, 1 AS fact_status_id, false AS pending, false AS inferred FROM region""",
+    "preference_writes": """
+SELECT event_id AS id, CASE WHEN user_id % 50 > 0 THEN user_id * 16 + 3 END AS entity_id, event_type AS key, props AS value, CASE WHEN event_id % 77 = 0 THEN CAST(9 AS DOUBLE) / 10 WHEN event_id % 11 = 0 THEN CAST(1 AS DOUBLE) WHEN event_id % 97 = 0 THEN CAST(11 AS DOUBLE) / 10 ELSE CAST(event_id % 5 AS DOUBLE) / 10 END AS confidence,
+  event_id % 11 = 0 AS overridden_by_user, event_id AS arrival FROM events""",
+    "place_statements": """
+SELECT o_orderkey AS id, o_custkey * 16 + 3 AS entity_id, CAST(1 + o_orderkey % 2 AS INT) AS location_type_id, CASE WHEN o_orderkey % 3 > 0 THEN concat('street ', CAST(floor(o_totalprice) AS BIGINT) % 3) END AS address,
+  CASE WHEN o_orderkey % 5 > 0 THEN 10 + CAST(CAST(floor(o_totalprice) AS BIGINT) % 3 AS DOUBLE) / 2 + CAST(o_orderkey % 7 AS DOUBLE) / 5000 END AS latitude, CASE WHEN o_orderkey % 5 > 0 THEN CAST(20 AS DOUBLE) END AS longitude, CASE WHEN o_orderkey % 4 = 1 THEN 'UTC' END AS timezone,
+  CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS valid_from, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 400 DAY END AS valid_until, o_orderkey AS arrival, o_orderkey % 9 = 0 AS there FROM orders""",
+    "mentions": """
+SELECT DISTINCT p_name AS asked, 4 AS entity_type_id FROM part UNION SELECT upper(substring(p_name, 1, position(' ' IN p_name) - 1)), 4 FROM part
+UNION SELECT p_brand, 4 FROM part UNION SELECT lower(c_mktsegment), 1 FROM customer UNION SELECT lower(r_name), 2 FROM region
+UNION SELECT lower(replace(n_name, '_', ' ')), 2 FROM nation UNION SELECT upper(s_name), CASE WHEN s_suppkey % 2 = 0 THEN 6 ELSE 1 END FROM supplier
+UNION SELECT lower(replace(c_name, '#', ' ')), 1 FROM customer WHERE c_custkey % 10 = 0 UNION SELECT concat(s_name, ' & co'), 6 FROM supplier UNION SELECT concat('order ', CAST(o_orderkey AS STRING)), 3 FROM orders WHERE o_orderkey % 100 = 0""",
     "audit": """
 SELECT event_id AS id, user_id AS fact_id, event_type AS change_type, CAST(ts AS TIMESTAMP) AS changed_at, value FROM events""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph import lookup_queries, write_queries
+from tempograph import derived_queries, lookup_queries, write_queries
 from tempograph.catalogue import Query
 from tempograph.catalogue import at as _at
 from tempograph.catalogue import on_table as _table
@@ -227,7 +227,7 @@ SELECT root, node, min(distance) AS distance FROM p GROUP BY root, node""",
 }
 
 
-QUERIES |= write_queries.QUERIES | lookup_queries.QUERIES
+QUERIES |= write_queries.QUERIES | lookup_queries.QUERIES | derived_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
