@@ -49,7 +49,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words and separators of a block, those that a task holds in all its open blocks, and bytes of a text that are split at one time.
 BLOCK, HELD, PART = 1 << 20, 1 << 21, 1 << 20
 #: Most buckets (a power of two), occurrences for one bucket, and buckets of a segment.
-BUCKETS, LOAD, SEGMENT = 1 << 28, 32, 1 << 16
+BUCKETS, LOAD, SEGMENT = 1 << 28, 4, 1 << 16
 #: Rows of words of a batch; bits of a phrase's number for its place in a block, and for the block's place in its partition.
 _SOME, _PLACE, _SEQ = 1 << 16, 23, 18
 
