@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
-from tempograph.operators import cascade, inference, places, preferences, resolution, trashcan
+from tempograph.functions import recurrence, render, text
+from tempograph.operators import aggregates, cascade, graph, inference, joins, memory, places, preferences, ranking, resolution, retrieval, trashcan
 from tempograph.streaming import centrality
 
 NOW = "1997-03-31 12:00:00"
@@ -202,6 +203,122 @@ all_ AS (
   UNION ALL SELECT asked, id, entity_type_id, 3, {_SCORE}, rank FROM (SELECT * FROM hits WHERE rank <= -0.2 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY rank, id) <= 10)),
 once AS (SELECT * FROM (SELECT * FROM all_ QUALIFY row_number() OVER (PARTITION BY asked, id ORDER BY kind) = 1))"""
 
+# --- retrieval -------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_SPLIT = r"list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_ONCE = "list_filter({0}, lambda z, i: list_position(list_transform({0}, lambda x: lower(x)), lower(z)) = i)"
+_PLANS = f"""WITH plans AS (
+  SELECT task_id, task, ({_ONCE.format("w")})[1 : 16] AS searches, ({_ONCE.format("s")})[1 : 8] AS salient
+  FROM (SELECT task_id, task, w, list_filter(w, lambda x: len(x) >= 2 AND lower(x) NOT IN ({_STOP})) AS s FROM (SELECT task_id, task, {_SPLIT.format("regexp_replace(task, '[''’][sS]', ' ', 'g')")} AS w FROM tasks))),
+asked_for AS (SELECT DISTINCT unnest(searches) AS asked FROM plans)"""
+_FOUND = (
+    _HITS.replace("FROM mentions", "FROM asked_for").replace("WITH names", _PLANS + ", names", 1)
+    + """, best AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY rank, id) AS result FROM hits QUALIFY result <= 10),
+met AS (SELECT task_id, step, result, e.id, name FROM (SELECT task_id, unnest(searches) AS asked, generate_subscripts(searches, 1) AS step FROM plans) JOIN best USING (asked) JOIN entities e ON e.id = best.id),
+once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY task_id, lower(name) ORDER BY step, result, id) = 1),
+candidates AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY step, result, id) AS place, id, name FROM once QUALIFY place <= 12)"""
+)
+_EVIDENCE = (
+    _FOUND
+    + """, read AS (SELECT f.*, o.name AS object FROM facts f LEFT JOIN entities o ON o.id = f.object_id WHERE NOT pending AND fact_status_id NOT IN (5, 6) AND subject_id IN (SELECT id FROM candidates) QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY confidence DESC, valid_from DESC NULLS LAST, f.id DESC) <= 200),
+told AS (SELECT subject_id, predicate, object, object_literal, confidence, valid_from, valid_until, fact_status_id, inferred, count(DISTINCT r.id) AS n_facts, string_agg(DISTINCT source_type_id || ':' || raw_reference, ',' ORDER BY source_type_id || ':' || raw_reference) AS sources FROM read r LEFT JOIN sources s ON s.fact_id = r.id GROUP BY ALL)
+SELECT task_id, subject_id AS entity_id, predicate, object, confidence, valid_from, n_facts, coalesce(sources, '') AS sources FROM (SELECT DISTINCT task_id, id FROM candidates) JOIN told ON subject_id = id"""
+)
+_MATCHES = (
+    _PLANS
+    + r""", asked AS (SELECT task_id, unnest(list_distinct(CASE WHEN len(salient) > 0 THEN list_transform(salient, lambda x: lower(x)) ELSE list_filter(string_split_regex(lower(task), '[^\p{L}\p{N}]+'), lambda w: w <> '') END)) AS term FROM plans),
+lists AS (SELECT session_id, turn, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM messages),
+terms AS (SELECT session_id, turn, term, count(*) AS tf, any_value(len(w)) AS length FROM (SELECT *, unnest(w) AS term FROM lists) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), whole AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM lists),
+scored AS (SELECT task_id, session_id, turn, round(sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+  FROM asked JOIN terms USING (term) JOIN df USING (term), whole GROUP BY 1, 2, 3)
+SELECT task_id, session_id, turn, place, score FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, session_id, turn) AS place FROM scored) WHERE place <= 20"""
+)
+
+
+def _evidence(tasks: DataFrame, entities: DataFrame, aliases: DataFrame, facts: DataFrame, sources: DataFrame) -> DataFrame:
+    found = retrieval.candidates(retrieval.planned(tasks), resolution.index(entities, aliases), entities)
+    told = retrieval.evidence(found, facts, entities, sources)
+    listed = F.array_join(F.array_sort(F.transform("sources", lambda s: F.concat(s["source_type_id"].cast("string"), F.lit(":"), s["raw_reference"]))), ",")
+    return told.select("task_id", "entity_id", "predicate", "object", "confidence", "valid_from", F.size("fact_ids").cast("long").alias("n_facts"), listed.alias("sources"))
+
+
+# --- recurrence ------------------------------------------------------------
+
+_RULES = {0: "FREQ=MONTHLY;BYDAY=TU;BYSETPOS=2", 1: "BYMONTHDAY=-1", 2: "FREQ=MONTHLY;BYMONTHDAY=31", 3: "BYMONTH=2;BYMONTHDAY=29", 4: "BYDAY=FR;BYSETPOS=-1;BYMONTH=11", 5: "BYDAY=MO,TH", 6: "BYDAY=SA;BYSETPOS=5"}
+_RULE = "CASE o_orderkey % 7 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in _RULES.items()) + " END"
+_BASE, _AT = "CAST(trigger_at AS DATE)", f"TIMESTAMP '{NOW}'"
+#: The day of a month m (its first) that rule r picks, from the list of the month's days.
+_PICKED = """CASE r WHEN 0 THEN list_filter(days, lambda d: isodow(d) = 2)[2] WHEN 1 THEN days[-1] WHEN 2 THEN days[-1] WHEN 3 THEN days[least(29, len(days))] WHEN 4 THEN list_filter(days, lambda d: isodow(d) = 5)[-1] WHEN 6 THEN list_filter(days, lambda d: isodow(d) = 6)[5] ELSE {plain} END"""
+_MONTH_DAYS = "list_transform(range(0, day(last_day({m}))), lambda k: CAST({m} + to_days(CAST(k AS INT)) AS DATE))"
+
+
+def _candidate(month: str, plain: str) -> str:
+    return f"(SELECT CAST({_PICKED.format(plain=plain)} AS TIMESTAMP) + (trigger_at - {_BASE}) FROM (SELECT {_MONTH_DAYS.format(m='m')} AS days, m FROM (SELECT CAST({month} AS DATE) AS m)))"
+
+
+def _months(k: str) -> str:
+    return _candidate(f"date_trunc('month', trigger_at) + to_months(CAST((months // step + {k}) * step AS INT))", f"days[least(day({_BASE}), len(days))]")
+
+
+def _years(k: str) -> str:
+    month = "CASE r WHEN 3 THEN 2 WHEN 4 THEN 11 ELSE month(trigger_at) END"
+    return _candidate(f"date_trunc('year', trigger_at) + to_years(CAST((years // step + {k}) * step AS INT)) + to_months(CAST({month} - 1 AS INT))", f"CASE WHEN month(m) = 2 AND day({_BASE}) = 29 AND len(days) = 28 THEN days[-1] + 1 ELSE days[day({_BASE})] END")
+
+
+_BY_RULE = f"""
+WITH o AS (SELECT id, trigger_at, recurrence, step, id % 7 AS r, (year({_AT}) - year(trigger_at)) * 12 + month({_AT}) - month(trigger_at) AS months, year({_AT}) - year(trigger_at) AS years FROM overlays WHERE recurrence IN ('monthly', 'yearly')),
+c AS (SELECT *, CASE WHEN recurrence = 'monthly' THEN {_months('0')} ELSE {_years('0')} END AS early, CASE WHEN recurrence = 'monthly' THEN {_months('1')} ELSE {_years('1')} END AS late FROM o)
+SELECT id, CASE WHEN CASE WHEN recurrence = 'monthly' THEN months ELSE years END < 0 THEN trigger_at WHEN early < {_AT} THEN late ELSE early END AS next FROM c
+"""
+
+
+def _by_rule(overlays: DataFrame) -> DataFrame:
+    rule = F.expr(_RULE.replace("o_orderkey", "id"))
+    return overlays.where("recurrence in ('monthly', 'yearly')").select("id", recurrence.next_by_rule(F.col("trigger_at"), F.col("recurrence"), F.col("step"), at(NOW), rule).alias("next"))
+
+
+# --- rankings and traversal ------------------------------------------------
+
+_SCORED = f"SELECT subject_id, id, confidence AS score, row_number() OVER (PARTITION BY subject_id ORDER BY confidence DESC, id) AS rank FROM facts WHERE NOT pending AND fact_status_id NOT IN (5, 6)"
+
+
+def _scored(facts: DataFrame) -> DataFrame:
+    best = W.partitionBy("subject_id").orderBy(F.desc("confidence"), "id")
+    return facts.where("not pending and fact_status_id not in (5, 6)").select("subject_id", "id", F.col("confidence").alias("score"), F.row_number().over(best).alias("rank"))
+
+
+def _changed(facts: DataFrame) -> DataFrame:
+    """Subjects whose first twenty facts differ from those without the inferred ones."""
+    return ranking.changed(ranking.digests(_scored(facts), "subject_id"), ranking.digests(_scored(facts.where("not inferred")), "subject_id"), "subject_id")
+
+
+_DIGEST = "SELECT subject_id, md5(string_agg(id || ':' || CAST(round(score * 1000000) AS BIGINT), ',' ORDER BY rank)) AS digest FROM ({}) WHERE rank <= 20 GROUP BY 1"
+
+
+def _traversed(facts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return graph.traversed(facts, entities.select(F.col("id").alias("root")), 3, 6)
+
+
+def _traversal_sql(select: str) -> str:
+    sql = "WITH live AS (SELECT * FROM facts WHERE NOT pending AND fact_status_id NOT IN (5, 6)), seen0 AS (SELECT DISTINCT id AS root, id AS node FROM entities), front0 AS (SELECT * FROM seen0)"
+    for k in range(3):
+        sql += f""",
+edges{k} AS (SELECT f.root, {k} AS depth, row_number() OVER (PARTITION BY f.root ORDER BY confidence DESC, l.id) AS nth, l.id AS fact_id, subject_id, predicate, object_id, object_literal, confidence, room FROM front{k} f JOIN (SELECT root, 6 - count(*) AS room FROM seen{k} GROUP BY 1) r ON r.root = f.root AND room > 0 JOIN live l ON l.subject_id = f.node QUALIFY nth <= 2 * room),
+front{k + 1} AS (SELECT root, node FROM (SELECT e.root, object_id AS node, min(nth) AS first, any_value(room) AS room FROM edges{k} e WHERE object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM seen{k} s WHERE s.root = e.root AND s.node = object_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY root ORDER BY first) <= room),
+seen{k + 1} AS (SELECT * FROM seen{k} UNION ALL SELECT * FROM front{k + 1})"""
+    return sql + ", edges AS (SELECT * EXCLUDE room FROM edges0 UNION ALL SELECT * EXCLUDE room FROM edges1 UNION ALL SELECT * EXCLUDE room FROM edges2) " + select
+
+
+# --- rendering and parsing -------------------------------------------------
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: A kind of connector, and an explicit confidence, by the length of a reference.
+_KIND = "CASE length(raw_reference) % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'calendar' WHEN 2 THEN 'photos' WHEN 3 THEN 'linkedin' END"
+_SAID = "CASE WHEN length(raw_reference) % 7 = 0 THEN 0.42 END"
+
 
 QUERIES: dict[str, Query] = {
     "g08_inference": on_views(
@@ -261,4 +378,76 @@ top AS (SELECT f.*, row_number() OVER (PARTITION BY subject_id ORDER BY confiden
 lists AS (SELECT subject_id, string_agg(t.id || ' ' || coalesce(name, object_literal, ''), '; ' ORDER BY nth) AS facts FROM top t LEFT JOIN entities o ON o.id = object_id GROUP BY 1)
 SELECT asked, id, place, facts FROM best LEFT JOIN lists ON subject_id = id""",
     ),
+    "f11_candidates": on_views(
+        "tasks entities aliases",
+        lambda t, e, a: retrieval.candidates(retrieval.planned(t), resolution.index(e, a), e),
+        _FOUND + " SELECT task_id, place, id, name FROM candidates",
+    ),
+    "f11_messages": on_views("tasks messages", lambda t, m: retrieval.matching_messages(retrieval.planned(t), m, ["session_id", "turn"], "content"), _MATCHES),
+    "u05_evidence": on_views("tasks entities aliases facts sources", _evidence, _EVIDENCE),
+    "d02_next_by_rule": on_views("overlays", _by_rule, _BY_RULE),
+    "n07_category_guide": on_views(
+        "categories",
+        lambda c: graph.in_tree_order(c).select("id", "depth", "line", F.array_join("place", "/").alias("place")),
+        "SELECT id, 0 AS depth, concat(id, ' ', name) AS line, CAST(id AS VARCHAR) AS place FROM categories WHERE parent_id IS NULL UNION ALL SELECT c.id, 1, concat('  ', c.id, ' ', c.name), concat(parent_id, '/', c.id) FROM categories c WHERE parent_id IS NOT NULL",
+    ),
+    "m07_changed_rankings": on_views("facts", _changed, f"SELECT coalesce(n.subject_id, l.subject_id) AS subject_id, n.digest FROM ({_DIGEST.format(_SCORED)}) n FULL JOIN ({_DIGEST.format(_SCORED + ' AND NOT inferred')}) l ON l.subject_id = n.subject_id WHERE n.digest IS DISTINCT FROM l.digest"),
+    "a22_ranking_quality": on_views(
+        "facts entities categories fact_categories",
+        lambda f, e, c, fc: ranking.at_k(memory.ranked_memory(f, e, c, fc, at(NOW), 0.5, 5), _scored(f).where("rank <= 3"), "subject_id").select("subject_id", "hits", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision")),
+        f"""WITH t AS (SELECT subject_id, id FROM ({_SCORED}) WHERE rank <= 3), c AS (SELECT id, 1 + least(count(*), 50) / CAST(50 AS DOUBLE) AS centrality FROM (SELECT subject_id AS id FROM facts WHERE fact_status_id NOT IN (5, 6) UNION ALL SELECT object_id FROM facts WHERE fact_status_id NOT IN (5, 6) AND object_id IS NOT NULL) GROUP BY id),
+w AS (SELECT fact_id, max(memory_weight) AS weight FROM fact_categories JOIN categories ON category_id = categories.id GROUP BY fact_id),
+s AS (SELECT f.subject_id, f.id, round(confidence * coalesce(weight, 0.5::DOUBLE) * CASE WHEN valid_from > {_AT} THEN 10 / sqrt(greatest((floor(epoch(valid_from)) - epoch({_AT})) / 86400, 0.5)) ELSE 1 END * coalesce(centrality, 1), 9) AS score FROM facts f LEFT JOIN w ON f.id = w.fact_id LEFT JOIN c ON c.id = f.subject_id WHERE NOT pending AND fact_status_id NOT IN (5, 6) AND confidence >= 0.5),
+r AS (SELECT subject_id, id FROM s QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, id) <= 5),
+b AS (SELECT coalesce(r.subject_id, t.subject_id) AS subject_id, r.id AS got, t.id AS want FROM r FULL JOIN t ON t.subject_id = r.subject_id AND t.id = r.id)
+SELECT subject_id, count(*) FILTER (WHERE got = want) AS hits, round(CASE WHEN count(want) = 0 THEN 1 ELSE count(*) FILTER (WHERE got = want) / count(want)::DOUBLE END, 6) AS recall, round(count(*) FILTER (WHERE got = want) / greatest(count(got), 1)::DOUBLE, 6) AS precision FROM b GROUP BY 1""",
+    ),
+    "g01_traverse": on_views("facts entities", lambda f, e: _traversed(f, e)[0], _traversal_sql("SELECT * FROM edges")),
+    "g01_summary": on_views("facts entities", lambda f, e: _traversed(f, e)[1], _traversal_sql("SELECT root, coalesce(d, 0) AS max_depth_reached, n AS nodes_found FROM (SELECT root, count(*) AS n FROM seen3 GROUP BY 1) LEFT JOIN (SELECT root, max(depth) + 1 AS d FROM edges GROUP BY 1) USING (root)")),
+    "j12_contradicting": on_views(
+        "facts contradictions",
+        joins.contradicting,
+        "SELECT DISTINCT a, b, CASE WHEN x.inferred AND NOT y.inferred THEN b WHEN y.inferred AND NOT x.inferred THEN a END AS kept FROM (SELECT least(parent_fact_id, child_fact_id) AS a, greatest(parent_fact_id, child_fact_id) AS b FROM contradictions) p JOIN facts x ON x.id = a AND x.fact_status_id = 3 JOIN facts y ON y.id = b AND y.fact_status_id = 3",
+    ),
+    "o03_resolved": on_views(
+        "facts contradictions",
+        lambda f, c: joins.resolved_contradictions(joins.contradicting(f, c)),
+        """WITH p AS (SELECT DISTINCT x.id AS a, y.id AS b, x.inferred AS i, y.inferred AS j FROM contradictions JOIN facts x ON x.id = parent_fact_id AND x.fact_status_id = 3 JOIN facts y ON y.id = child_fact_id AND y.fact_status_id = 3 WHERE x.inferred <> y.inferred)
+SELECT id, max(CASE WHEN inferred THEN 5 ELSE 1 END) AS fact_status_id FROM (SELECT a AS id, i AS inferred FROM p UNION ALL SELECT b, j FROM p) GROUP BY 1""",
+    ),
+    "r48_transcript": on_views("messages", lambda m: m.select("session_id", "turn", render.transcript_line(F.col("role"), F.col("content")).alias("line")).where("line is not null"), f"SELECT session_id, turn, concat(role, ': ', replace(replace(t, chr(13), '\\r'), chr(10), '\\n')) AS line FROM (SELECT *, {_TRIM.format('content')} AS t FROM messages) WHERE t <> ''"),
+    "n05_category_numbers": on_views("categories fact_categories", lambda c, fc: fc.groupBy("fact_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("category_id").cast("string"))), ",").alias("l")).select("fact_id", F.aggregate(render.int_list("l"), F.lit(0), lambda a, x: a + x).cast("long").alias("total")), "SELECT fact_id, CAST(sum(category_id) AS BIGINT) AS total FROM fact_categories GROUP BY 1"),
+    "x06_initial_confidence": on_views(
+        "sources",
+        lambda s: s.select("fact_id", "raw_reference", render.initial_confidence(F.col("source_type_id"), F.expr(_KIND), F.expr(_SAID).cast("double")).alias("confidence")),
+        f"SELECT fact_id, raw_reference, CAST(coalesce({_SAID}, CASE source_type_id WHEN 1 THEN 1 WHEN 6 THEN 1 WHEN 4 THEN 0.3 WHEN 5 THEN 0.8 WHEN 2 THEN CASE {_KIND} WHEN 'email' THEN 0.85 WHEN 'calendar' THEN 0.9 WHEN 'photos' THEN 0.8 WHEN 'linkedin' THEN 0.75 ELSE 0.8 END ELSE 0 END) AS DOUBLE) AS confidence FROM sources",
+    ),
+    "x18_split_objects": on_views(
+        "messages",
+        lambda m: m.select("session_id", "turn", F.posexplode(render.split_objects(F.expr("case when turn % 2 = 0 then 'hobby' else 'visited' end"), F.col("content"))).alias("place", "part")),
+        f"SELECT session_id, turn, (row_number() OVER (PARTITION BY session_id, turn ORDER BY k) - 1)::INT AS place, part FROM (SELECT session_id, turn, k, {_TRIM.format('p')} AS part FROM (SELECT session_id, turn, unnest(string_split(content, ',')) AS p, generate_subscripts(string_split(content, ','), 1) AS k FROM messages WHERE turn % 2 = 0 AND contains(content, ','))) WHERE part <> '' UNION ALL SELECT session_id, turn, 0, content FROM messages WHERE turn % 2 <> 0 OR NOT contains(content, ',')",
+    ),
+    "x19_snapshot": on_views(
+        "facts",
+        lambda f: f.select("id", render.snapshot(F.col("id"), F.col("confidence"), F.col("fact_status_id"), F.col("valid_from"), F.col("valid_until")).alias("snapshot")),
+        f"""SELECT id, concat('{{"fact_id":"', id, '","confidence":', confidence, ',"fact_status_id":', fact_status_id, ',"valid_from":', coalesce('"' || {_ISO.format('valid_from')} || '"', 'null'), ',"valid_until":', coalesce('"' || {_ISO.format('valid_until')} || '"', 'null'), '}}') AS snapshot FROM facts""",
+    ),
+    "d14_bounds": on_views(
+        "facts",
+        lambda f: f.select("id", render.bounds(F.col("valid_from"), F.col("valid_until")).alias("bounds")),
+        f"SELECT id, CASE WHEN valid_from IS NOT NULL AND valid_until IS NOT NULL THEN concat({_ISO.format('valid_from')}, ' → ', {_ISO.format('valid_until')}) WHEN valid_from IS NOT NULL THEN concat({_ISO.format('valid_from')}, ' → ...') WHEN valid_until IS NOT NULL THEN concat('→ ', {_ISO.format('valid_until')}) ELSE '' END AS bounds FROM facts",
+    ),
+    "f01_phrases": on_views("messages", lambda m: m.select("session_id", "turn", render.phrase(F.col("content")).alias("phrase")).where("phrase is not null"), f"""SELECT session_id, turn, concat('"', t, '"') AS phrase FROM (SELECT session_id, turn, {_TRIM.format("replace(replace(content, chr(34), chr(34) || chr(34)), '*', ' ')")} AS t FROM messages) WHERE t <> ''"""),
+    "f12_catalogue_all": on_views(
+        "facts fact_categories categories",
+        lambda f, fc, c: aggregates.catalogue(f, fc, c.where("parent_id is not null").select(F.col("id").alias("ask_id"), F.explode(F.array("id", "parent_id")).alias("category_id")), True, 80).withColumn("categories", F.array_join("categories", ",")),
+        """WITH l AS (SELECT fact_id, list_sort(list(DISTINCT category_id)) AS c FROM fact_categories GROUP BY 1)
+SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT k.id AS ask_id, f.id AS fact_id, c, row_number() OVER (PARTITION BY k.id ORDER BY confidence DESC, f.id) AS rank FROM categories k JOIN l ON list_contains(c, k.id) AND list_contains(c, k.parent_id) JOIN facts f ON f.id = fact_id WHERE NOT pending AND fact_status_id NOT IN (5, 6)) WHERE rank <= 50""",
+    ),
+    "f12_catalogue_any": on_views(
+        "facts fact_categories categories",
+        lambda f, fc, c: aggregates.catalogue(f, fc, c.where("parent_id is not null").select(F.col("id").alias("ask_id"), F.explode(F.array("id", "parent_id")).alias("category_id")), False, 20).withColumn("categories", F.array_join("categories", ",")),
+        """WITH l AS (SELECT fact_id, list_sort(list(DISTINCT category_id)) AS c FROM fact_categories GROUP BY 1)
+SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT k.id AS ask_id, f.id AS fact_id, c, row_number() OVER (PARTITION BY k.id ORDER BY confidence DESC, f.id) AS rank FROM categories k JOIN l ON (list_contains(c, k.id) OR list_contains(c, k.parent_id)) JOIN facts f ON f.id = fact_id WHERE k.parent_id IS NOT NULL AND NOT pending AND fact_status_id NOT IN (5, 6)) WHERE rank <= 20""",
+    ),
 }

@@ -62,13 +62,7 @@ QUERIES: dict[str, Query] = {
     "r41_last_turn": on_views("messages", lambda m: lookups.last_turns(m.select("session_id").distinct(), m.where("role = 'system'")), "SELECT s.session_id, coalesce(max(m.turn), 0) AS last_turn FROM (SELECT DISTINCT session_id FROM messages) s LEFT JOIN messages m ON m.session_id = s.session_id AND m.role = 'system' GROUP BY 1"),
     "r42_last_runs": on_views("attempts", lookups.last_runs, "SELECT key, count(*) AS n, arg_max(id, (ts, id)) AS id, arg_max(failed, (ts, id)) AS failed FROM attempts GROUP BY key"),
     "r47_predicate_parents": on_views("hierarchy", lookups.parents_of, "SELECT n AS predicate, coalesce(string_agg(parent, ',' ORDER BY parent), '') AS parents FROM (SELECT child AS n FROM hierarchy UNION SELECT parent FROM hierarchy) x LEFT JOIN hierarchy ON child = n GROUP BY n"),
-    "r48_export": on_views("messages", lambda m: m.select("session_id", "turn", render.transcript_line(F.col("role"), F.col("content")).alias("line")), "SELECT session_id, turn, concat(role, ': ', replace(replace(coalesce(content, ''), chr(13), ''), chr(10), '\\n')) AS line FROM messages"),
     "n04_status_names": on_views("facts", lambda f: f.select("id", render.wire_name(F.when(F.col("fact_status_id") == 3, 9).otherwise(F.col("fact_status_id")), render.STATUS_NAMES).alias("status")), "SELECT id, CASE fact_status_id WHEN 1 THEN 'Active' WHEN 2 THEN 'Inferred' WHEN 4 THEN 'Corrected' WHEN 5 THEN 'Superseded' WHEN 6 THEN 'Forgotten' ELSE 'Unknown' END AS status FROM facts"),
-    "n05_int_lists": on_views(
-        "fact_categories categories",
-        lambda fc, c: reads.fact_weights(c, fc).select("fact_id", F.aggregate(render.int_list(F.concat(F.col("categories"), F.lit(", x,"))), F.lit(0), lambda a, x: a + x).alias("total")),
-        "SELECT fact_id, CAST(sum(category_id) AS INT) AS total FROM fact_categories GROUP BY 1",
-    ),
     "p03_closed": on_views("facts", lambda f: f.where(render.active_at_closed(at("1995-06-15"))).select("id"), "SELECT id FROM facts WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '1995-06-15') AND (valid_until IS NULL OR valid_until >= TIMESTAMP '1995-06-15')"),
     "p06_closed_overlap": on_views("facts", lambda f: f.where(render.overlaps_closed(F.col("valid_from"), F.col("valid_until"), at("1995-06-15"), at("1995-06-20"))).select("id"), "SELECT id FROM facts WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '1995-06-20') AND (valid_until IS NULL OR valid_until >= TIMESTAMP '1995-06-15')"),
     "p11_like": on_views("facts", lambda f: f.where(F.col("predicate").like("reject_%")).groupBy("subject_id").agg(F.count("*").alias("n")), "SELECT subject_id, count(*) AS n FROM facts WHERE predicate LIKE 'reject_%' GROUP BY 1"),
@@ -91,12 +85,6 @@ SELECT c.id, class_id, n AS n_links FROM c JOIN n ON n.id = c.id""",
     "j09_members": on_views("entities", lambda e: joins.sharing(e, F.lower("name"), "id"), "SELECT key, id AS member, class_id, n FROM (SELECT lower(name) AS key, id, min(id) OVER (PARTITION BY lower(name)) AS class_id, count(*) OVER (PARTITION BY lower(name)) AS n FROM entities) WHERE n > 1"),
     "j10_members": on_views("aliases", lambda a: joins.sharing(a, F.lower("alias"), "entity_id"), "SELECT key, entity_id AS member, class_id, n FROM (SELECT *, min(entity_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT lower(alias) AS key, entity_id FROM aliases)) WHERE n > 1"),
     "j11_names_within": on_views("entities", lambda e: joins.names_within(e.where("entity_type_id in (2, 4, 6)")), "SELECT a.id AS short, b.id AS long FROM entities a JOIN entities b ON a.entity_type_id = b.entity_type_id AND a.id <> b.id AND length(a.name) >= 3 AND contains(lower(b.name), lower(a.name)) WHERE a.entity_type_id IN (2, 4, 6)"),
-    "j12_by_edges": on_views(
-        "facts dependencies",
-        lambda f, d: joins.contradicting(f, d.where("not is_positive").unionByName(d.where("not is_positive").select(F.col("parent_fact_id").alias("child_fact_id"), F.col("child_fact_id").alias("parent_fact_id"), "is_positive"))),
-        """WITH p AS (SELECT DISTINCT least(parent_fact_id, child_fact_id) AS a, greatest(parent_fact_id, child_fact_id) AS b FROM dependencies WHERE NOT is_positive), l AS (SELECT * FROM facts WHERE fact_status_id NOT IN (5, 6))
-SELECT p.a, p.b, CASE WHEN x.inferred AND NOT y.inferred THEN p.b WHEN y.inferred AND NOT x.inferred THEN p.a WHEN x.confidence > y.confidence THEN p.a WHEN y.confidence > x.confidence THEN p.b END AS kept FROM p JOIN l x ON x.id = p.a JOIN l y ON y.id = p.b""",
-    ),
     "j08_all_candidates": on_views(
         "facts",
         lambda f: reads.same_ends(f, None),
@@ -109,30 +97,14 @@ SELECT p.a, p.b, CASE WHEN x.inferred AND NOT y.inferred THEN p.b WHEN y.inferre
         "SELECT change_type, value AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY change_type ORDER BY value, id) AS r, count(*) OVER (PARTITION BY change_type) AS n FROM audit) WHERE r = round((n - 1) * 0.95) + 1",
     ),
     "a23_summary": on_views("facts sources", lambda f, s: f.agg(F.count("*").alias("facts"), F.count_distinct("subject_id").alias("entities")).crossJoin(s.agg(F.count("*").alias("sources"))), "SELECT count(*) AS facts, count(DISTINCT subject_id) AS entities, (SELECT count(*) FROM sources) AS sources FROM facts"),
-    "x06_initial_confidence": on_views("sources", lambda s: s.select("fact_id", "raw_reference", F.when(F.col("source_type_id") == 1, 1.0).when(F.col("source_type_id") == 2, 0.85).otherwise(0.5).alias("confidence")), "SELECT fact_id, raw_reference, CASE source_type_id WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM sources"),
     "x08_merge_boost": on_views("facts", lambda f: f.groupBy("subject_id", "predicate").agg(F.round(render.merged_confidence(F.min("confidence"), F.max("confidence")), 6).alias("merged")), "SELECT subject_id, predicate, round(least(greatest(min(confidence), max(confidence)) + 0.05, 0.95), 6) AS merged FROM facts GROUP BY 1, 2"),
-    "x18_split_objects": on_views("entities", lambda e: e.select("id", F.explode(render.split_objects(F.replace("name", F.lit(" "), F.lit(" , ")))).alias("part")), "SELECT id, trim(p) AS part FROM (SELECT id, unnest(string_split(replace(name, ' ', ' , '), ',')) AS p FROM entities) WHERE trim(p) <> ''"),
-    "x19_snapshot": on_views("facts", lambda f: f.select("id", F.to_json(F.struct("predicate", "fact_status_id", "inferred")).alias("snapshot")), "SELECT id, concat('{\"predicate\":\"', predicate, '\",\"fact_status_id\":', fact_status_id, ',\"inferred\":', inferred, '}') AS snapshot FROM facts"),
     "d13_relative_days": on_views("facts entities", lambda f, e: memory.upcoming(f, e, at("1997-01-01"), at("1997-02-01")).select("id", render.relative_day(F.col("days")).alias("due")), f"SELECT f.id, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'in 1 day' ELSE concat('in ', d, ' days') END AS due FROM (SELECT *, date_diff('day', DATE '1997-01-01', CAST(valid_from AS DATE)) AS d FROM facts WHERE {_VISIBLE} AND valid_from > TIMESTAMP '1997-01-01' AND valid_from <= TIMESTAMP '1997-02-01') f JOIN entities e ON e.id = subject_id"),
-    "d14_bounds": on_views("facts", lambda f: f.select("id", render.bounds(F.col("valid_from"), F.col("valid_until")).alias("bounds")), "SELECT id, CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN concat(coalesce(strftime(valid_from, '%Y-%m-%d'), ''), ' → ', coalesce(strftime(valid_until, '%Y-%m-%d'), '')) END AS bounds FROM facts"),
-    "f01_phrases": on_views("messages", lambda m: m.select("session_id", "turn", render.phrase(F.col("content")).alias("phrase")), "SELECT session_id, turn, concat('\"', replace(nullif(trim(content), ''), '\"', '\"\"'), '\"') AS phrase FROM messages WHERE trim(content) <> ''"),
     "f09_snippets": on_views("messages", lambda m: m.select("session_id", "turn", render.snippet(F.col("content"), "the", 3).alias("snippet")).where("snippet is not null"), None),
     "g05_cycles": on_views(
         "hierarchy",
         lambda h: lookups.would_cycle(graph.closure(h), h.select(F.col("child").alias("parent"), F.col("parent").alias("child")).unionByName(h)),
         "WITH RECURSIVE up(node, a) AS (SELECT child, parent FROM hierarchy UNION SELECT node, parent FROM up JOIN hierarchy ON child = a) SELECT DISTINCT parent AS child, child AS parent FROM hierarchy JOIN up ON node = child AND a = parent",
     ),
-    "g01_bounded": on_views(
-        "facts entities",
-        lambda f, e: lookups.bounded_reach(f.where(f"{_VISIBLE} and object_id is not null").select(F.col("subject_id").alias("node"), F.col("object_id").alias("to"), "confidence"), e.where("entity_type_id = 1").select(F.col("id").alias("root")), 1, 6),
-        f"""WITH r AS (SELECT id AS root FROM entities WHERE entity_type_id = 1), s AS (SELECT root, object_id AS node, max(confidence) AS c FROM r JOIN facts ON subject_id = root WHERE {_VISIBLE} AND object_id IS NOT NULL AND object_id <> root GROUP BY 1, 2)
-SELECT root, root AS node, 0 AS distance FROM r UNION ALL SELECT root, node, 1 FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY c DESC, node) AS k FROM s) WHERE k <= 5""",
-    ),
     "t13_staged_once": on_views("attempts", lambda a: a.dropDuplicates(["key", "ts"]).groupBy("key").agg(F.count("*").alias("n")), "SELECT key, count(*) AS n FROM (SELECT DISTINCT key, ts FROM attempts) GROUP BY key"),
     "t14_two_queues": on_views("attempts", lambda a: reads.top_per(a, "key", [F.col("active").desc(), F.col("ts"), F.col("id")], None).select("key", "id", "rank"), "SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY active DESC, ts, id) AS rank FROM attempts"),
-    "f12_catalogue": on_views(
-        "facts fact_categories",
-        lambda f, fc: reads.top_per(f.where(_VISIBLE).join(fc.groupBy(F.col("fact_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("category_id")), ",").alias("categories")), "id"), "categories", [F.col("confidence").desc(), F.col("id")], 50).select("categories", "id", "rank"),
-        f"SELECT categories, id, rank FROM (SELECT categories, f.id, row_number() OVER (PARTITION BY categories ORDER BY confidence DESC, f.id) AS rank FROM facts f JOIN (SELECT fact_id, array_to_string(list_sort(list(DISTINCT category_id)), ',') AS categories FROM fact_categories GROUP BY 1) c ON c.fact_id = f.id WHERE {_VISIBLE}) WHERE rank <= 50",
-    ),
 }

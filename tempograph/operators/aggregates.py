@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempograph.functions.predicates import ACTIVE, FORGOTTEN, SUPERSEDED
+from tempograph.functions.predicates import ACTIVE, FORGOTTEN, SUPERSEDED, visible
 
 #: Confidence bands (fixed values): name and upper bound, excluded.
 BANDS = (("0.0-0.2", 0.2), ("0.2-0.4", 0.4), ("0.4-0.6", 0.6), ("0.6-0.8", 0.8), ("0.8-1.0", None))
@@ -70,6 +70,18 @@ def matching_any(fact_categories: DataFrame, wanted: DataFrame) -> DataFrame:
     return fact_categories.join(hit, "fact_id", "left_semi").groupBy("fact_id").agg(F.array_join(F.array_sort(F.collect_set("category_id")), ",").alias("categories"))
 
 
+def catalogue(facts: DataFrame, fact_categories: DataFrame, asked: DataFrame, match_all: bool, limit: int) -> DataFrame:
+    """The visible facts for each ask (ask_id, category_id) that have all or any of its categories: ask_id, rank by confidence, fact_id and all categories of the fact; the limit is held between 1 and 50."""
+    wanted = asked.distinct()
+    n = wanted.groupBy("ask_id").agg(F.count("*").alias("n_wanted"))
+    hits = fact_categories.distinct().join(wanted, "category_id").groupBy("ask_id", "fact_id").agg(F.count("*").alias("n")).join(n, "ask_id")
+    hits = hits.where("n = n_wanted") if match_all else hits
+    best = W.partitionBy("ask_id").orderBy(F.desc("confidence"), "fact_id")
+    rows = hits.join(facts.where(visible()).select(F.col("id").alias("fact_id"), "confidence"), "fact_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= min(max(limit, 1), 50))
+    lists = fact_categories.join(rows.select("fact_id").distinct(), "fact_id", "left_semi").groupBy("fact_id").agg(F.array_sort(F.collect_set("category_id")).alias("categories"))
+    return rows.join(lists, "fact_id").select("ask_id", "rank", "fact_id", "categories")
+
+
 def repeated_rejections(facts: DataFrame, least: int) -> DataFrame:
     """Rejected actions that a subject has stated often enough."""
     rows = facts.where((F.col("predicate") == "rejected_action") & (F.col("fact_status_id") == ACTIVE))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import visible
@@ -41,3 +42,57 @@ def reach(facts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
             break
         found = found.unionByName(new)
     return found
+
+
+def in_tree_order(rows: DataFrame, root: int = 0) -> DataFrame:
+    """id, depth, line and place of a tree (id, parent_id, name) in depth-first order, children by id; the structural root isn't shown, and its children start the tree.
+
+    place is the path of ids from the top, so that sorting by it prints the
+    tree. Rows on a cycle, or below one, or without their parent have no path
+    from the top and are left out.
+    """
+    tree = rows.where(F.col("id") != root).select("id", F.when(F.col("parent_id") != root, F.col("parent_id")).alias("parent_id"), F.btrim(F.regexp_replace("name", r"\s+", " ")).alias("name"))
+    front = cut(tree.where("parent_id is null").select("id", "name", F.array("id").alias("place")))
+    found = [front]
+    while not front.isEmpty():  # ends, as a path has every row once at most
+        above = front.select(F.col("id").alias("parent_id"), F.col("place").alias("_p"))
+        front = cut(tree.join(above, "parent_id").select("id", "name", F.concat("_p", F.array("id")).alias("place")))
+        found.append(front)
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    depth = F.size("place") - 1
+    return whole.select("id", depth.alias("depth"), F.concat(F.repeat(F.lit("  "), depth), F.col("id").cast("string"), F.lit(" "), "name").alias("line"), "place")
+
+
+def traversed(facts: DataFrame, roots: DataFrame, depth: int, most: int, predicates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first from each root (column root) along visible facts, with a bound on its nodes: the edges, and a row for each root.
+
+    Each level takes, of the facts of the last level's nodes, the most confident
+    2 x room ones (room: nodes that may still be found; ties by id), literals
+    included. Their objects that are new are the next level's nodes, as long as
+    there is room, in that order. Edges are root, depth (from 0), nth, fact_id,
+    subject_id, predicate, object_id, object_literal and confidence; a root's
+    row has max_depth_reached and nodes_found.
+    """
+    out = facts.where(visible()) if predicates is None else facts.where(visible() & F.col("predicate").isin(predicates))
+    rows = out.select(F.col("id").alias("fact_id"), "subject_id", "predicate", "object_id", "object_literal", "confidence")
+    seen = front = cut(roots.select("root", F.col("root").alias("node")).distinct())
+    edges = []
+    for level in range(depth):
+        room = seen.groupBy("root").agg((F.lit(most) - F.count("*")).alias("room")).where("room > 0")
+        order = W.partitionBy("root").orderBy(F.desc("confidence"), "fact_id")
+        step = front.join(room, "root").join(rows, F.col("node") == F.col("subject_id")).withColumn("nth", F.row_number().over(order)).where("nth <= 2 * room").drop("node")
+        step = cut(step)
+        edges.append(step.drop("room").withColumn("depth", F.lit(level)))
+        if step.isEmpty():
+            break
+        new = step.where("object_id is not null").groupBy("root", "room", F.col("object_id").alias("node")).agg(F.min("nth").alias("first")).join(seen, ["root", "node"], "left_anti")
+        front = cut(new.withColumn("_r", F.row_number().over(W.partitionBy("root").orderBy("first"))).where("_r <= room").select("root", "node"))
+        seen = seen.unionByName(front)
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    reached = every.groupBy("root").agg((F.max("depth") + 1).alias("max_depth_reached"))
+    summary = seen.groupBy("root").agg(F.count("*").alias("nodes_found")).join(reached, "root", "left").select("root", F.coalesce("max_depth_reached", F.lit(0)).alias("max_depth_reached"), "nodes_found")
+    return every, summary

@@ -50,15 +50,21 @@ def sharing(rows: DataFrame, key: Column, member: str) -> DataFrame:
     return pairs.join(classes, "key")
 
 
-def contradicting(facts: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Pairs of different live facts (a, b) that Contradicts edges connect, each once, with the one that stays: the one that is not inferred, else the more confident one, null if they tie."""
-    pairs = dependencies.select(F.least("parent_fact_id", "child_fact_id").alias("a"), F.greatest("parent_fact_id", "child_fact_id").alias("b")).where("a <> b").distinct()
-    side = lambda n: facts.where(~F.col("fact_status_id").isin(SUPERSEDED, FORGOTTEN)).select(F.col("id").alias(n), F.col("inferred").alias(f"i_{n}"), F.col("confidence").alias(f"c_{n}"))
+def contradicting(facts: DataFrame, contradicts: DataFrame) -> DataFrame:
+    """Pairs of disputed facts (a, b) that Contradicts edges connect in either direction, each once, with the one that stays: the one that isn't inferred; null where both are or neither is, which is left to the user."""
+    pairs = contradicts.select(F.least("parent_fact_id", "child_fact_id").alias("a"), F.greatest("parent_fact_id", "child_fact_id").alias("b")).where("a <> b").distinct()
+    side = lambda n: facts.where(F.col("fact_status_id") == DISPUTED).select(F.col("id").alias(n), F.col("inferred").alias(f"i_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    kept = F.when(F.col("i_a") & ~F.col("i_b"), F.col("b")).when(F.col("i_b") & ~F.col("i_a"), F.col("a")).when(F.col("c_a") > F.col("c_b"), F.col("a")).when(F.col("c_b") > F.col("c_a"), F.col("b"))
+    kept = F.when(F.col("i_a") & ~F.col("i_b"), F.col("b")).when(F.col("i_b") & ~F.col("i_a"), F.col("a"))
     return both.select("a", "b", kept.alias("kept"))
 
 
+def resolved_contradictions(pairs: DataFrame) -> DataFrame:
+    """id and new state of the facts of decided pairs: the one that stays is active again, the other superseded. A fact that loses any of its pairs is superseded."""
+    decided = pairs.where("kept is not null").select(F.explode(F.array("a", "b")).alias("id"), "kept")
+    return decided.groupBy("id").agg(F.max(F.when(F.col("id") == F.col("kept"), ACTIVE).otherwise(SUPERSEDED)).alias("fact_status_id"))
+
+
 def not_evaluated(pairs: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) that have not been looked at in either order."""
     seen = evaluated.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()

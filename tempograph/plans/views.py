@@ -77,6 +77,11 @@ SELECT DISTINCT p_name AS asked, 4 AS entity_type_id FROM part UNION SELECT uppe
 UNION SELECT p_brand, 4 FROM part UNION SELECT lower(c_mktsegment), 1 FROM customer UNION SELECT lower(r_name), 2 FROM region
 UNION SELECT lower(replace(n_name, '_', ' ')), 2 FROM nation UNION SELECT upper(s_name), CASE WHEN s_suppkey % 2 = 0 THEN 6 ELSE 1 END FROM supplier
 UNION SELECT lower(replace(c_name, '#', ' ')), 1 FROM customer WHERE c_custkey % 10 = 0 UNION SELECT concat(s_name, ' & co'), 6 FROM supplier UNION SELECT concat('order ', CAST(o_orderkey AS STRING)), 3 FROM orders WHERE o_orderkey % 100 = 0""",
+    "contradictions": """
+SELECT concat('o', CAST(o_orderkey AS STRING)) AS parent_fact_id, concat('o', CAST(o_orderkey + 1 AS STRING)) AS child_fact_id FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat('o', CAST(o_orderkey + 1 AS STRING)), concat('o', CAST(o_orderkey AS STRING)) FROM orders WHERE o_orderkey % 4 = 0""",
+    "tasks": """
+SELECT conv_id AS task_id, concat('Tell me about ', n_name, chr(39), 's place in region ', CAST(n_regionkey AS STRING), ' and Supplier ', CAST(conv_id % 7 AS STRING), ': ', substring(text, 1, 60)) AS task FROM conversations JOIN nation ON conv_id % 25 = n_nationkey WHERE turn = 0""",
     "audit": """
 SELECT event_id AS id, user_id AS fact_id, event_type AS change_type, CAST(ts AS TIMESTAMP) AS changed_at, value FROM events""",
 }
