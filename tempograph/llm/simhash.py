@@ -19,13 +19,18 @@ columns are not looked at.
 
 ``similar`` finds documents alike in a wider sense, a share of common shingles
 of 0.8 or more. Fingerprints then have ``WIDE`` bits, of which such pairs differ
-in about one in seven. They are split into ``TABLES`` overlapping blocks of 24
-bits; pairs that share a block are verified by their Hamming distance over all
-bits. Pairs within 9 bits always share a block, as at most 12 of the blocks have
-a given byte; nine in ten of those at the limit do. Where more than ``BUCKET``
-representatives share a block, each is compared with one of them, another one
-in each block. What a quarter of the blocks has connected is not compared again,
-so a large group makes few pairs.
+in about one in seven. A block is a drawn set of bit places, about as many as
+the number of representatives has bits, and there are so many blocks that a pair
+at the limit shares ``SHARED`` of them on average, one in fifty none; both grow
+with the input, so chance meetings don't. Pairs that share a block are verified
+by the first 64 bits there, and by all bits after. In a block of more than
+``BUCKET`` representatives all are compared with one of them first. Those that
+are linked to it count as one from then on. A block in which all count as one is
+done; where no more than ``BUCKET`` stand apart from the rest, these are compared
+with all; what is left is split by ``FURTHER`` more bits, in ``AGAIN`` ways, and
+after ``ROUNDS`` of that taken apart by one after the other. So crowded blocks
+lose hardly more links than others, rows don't grow with the square of a group,
+and a large group of copies is done in one step.
 """
 
 from __future__ import annotations
@@ -77,10 +82,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-#: Bits of a wide fingerprint, five-word shingles, and the distances between the three bytes of a block.
-WIDE, WIDE_SHINGLE = 256, 5
-SPACINGS = ((1, 3), (5, 12), (7, 18), (9, 20))
-TABLES = len(SPACINGS) * WIDE // 8
+#: Bits of a wide fingerprint, words of its shingles, and blocks that a pair at the limit shares on average.
+WIDE, WIDE_SHINGLE, SHARED = 512, 5, 4
+#: Standard deviations that are added to the expected distance, of all bits and of the first 64.
+SPREAD, ROUGH = 1.6, 3
+#: Bits that split a crowded block and ways to draw them, and rounds in which blocks are split.
+FURTHER, AGAIN, ROUNDS = 8, 12, 6
 _SEEDS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -104,10 +111,21 @@ def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def wide_distance(similarity: float) -> int:
-    """Bits in which two texts that share so much of all their shingles, each having as many, differ: what is expected and one standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(WIDE * p + (WIDE * p * (1 - p)) ** 0.5)
+def share_of_bits(similarity: float) -> float:
+    """The expected share of bits in which two texts differ that share so much of all their shingles, each having as many."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_distance(similarity: float, bits: int = WIDE, spread: float = SPREAD) -> int:
+    """Bits in which texts of a similarity differ: what is expected, and some standard deviations."""
+    p = share_of_bits(similarity)
+    return int(bits * p + spread * (bits * p * (1 - p)) ** 0.5)
+
+
+def shape(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a block and number of blocks for n representatives."""
+    bits = max(12, min(48, (max(n, 1) - 1).bit_length()))
+    return bits, int(np.ceil(SHARED / (1 - share_of_bits(similarity)) ** bits))
 
 
 _WIDE_COLUMNS = [f"f{k}" for k in range(WIDE // 64)]
@@ -124,85 +142,139 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str
     return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _WIDE_COLUMNS))
 
 
-def wide_blocks(reps: DataFrame, spacings: tuple[tuple[int, int], ...] = SPACINGS) -> DataFrame:
-    """(block, rep, part) for each block of each representative (rep, part, f0, f1 ...); block holds the block's number and its 24 bits."""
+def _places(bits: int, blocks: int, salt: int) -> np.ndarray:
+    """The bit places of each block, drawn alike everywhere."""
+    rng = np.random.default_rng([bits, blocks, salt])
+    return np.stack([rng.permutation(WIDE)[:bits] for _ in range(blocks)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = [(k, (k + a) % (WIDE // 8), (k + b) % (WIDE // 8)) for a, b in spacings for k in range(WIDE // 8)]
-        for b in slices(batches, 4096):
-            octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1).astype(np.int32)
-            blocks = np.stack([t << 24 | octets[:, i] << 16 | octets[:, j] << 8 | octets[:, k] for t, (i, j, k) in enumerate(places)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel().astype(np.int32)), *(pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), len(places))) for c in ("rep", "part"))], ["block", "rep", "part"])
 
-    return reps.select("rep", "part", *_WIDE_COLUMNS).mapInArrow(run, "block int, rep long, part long")
+def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int) -> DataFrame:
+    """(block, rep, part, rough) for each block of each row (within, rep, part, f0, f1 ...): block is a hash of the block that the row stands in, the block's number and its bits; rough is f0."""
 
-
-def _met(bucket: int):
-    """Pairs of different parts within each block of sorted (block, h, rep, part): all of a small one; of a crowded one each with the first, without holding more than a bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, powers = _places(bits, blocks, salt), np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        number = np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in slices(batches, 1024):
+            octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1)
+            ones = np.unpackbits(octets, axis=1)
+            with np.errstate(over="ignore"):
+                within = b["within"].to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+                h = np.stack([(ones[:, p] * powers).sum(1, dtype=np.uint64) for p in places], 1)
+                h = (h + number) * np.uint64(0xBF58476D1CE4E5B9) ^ within * np.uint64(0x94D049BB133111EB)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            repeated = [pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), blocks)) for c in ("rep", "part", _WIDE_COLUMNS[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), *repeated], ["block", "rep", "part", "rough"])
+
+    return reps.select("within", "rep", "part", *_WIDE_COLUMNS).mapInArrow(run, "block long, rep long, part long, rough long")
+
+
+def _met(bucket: int, rough: int):
+    """Of sorted (block, rep, part, rough): pairs of different parts in small blocks that the rough distance lets pass; the rows of crowded ones, from the one row on that is too many, and their numbers."""
+    names = ["a", "b", "block", "rep", "part"]
+
+    def made(pairs: list, rows: list) -> pa.RecordBatch:
+        x, y = np.array(pairs, np.int64).reshape(-1, 2), np.array(rows, np.int64).reshape(-1, 3)
+        columns = [*(pa.array(c.copy()) for c in x.T), *(pa.array(c.copy()) for c in y.T)]
+        full = [pa.concat_arrays([c, pa.nulls(len(y), pa.int64())]) for c in columns[:2]] + [pa.concat_arrays([pa.nulls(len(x), pa.int64()), c]) for c in columns[2:]]
+        return pa.RecordBatch.from_arrays(full, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, crowded = None, [], False
         pairs: list[tuple[int, int]] = []
+        rows: list[tuple[int, int, int]] = []
 
         def close() -> None:
             if not crowded:
-                pairs.extend((x, y) for (x, p), (y, q) in combinations(held, 2) if p != q)
-
-        def made() -> pa.RecordBatch:
-            found = np.array(pairs, np.int64).reshape(-1, 2)
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+                pairs.extend((x, y) for (x, p, f), (y, q, g) in combinations(held, 2) if p != q and ((f ^ g) & 0xFFFFFFFFFFFFFFFF).bit_count() <= rough)
 
         for batch in batches:
-            blocks, reps, parts = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "rep", "part"))
+            blocks, reps, parts, bits = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "rep", "part", "rough"))
             # Rows alone in their block meet nobody; the first and last of a batch may have neighbours elsewhere.
             alone = np.zeros(len(blocks), np.bool_)
             alone[1:-1] = (blocks[1:-1] != blocks[:-2]) & (blocks[1:-1] != blocks[2:])
-            for block, rep, part in zip(blocks[~alone].tolist(), reps[~alone].tolist(), parts[~alone].tolist()):
+            for block, *row in zip(*(x[~alone].tolist() for x in (blocks, reps, parts, bits))):
                 if block != now:
                     close()
                     now, held, crowded = block, [], False
-                if not crowded and len(held) < bucket:
-                    held.append((rep, part))
+                if crowded:
+                    rows.append((block, row[0], row[1]))
                     continue
-                late = [(rep, part)] if crowded else [*held[1:], (rep, part)]
-                crowded = True
-                pairs.extend((held[0][0], x) for x, p in late if p != held[0][1])
-            yield made()
+                held.append(row)
+                if len(held) > bucket:
+                    rows.extend((block, r, p) for r, p, _ in held)
+                    crowded, held = True, []
+            yield made(pairs, rows)
+            pairs.clear()
+            rows.clear()
         close()
-        yield made()
+        yield made(pairs, rows)
 
     return run
 
 
-def wide_links(reps: DataFrame, similarity: float, bucket: int, spacings: tuple[tuple[int, int], ...] = SPACINGS) -> DataFrame:
-    """Pairs (a, b) of representatives of different parts that share a block and lie within the similarity's distance."""
-    keyed = wide_blocks(reps, spacings)
-    # Blocks of more than one in HEAVY rows, fewer than HEAVY of them: all their rows are compared with one, where they are.
-    most = max(bucket, reps.count() * len(spacings) * WIDE // 8 // HEAVY)
-    heavy = cut(keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block"))
-    pivot = F.min_by(F.struct("rep", "part"), F.hash("rep", "block")).alias("pivot")
-    pivots = cut(keyed.join(F.broadcast(heavy), "block").groupBy("block").agg(pivot).select("block", F.col("pivot.rep").alias("pivot"), F.col("pivot.part").alias("pivot_part")))
-    stars = keyed.join(F.broadcast(pivots), "block").where("part <> pivot_part").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    others = keyed.join(F.broadcast(heavy), "block", "left_anti").withColumn("h", F.hash("rep", "block"))
-    pairs = others.repartition("block").sortWithinPartitions("block", "h").select("block", "rep", "part").mapInArrow(_met(bucket), "a long, b long")
-    met = stored(pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
+def _apart(x: str, y: str) -> F.Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+
+
+def _verified(pairs: DataFrame, bits: DataFrame, most: int) -> DataFrame:
+    """Those pairs (a, b) of representatives that lie within the distance; bits has rep and bits."""
+    met = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     first = met.groupBy("a").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "a"), "a").withColumnRenamed("bits", "x")
-    both = join_classes(met, cut(first), "a", "b", met.count()).join(bits.withColumnRenamed("rep", "b"), "b")
-    apart = F.aggregate(F.zip_with("x", "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return cut(both.where(apart <= wide_distance(similarity)).select("a", "b"))
+    both = join_classes(met, cut(first), "a", "b", met.count())
+    second = both.groupBy("b").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "b"), "b").withColumnRenamed("bits", "y")
+    whole = join_classes(both, cut(second), "b", "a", met.count())
+    return whole.where(_apart("x", "y") <= most).select("a", "b")
+
+
+def wide_links(reps: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Pairs (a, b) of representatives (rep, f0, f1 ...) that share a block and lie within the similarity's distance, and as many as connect those that do."""
+    n = reps.count()
+    most, rough = wide_distance(similarity), wide_distance(similarity, 64, ROUGH)
+    bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
+    rows = wide_blocks(reps.withColumn("part", F.col("rep")).withColumn("within", F.lit(0).cast("long")), *shape(n, similarity), 0)
+    links, turn = [], 0
+    while True:
+        ordered = rows.repartition("block").sortWithinPartitions("block", "rep")
+        met = stored(ordered.mapInArrow(_met(bucket, rough), "a long, b long, block long, rep long, part long"), "met")
+        links.append(cut(_verified(met.where("a is not null").select("a", "b"), bits, most)))
+        crowd = met.where("block is not null").select("block", "rep", "part")
+        size = crowd.count()
+        if not size:
+            break
+        # One of the smallest part of each crowded block, another one in each, is compared with all others; those it is linked to are of its part then.
+        inside = crowd.groupBy("block", "part").agg(F.count("*").alias("c"), F.min_by("rep", F.hash("rep", "block")).alias("rep"))
+        pivot = inside.groupBy("block").agg(F.min(F.struct("c", F.hash("rep", "block").alias("h"), "rep", "part")).alias("p"), F.sum("c").alias("n")).select("block", "n", F.col("p.rep").alias("pivot"), F.col("p.part").alias("pivot_part")).join(bits.select(F.col("rep").alias("pivot"), F.col("bits").alias("x")), "pivot")
+        pivoted = join_classes(crowd, cut(pivot), "block", "rep", size)
+        each = pivoted.groupBy("rep").agg(F.count("*").alias("n")).join(bits, "rep")
+        told = join_classes(pivoted, cut(each), "rep", "block", size).withColumn("near", _apart("x", "bits") <= most)
+        told = cut(told.select("block", "rep", "part", "pivot", "pivot_part", "near", "bits"))
+        links.append(told.where("near and part <> pivot_part").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+        left = told.where("rep <> pivot").withColumn("part", F.when(F.col("near"), F.col("pivot_part")).otherwise(F.col("part"))).select("block", "rep", "part", "bits")
+        sizes = left.groupBy("block", "part").agg(F.count("*").alias("c"))
+        blocks = cut(sizes.groupBy("block").agg(F.sum("c").alias("n"), F.max(F.struct("c", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("block", "n", F.col("largest.part").alias("largest"), (F.col("n") - F.col("largest.c")).alias("others")))
+        marked = cut(join_classes(left, blocks, "block", "rep", size))
+        # Where few are not of the largest part, they are compared with all.
+        few = marked.where((F.col("others") <= bucket) & (F.col("part") != F.col("largest"))).groupBy("block").agg(F.collect_list(F.struct(F.col("rep").alias("o"), F.col("part").alias("q"))).alias("os"))
+        some = marked.where(F.col("others") <= bucket).select("block", "rep", "part")
+        few = cut(few.join(blocks.select("block", "n"), "block"))
+        pairs = join_classes(some, few, "block", "rep", size).select("rep", "part", F.explode("os").alias("x")).where("part <> x.q").select(F.col("rep").alias("a"), F.col("x.o").alias("b"))
+        links.append(cut(_verified(pairs, bits, most)))
+        turn += 1
+        further = (FURTHER, AGAIN) if turn <= ROUNDS else (0, 1)
+        open_ = marked.where(F.col("others") > bucket).select(F.col("block").alias("within"), "rep", "part", *[F.col("bits")[k].alias(c) for k, c in enumerate(_WIDE_COLUMNS)])
+        rows = wide_blocks(open_, *further, turn)
+    every = links[0]
+    for f in links[1:]:
+        every = every.unionByName(f)
+    return every.distinct()
 
 
 def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links between similar texts lead to, of each row."""
     fps = stored(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("rep", F.xxhash64(*_WIDE_COLUMNS)), "fingerprints")
     reps = cut(fps.groupBy("rep", *_WIDE_COLUMNS).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    # A quarter of the blocks connects most of what is close; the others compare only what is still apart.
-    links = wide_links(reps.withColumn("part", F.col("rep")), similarity, bucket, SPACINGS[:1])
-    parts = components(links).select(F.col("node").alias("rep"), "root")
-    again = cut(reps.join(parts, "rep", "left").withColumn("part", F.coalesce("root", "rep")))
-    links = links.unionByName(wide_links(again, similarity, bucket, SPACINGS[1:]))
+    links = wide_links(reps, similarity, bucket)
     return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(links), "rep").select("doc_id", "component_id")
 
 
