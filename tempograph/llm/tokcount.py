@@ -24,7 +24,6 @@ into memory at once.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from tempograph.llm.common import doc_columns, slices, strings, tokenizer_path
 from tempograph.llm.merges import Merges
@@ -128,6 +128,8 @@ class Counter:
     def __init__(self, path: str):
         merges = Merges(path)
         self.machine = Transducer(merges)
+        # The library's tables of letters are newer than Python's.
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.special = re.compile("(" + "|".join(map(re.escape, merges.special)) + ")")
         self.marks = tuple(merges.special)
         self.words: dict[str, int] = {}
@@ -140,9 +142,8 @@ class Counter:
         return self._plain(word)
 
     def _plain(self, word: str) -> int:
-        if not word.isascii():  # as the tokenizer's normaliser: composed, and each letter lowered by itself
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        return sum(self.machine.count(t.encode()) for t in TOKENS.findall(word.lower()))
+        word = word.lower() if word.isascii() else self.normal(word)
+        return sum(self.machine.count(t.encode()) for t in TOKENS.findall(word))
 
     def total(self, words: list[str]) -> int:
         known = self.words
