@@ -116,6 +116,7 @@ class Stream(NamedTuple):
     stamps: list[int]
     random_access: list[int]  # numbers of the access units
     gaps: int  # breaks of a continuity counter
+    whole: bool  # nothing shows that a part is lost
 
 
 def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int) -> bytes:
@@ -166,7 +167,12 @@ def _program(packets: np.ndarray, pids: np.ndarray) -> tuple[int, int, int]:
 
 
 def demux_bytes(data: bytes) -> Stream:
-    """Parses a transport stream; raises ValueError if packets or tables are damaged."""
+    """Parses a transport stream; raises ValueError if packets or tables are damaged, or no access unit begins.
+
+    A packet that repeats the one before it, as the standard allows, is read
+    once. A stream is whole if counters have no gap, it begins with an access
+    unit, and each unit is as long as it says.
+    """
     if len(data) % PACKET or not data:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
@@ -175,12 +181,18 @@ def demux_bytes(data: bytes) -> Stream:
     pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
     program, pid, kind = _program(packets, pids)
     own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]  # packets without payload don't count
+    repeats = np.zeros(len(own), np.bool_)
+    repeats[1:] = (own[1:] == own[:-1]).all(1)
+    own = own[~repeats]
     counters = own[:, 3] & 15
     gaps = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
     adapted = (own[:, 3] & 0x20) > 0
     field = np.where(adapted, own[:, 4].astype(np.int64) + 1, 0)
     flagged = adapted & (field > 1) & ((own[:, 5] & 0x40) > 0)
     begins = np.flatnonzero(own[:, 1] & 0x40)
+    if not len(begins):
+        raise ValueError("no access unit begins")
+    whole = gaps == 0 and begins[0] == 0
     parts, stamps, points = [], [], []
     for unit, (a, b) in enumerate(zip(begins.tolist(), [*begins.tolist()[1:], len(own)])):
         rows = own[a:b]
@@ -197,12 +209,17 @@ def demux_bytes(data: bytes) -> Stream:
             stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
         if flagged[a]:
             points.append(unit)
+        whole = whole and (size == 0 or len(pes) == 6 + size)
         parts.append(pes[9 + pes[8] : 6 + size if size else len(pes)])  # 0: up to the next one
-    return Stream(b"".join(parts), program, pid, kind, len(packets), stamps, points, gaps)
+    return Stream(b"".join(parts), program, pid, kind, len(packets), stamps, points, gaps, bool(whole))
+
+
+def padded_size(n: int) -> int:
+    return max(1, -(-n // BLOCK)) * BLOCK
 
 
 def padded(text: bytes) -> bytes:
-    return text.ljust(max(1, -(-len(text) // BLOCK)) * BLOCK, b"\0")
+    return text.ljust(padded_size(len(text)), b"\0")
 
 
 def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,29 +234,37 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def demux(media: DataFrame, emit_payload: bool = True) -> DataFrame:
-    """What the column media holds: payload (with emit_payload), digests, stamps and random_access (numbers of access units), feature; doc_id and n_bytes are passed on."""
+    """What the column media holds: payload (with emit_payload), digests, stamps and random_access (numbers of access units), feature, and whole; doc_id and n_bytes are passed on.
+
+    Where a part of the payload is lost, or it isn't as long as n_bytes asks for,
+    whole is false, and payload, its size and digests are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             streams = b["media"].to_pylist()
             found = [demux_bytes(s) for s in streams]
+            whole = [x.whole and (n is None or len(x.payload) == padded_size(n)) for x, n in zip(found, b["n_bytes"].to_pylist())]
+            payloads = [x.payload if w else None for x, w in zip(found, whole)]
+            told = lambda f: [None if p is None else f(p) for p in payloads]
             cols = {
                 "doc_id": b["doc_id"],
                 "n_bytes": b["n_bytes"],
-                "payload_bytes": pa.array([len(x.payload) for x in found], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(x.payload).hexdigest() for x in found]),
-                "tail_crc32": pa.array([zlib.crc32(x.payload[-BLOCK:]) for x in found], pa.int64()),
+                "payload_bytes": pa.array(told(len), pa.int64()),
+                "payload_sha256": pa.array(told(lambda p: hashlib.sha256(p).hexdigest()), pa.string()),
+                "tail_crc32": pa.array(told(lambda p: zlib.crc32(p[-BLOCK:])), pa.int64()),
                 "media_bytes": pa.array(map(len, streams), pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
                 "feature": pa.array([f"program={x.program} pid={x.pid:#x} type={x.stream_type:#x} packets={x.packets} units={len(x.stamps)} pts={min(x.stamps, default=None)}-{max(x.stamps, default=None)} random_access={len(x.random_access)} gaps={x.gaps}" for x in found]),
                 "stamps": pa.array([x.stamps for x in found], pa.list_(pa.int64())),
                 "random_access": pa.array([x.random_access for x in found], pa.list_(pa.int32())),
+                "whole": pa.array(whole),
             }
             if emit_payload:
-                cols["payload"] = pa.array([x.payload for x in found], pa.binary())
+                cols["payload"] = pa.array(payloads, pa.binary())
             yield pa.RecordBatch.from_pydict(cols)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, random_access array<int>" + ", payload binary" * emit_payload)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, random_access array<int>, whole boolean" + ", payload binary" * emit_payload)
 
 
 def op10(docs: DataFrame) -> DataFrame:

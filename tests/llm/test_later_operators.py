@@ -10,7 +10,8 @@ from math import comb
 
 import pytest
 
-from tempograph.llm import phrases, prefixtrie, quality, queries, simhash
+from tempograph.llm import phrases, prefixtrie, quality, queries, simhash, tokcount, tsmedia
+from tempograph.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 CONVERSATIONS = "conv_id long, turn long, role string, text string, ids long, label string, rank int"
@@ -277,3 +278,36 @@ def test_similar_near_the_limit(spark):
     assert len(limit) > 100 and sum(limit) / len(limit) >= 0.9
     assert len({got[1000 + k] for k in range(1000)}) == 1000
     assert {got[3000 + k] for k in range(400)} == {3000}
+
+
+def test_every_letter_counts_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), tokcount.Counter(path)
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{x} {x}B {x}" for x in letters]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [hex(ord(x)) for x, t, n in zip(letters, texts, want) if counter.total(tokcount.split_blanks(t)) != n]
+    assert wrong == []
+
+
+def test_damaged_streams_are_marked(spark):
+    rng = random.Random(1)
+    payload = rng.randbytes(tsmedia.UNIT * 2 + 640)
+    stream = tsmedia.mux_bytes(payload)
+    packets = [stream[k : k + 188] for k in range(0, len(stream), 188)]
+    tables = len(tsmedia.TABLES) // 188
+    whole = tsmedia.demux_bytes(stream)
+    assert whole.whole and whole.payload == payload and whole.gaps == 0
+    for k in range(tables, len(packets)):
+        again = tsmedia.demux_bytes(b"".join([*packets[: k + 1], *packets[k:]]))
+        assert again.whole and again.payload == payload and again.gaps == 0
+        lost = tsmedia.demux_bytes(b"".join(packets[:k] + packets[k + 1 :]))
+        assert not lost.whole or len(lost.payload) < len(payload)
+    with pytest.raises(ValueError):
+        tsmedia.demux_bytes(b"".join(packets[:tables] + packets[tables + 1 : tables + 3]))
+    media = [(1, len(payload), stream), (2, len(payload), b"".join(packets[:8] + packets[9:])), (3, len(payload) + 64, stream), (None, None, stream)]
+    got = {r.doc_id: r for r in tsmedia.demux(spark.createDataFrame(media, "doc_id long, n_bytes long, media binary")).collect()}
+    assert {k: r.whole for k, r in got.items()} == {1: True, 2: False, 3: False, None: True}
+    assert got[2].payload is None and got[2].payload_sha256 is None and got[2].payload_bytes is None and bytes(got[1].payload) == payload
