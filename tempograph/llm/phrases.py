@@ -6,8 +6,9 @@ the positions at which each phrase starts. Phrases grow a word at a time: the
 positions of a frequent phrase, moved on by its length, meet the postings of the
 words that stand there, which gives the lists of the longer phrases; a list's
 length is the phrase's exact frequency in the block. Only those lengths are
-shuffled: added up over all blocks by phrase and next word, they tell which
-phrases are frequent, and each block hears of its own and drops the other lists.
+shuffled, packed for segments of hashes: added up over all blocks by phrase and
+next word, they tell which phrases are frequent, and each block hears of its own
+and drops the other lists. There are so many segments that one fits into memory.
 
 Two tests spare most phrases the shuffle, and neither can drop a frequent one: a
 phrase that starts where the phrase after its first word isn't frequent is left
@@ -20,8 +21,7 @@ all buckets fill up, all lists are candidates.
 Phrases have numbers (the smallest block and place that has them), so pairs of
 number and next word are exact. Frequencies, scores and ranks are Spark joins
 and groupings over the frequent phrases alone; products are decimals of 38
-digits. A hot phrase has one row for each block in its group, however often it
-occurs. Of each language every task keeps only the first ranks before they meet.
+digits. A hot phrase has one entry for each block, however often it occurs. Of each language every task keeps only the first ranks before they meet.
 
 Null texts are empty, null languages are ``und``; ids are not read, so null,
 equal and repeated rows each count; ties stand in the order of the phrase's
@@ -50,6 +50,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK, HELD, PART = 1 << 20, 1 << 21, 1 << 20
 #: Most buckets (a power of two), occurrences for one bucket, and buckets of a segment.
 BUCKETS, LOAD, SEGMENT = 1 << 28, 4, 1 << 16
+#: Occurrences whose phrases are put together at one time.
+TOGETHER = 1 << 20
 #: Rows of words of a batch; bits of a phrase's number for its place in a block, and for the block's place in its partition.
 _SOME, _PLACE, _SEQ = 1 << 16, 23, 18
 
@@ -63,10 +65,11 @@ def _schema(fields: str) -> pa.Schema:
     return pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in fields.split(", ")])
 
 
-#: A block with its words or a word of it; a block with its postings and lists; a phrase of a block; the buckets of a segment.
+#: A block with its words or a word of it; a block with its postings and lists; phrases of a block; those of a block that are frequent, or one frequent phrase; the buckets of a segment.
 _TEXT = "block long, lang string, before int, words binary, place int, word string, n long"
 _LISTS = "block long, lang string, before int, words binary, numbers binary, starts binary, counts binary, phrases binary"
-_FOUND = "block long, lang string, place int, prefix long, next long, n long"
+_FOUND = "segment int, block long, lang string, packed binary"
+_SETTLED = "block long, packed binary, lang string, prefix long, next long, number long, f long"
 _COUNTS = "segment int, packed binary"
 
 
@@ -258,17 +261,59 @@ def _summed(least: int):
     return run
 
 
-def _grown(length: int, bits: int, enough):
-    """A row for each longer phrase of a block whose bucket has enough."""
+def _grown(length: int, bits: int, enough, parts: int):
+    """The longer phrases of a block whose bucket has enough: place, prefix, next and n, packed for each of 2 ** parts segments of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _each(batches, length):
             bucket = x.buckets(bits)
             place = np.flatnonzero(enough.value[bucket >> 3] >> (7 - (bucket & 7)) & 1)
-            n = x.own()
-            for k in range(0, len(place), _SOME):
-                p = place[k : k + _SOME]
-                yield _filled(_FOUND, len(p), block=np.full(len(p), x.block), lang=[x.lang] * len(p), place=p.astype(np.int32), prefix=x.prefix[p], next=x.next[p], n=n[p])
+            segment = bucket[place] >> (bits - parts)
+            order = np.argsort(segment, kind="stable")
+            place, segment, n = place[order], segment[order], x.own()
+            for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(segment)) + 1):
+                if len(at):
+                    p = place[at]
+                    yield _filled(_FOUND, 1, segment=[int(segment[at[0]])], block=[x.block], lang=[x.lang], packed=[packed(np.stack((p, x.prefix[p], x.next[p], n[p])).reshape(-1))])
+
+    return run
+
+
+def _settled(least: int):
+    """Of each segment whose rows stand together: each block's places and numbers of frequent phrases, packed, and each of these phrases once."""
+
+    def settle(rows: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+        each = [unpacked(data, np.int64).reshape(4, -1) for _, _, data in rows]
+        sizes = [e.shape[1] for e in each]
+        place, prefix, next_, n = np.concatenate(each, 1)
+        block = np.repeat(np.array([b for b, _, _ in rows]), sizes)
+        lang = np.repeat(np.arange(len(rows)), sizes)
+        order = np.lexsort((next_, prefix))
+        p, q = prefix[order], next_[order]
+        heads = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+        f, number = np.add.reduceat(n[order], heads), np.minimum.reduceat((block + place)[order], heads)
+        some = f >= least
+        if not some.any():
+            return
+        h = heads[some]
+        yield _filled(_SETTLED, len(h), lang=[rows[k][1] for k in lang[order[h]].tolist()], prefix=p[h], next=q[h], number=number[some], f=f[some])
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.repeat(np.where(some, number, -1), np.diff(np.append(heads, len(order))))
+        kept = np.flatnonzero(numbers >= 0)
+        for at in np.split(kept, np.flatnonzero(np.diff(block[kept])) + 1):
+            yield _filled(_SETTLED, 1, block=[int(block[at[0]])], packed=[packed(np.stack((place[at], numbers[at])).reshape(-1))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, rows = None, []
+        for b in batches:
+            for s, *row in zip(*(b[c].to_pylist() for c in ("segment", "block", "lang", "packed"))):
+                if s != segment and rows:
+                    yield from settle(rows)
+                    rows = []
+                segment = s
+                rows.append(tuple(row))
+        if rows:
+            yield from settle(rows)
 
     return run
 
@@ -293,7 +338,7 @@ def _chosen(length: int):
         if not lists.num_rows or not frequent.num_rows:
             return pa.Table.from_batches([], _schema(_LISTS))
         x = _Lists(lists.slice(0, 1).to_pylist()[0], length)
-        return pa.Table.from_batches([x.kept(frequent["place"].to_numpy(), frequent["number"].to_numpy())])
+        return pa.Table.from_batches([x.kept(*np.concatenate([unpacked(d, np.int64).reshape(2, -1) for d in frequent["packed"].to_pylist()], 1))])
 
     return run
 
@@ -308,11 +353,11 @@ def _enough(lists: DataFrame, length: int, occurrences: int, least: int):
     return bits, lists.sparkSession.sparkContext.broadcast(flags)
 
 
-def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Rows of phrases that are frequent over all blocks, with f (how often they occur) and number."""
-    same = W.partitionBy(*by)
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of words that are frequent over all blocks, with f (how often they occur) and number."""
+    same = W.partitionBy("lang", "word")
     found = rows.withColumn("f", F.sum("n").over(same)).withColumn("number", F.min(F.col("block") + F.col("place")).over(same)).where(F.col("f") >= least)
-    return found.select("block", "place", "lang", *[c for c in by if c != "lang"], "f", "number")
+    return found.select("block", "place", "lang", "word", "f", "number")
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -323,7 +368,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     read = stored(texts.mapInArrow(_blocks(block, HELD), _TEXT), "blocks")
     spoken = read.where("word is not null").select("block", "lang", "place", "word", "n")
     totals = stored(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    known = stored(_frequent(spoken, ["lang", "word"], least), "frequent-1")
+    known = stored(_frequent(spoken, least), "frequent-1")
     owner = F.col("number") == F.col("block") + F.col("place")
     words = stored(known.where(owner).select("lang", "number", F.col("word").alias("phrase"), "f"), "phrases-1")
     found = [words]
@@ -334,15 +379,16 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     for length in range(1, longest):
         occurrences = found[-1].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         bits, enough = _enough(lists, length, occurrences, least)
-        grown = stored(lists.mapInArrow(_grown(length, bits, enough), _FOUND), f"grown-{length + 1}")
+        parts = min(bits, (max(1, occurrences // TOGETHER) - 1).bit_length())
+        grown = stored(lists.mapInArrow(_grown(length, bits, enough, parts), _FOUND), f"grown-{length + 1}")
+        known = stored(grown.repartition("segment").sortWithinPartitions("segment", "block").mapInArrow(_settled(least), _SETTLED), f"frequent-{length + 1}")
         enough.destroy()
-        known = stored(_frequent(grown, ["prefix", "next"], least), f"frequent-{length + 1}")
         discard(grown)
         heads = found[-1].select(F.col("number").alias("prefix"), F.col("phrase").alias("head"))
         tails = words.select(F.col("number").alias("next"), F.col("phrase").alias("tail"))
-        found.append(stored(known.where(owner).join(heads, "prefix").join(tails, "next").select("lang", "number", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases-{length + 1}"))
+        found.append(stored(known.where("f is not null").join(heads, "prefix").join(tails, "next").select("lang", "number", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases-{length + 1}"))
         if length + 1 < longest:
-            longer = stored(lists.groupBy("block").cogroup(known.select("block", "place", "number").groupBy("block")).applyInArrow(_chosen(length), _LISTS), f"lists-{length + 1}")
+            longer = stored(lists.groupBy("block").cogroup(known.where("packed is not null").select("block", "packed").groupBy("block")).applyInArrow(_chosen(length), _LISTS), f"lists-{length + 1}")
             discard(lists, known)
             lists = longer
         else:
