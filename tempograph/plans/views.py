@@ -43,7 +43,9 @@ UNION ALL SELECT concat('o', CAST(o_orderkey AS STRING)), CASE WHEN o_orderkey %
     "dependencies": """
 SELECT concat('o', CAST(o_orderkey AS STRING)) AS child_fact_id, concat('c', CAST(o_custkey AS STRING)) AS parent_fact_id, o_orderkey % 3 <> 0 AS is_positive FROM orders WHERE o_orderkey % 5 = 0""",
     "hierarchy": """
-SELECT * FROM (VALUES ('located_in', 'location'), ('has_order', 'commerce'), ('supplies', 'commerce'), ('supplies', 'employment'), ('rejected_action', 'behaviour'), ('commerce', 'root'), ('employment', 'root'), ('location', 'root'), ('behaviour', 'root')) AS h(child, parent)""",
+SELECT * FROM (VALUES ('located_in', 'location'), ('has_order', 'commerce'), ('supplies', 'commerce'), ('supplies', 'employment'), ('rejected_action', 'behaviour'), ('commerce', 'root'), ('employment', 'root'), ('location', 'root'), ('behaviour', 'root')) AS h(child, parent)
+UNION SELECT r_name, 'location' FROM region UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION SELECT p_type, 'commerce' FROM part UNION SELECT p_brand, p_type FROM part UNION SELECT c_name, c_mktsegment FROM customer UNION SELECT c_mktsegment, 'commerce' FROM customer""",
     "messages": """
 SELECT conv_id AS session_id, turn, role, text AS content, CAST(length(text) AS BIGINT) AS chars FROM conversations""",
     "locations": """
