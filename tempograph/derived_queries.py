@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
-from tempograph.functions import recurrence, render, text
+from tempograph.functions import predicates, recurrence, render, text
 from tempograph.operators import aggregates, cascade, graph, inference, joins, memory, places, preferences, ranking, resolution, retrieval, trashcan
 from tempograph.streaming import centrality
 
@@ -450,4 +450,9 @@ SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT
         """WITH l AS (SELECT fact_id, list_sort(list(DISTINCT category_id)) AS c FROM fact_categories GROUP BY 1)
 SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT k.id AS ask_id, f.id AS fact_id, c, row_number() OVER (PARTITION BY k.id ORDER BY confidence DESC, f.id) AS rank FROM categories k JOIN l ON (list_contains(c, k.id) OR list_contains(c, k.parent_id)) JOIN facts f ON f.id = fact_id WHERE k.parent_id IS NOT NULL AND NOT pending AND fact_status_id NOT IN (5, 6)) WHERE rank <= 20""",
     ),
+    "p15_sensitive_facts": on_views(
+        "facts fact_categories",
+        lambda f, fc: f.join(fc.groupBy(F.col("fact_id").alias("id")).agg(F.collect_set(F.col("category_id") * 10 - 900).alias("numbers")), "id", "left").where(predicates.is_sensitive(F.col("confidence") < 0.6, F.col("numbers"), F.col("object_literal"))).select("id"),
+        "SELECT id FROM facts WHERE confidence < 0.6::DOUBLE AND id IN (SELECT fact_id FROM fact_categories WHERE category_id * 10 - 900 IN (150, 180, 230, 300, 310, 320, 330, 340, 370, 390, 420, 670))",
+    ),
 }

@@ -32,3 +32,16 @@ def overlaps(a_from: Column, a_until: Column, b_from: Column, b_until: Column) -
 def sensitive(text: Column, keywords: Sequence[str]) -> Column:
     """True if one of the words stands in the text by itself; letters and digits are ASCII."""
     return text.rlike("(?i)(?<![a-z0-9])(" + "|".join(keywords) + ")(?![a-z0-9])")
+
+
+#: Categories whose facts are sensitive (fixed values).
+SENSITIVE_CATEGORIES = (150, 180, 230, 300, 310, 320, 330, 340, 370, 390, 420, 670)
+#: Words that make an object sensitive wherever they stand by themselves (fixed values).
+SENSITIVE_WORDS = """allergic allergy diabetic diabetes medication prescription diagnosis diagnosed surgery surgical hospital therapy therapist
+psychiatrist depression anxiety debt bankrupt bankruptcy salary mortgage loan investment divorce separated citizenship passport visa""".split()
+
+
+def is_sensitive(flagged: Column, categories: Column, text: Column) -> Column:
+    """Whether a flagged fact is sensitive: by one of its categories (array) or by a word of its object. Without the flag nothing is."""
+    by_category = F.coalesce(F.arrays_overlap(categories, F.array(*[F.lit(c) for c in SENSITIVE_CATEGORIES]).cast("array<bigint>")), F.lit(False))
+    return F.coalesce(flagged, F.lit(False)) & (by_category | F.coalesce(sensitive(text, SENSITIVE_WORDS), F.lit(False)))

@@ -29,7 +29,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT subject_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY confidence DESC, valid_from DESC NULLS LAST, id DESC) AS rank FROM facts WHERE {_VISIBLE} AND confidence >= 0.5 AND predicate = 'has_order') WHERE rank > 2 AND rank <= 5",
     ),
     "r09_count_of_predicate": on_views("facts", lambda f: reads.fact_counts(f.where(lookups.optional("predicate", "supplies")), 0.95), f"SELECT subject_id, count(*) AS n FROM facts WHERE {_VISIBLE} AND predicate = 'supplies' AND confidence >= 0.95::DOUBLE GROUP BY 1"),
-    "r10_pending_oldest": on_views("facts", lambda f: reads.top_per(f.where("pending"), "predicate", [F.col("valid_from").asc_nulls_first(), F.col("id")], None).select("predicate", "id", "rank"), "SELECT predicate, id, row_number() OVER (PARTITION BY predicate ORDER BY valid_from NULLS FIRST, id) AS rank FROM facts WHERE pending"),
+    "r10_pending_oldest": on_views("facts", lambda f: reads.ranked_in_parts(f.where("pending").select("predicate", "id", "valid_from"), "predicate", [F.col("valid_from").asc_nulls_first(), F.col("id")]).select("predicate", "id", "rank"), "SELECT predicate, id, row_number() OVER (PARTITION BY predicate ORDER BY valid_from NULLS FIRST, id) AS rank FROM facts WHERE pending"),
     "r11_edges": on_views("dependencies", lambda d: d.select(F.explode(F.array("parent_fact_id", "child_fact_id")).alias("fact_id"), "parent_fact_id", "child_fact_id", "is_positive"), "SELECT parent_fact_id AS fact_id, * FROM dependencies UNION ALL SELECT child_fact_id, * FROM dependencies"),
     "r13_audit_page": on_views(
         "audit",
@@ -93,7 +93,7 @@ SELECT c.id, class_id, n AS n_links FROM c JOIN n ON n.id = c.id""",
     "a24_facts_of_sources": on_views("sources", lambda s: s.where("source_type_id = 2").select("fact_id").distinct(), "SELECT DISTINCT fact_id FROM sources WHERE source_type_id = 2"),
     "a21_percentiles": on_views(
         "audit",
-        lambda a: reads.top_per(a, "change_type", [F.col("value"), F.col("id")], None).join(a.groupBy("change_type").agg(F.count("*").alias("n")), "change_type").where("rank = round((n - 1) * 0.95) + 1").select("change_type", F.col("value").alias("p95")),
+        lambda a: reads.ranked_in_parts(a.select("change_type", "id", "value"), "change_type", [F.col("value"), F.col("id")]).join(a.groupBy("change_type").agg(F.count("*").alias("n")), "change_type").where("rank = round((n - 1) * 0.95) + 1").select("change_type", F.col("value").alias("p95")),
         "SELECT change_type, value AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY change_type ORDER BY value, id) AS r, count(*) OVER (PARTITION BY change_type) AS n FROM audit) WHERE r = round((n - 1) * 0.95) + 1",
     ),
     "a23_summary": on_views("facts sources", lambda f, s: f.agg(F.count("*").alias("facts"), F.count_distinct("subject_id").alias("entities")).crossJoin(s.agg(F.count("*").alias("sources"))), "SELECT count(*) AS facts, count(DISTINCT subject_id) AS entities, (SELECT count(*) FROM sources) AS sources FROM facts"),

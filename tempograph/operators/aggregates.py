@@ -29,8 +29,8 @@ def top_entities(facts: DataFrame, entities: DataFrame, limit: int) -> DataFrame
 
 
 def by_month(facts: DataFrame) -> DataFrame:
-    """Facts by the month in which they begin."""
-    return live(facts).where(F.col("valid_from").isNotNull()).groupBy(F.date_format("valid_from", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    """Facts by the month in which they begin, or were made (created_at) if that isn't known."""
+    return live(facts).groupBy(F.date_format(F.coalesce("valid_from", "created_at"), "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
 def confidence_bands(facts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import ACTIVE, FORGOTTEN, INFERRED, active_at, visible
 from tempograph.operators.graph import closure
+from tempograph.plans.lineage import cut
 
 
 def top_per(rows: DataFrame, key: str | list[str], order: list[Column], limit: int | None) -> DataFrame:
@@ -16,6 +17,17 @@ def top_per(rows: DataFrame, key: str | list[str], order: list[Column], limit: i
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
+def ranked_in_parts(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """All rows with their rank within a key, also where few keys hold most rows: rows are ranged by key and order, and a rank is a place in its range and what ranges before it hold of the key. order must leave no ties."""
+    spark = rows.sparkSession
+    ranged = cut(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    # A row for each range and key that meet: at most as many as there are ranges and keys.
+    n = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.sum("_n").over(W.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
+    here = F.row_number().over(W.partitionBy("_part", key).orderBy(*order))
+    return ranged.withColumn("_here", here).join(before, [key, "_part"]).withColumn("rank", F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
+
+
 def facts_by(facts: DataFrame, key: str, limit: int) -> DataFrame:
     """The first facts by id of each subject, predicate or object."""
     return top_per(facts.where(F.col(key).isNotNull()), key, [F.col("id")], limit).select(key, "id", "rank")

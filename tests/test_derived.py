@@ -319,3 +319,23 @@ def test_rules_of_rendering(spark):
         render.snippet(F.lit("a b c the d e f"), "the", 2).alias("o"),
     ).first()
     assert tuple(row) == ("2024-01-02T03:04:05Z → ...", "→ 2024-01-02T00:00:00Z", "", "user: a\\r\\nb", None, '"say ""x"""', None, [1, 3], ["a", "b", "c"], ["a, b"], 0.9, 0.3, 0.2, 0.8, "... b c <<<the>>> d e ...")
+
+
+def test_sensitive_needs_the_flag(spark):
+    from tempograph.functions.predicates import is_sensitive
+
+    rows = [(True, [1, 150], None), (True, [1], "On VISA, now"), (True, None, "a visage"), (False, [150], "visa"), (None, [150], "visa"), (True, [], "éloan")]
+    got = [r[0] for r in spark.createDataFrame(rows, "f boolean, c array<long>, t string").select(is_sensitive(F.col("f"), F.col("c"), F.col("t"))).collect()]
+    assert got == [True, True, False, False, False, True]
+
+
+def test_ranks_in_parts(spark):
+    from tempograph.operators.reads import ranked_in_parts
+
+    rows = spark.range(3000).selectExpr("if(id % 5 > 0, 'hot', concat('k', id % 3)) as k", "cast(id * 7 % 100 as int) as v", "id")
+    got = {(r.k, r.id): r["rank"] for r in ranked_in_parts(rows, "k", [F.col("v").desc(), F.col("id")]).collect()}
+    want, n = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (-r.v, r.id)):
+        n[r.k] = n.get(r.k, 0) + 1
+        want[r.k, r.id] = n[r.k]
+    assert got == want
