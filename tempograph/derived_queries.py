@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
 from tempograph.functions import predicates, recurrence, render, text
-from tempograph.operators import aggregates, cascade, graph, inference, joins, memory, places, preferences, ranking, resolution, retrieval, trashcan
+from tempograph.operators import aggregates, cascade, graph, inference, ingest, joins, memory, places, preferences, ranking, resolution, retrieval, trashcan
 from tempograph.streaming import centrality
 
 NOW = "1997-03-31 12:00:00"
@@ -311,6 +311,24 @@ seen{k + 1} AS (SELECT * FROM seen{k} UNION ALL SELECT * FROM front{k + 1})"""
     return sql + ", edges AS (SELECT * EXCLUDE room FROM edges0 UNION ALL SELECT * EXCLUDE room FROM edges1 UNION ALL SELECT * EXCLUDE room FROM edges2) " + select
 
 
+# --- ingest ----------------------------------------------------------------
+
+
+def _incoming(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("categories", F.array("category"))
+
+
+def _normalized(rows: DataFrame, vocabulary: DataFrame, categories: DataFrame) -> DataFrame:
+    out = ingest.normalized(_incoming(rows), vocabulary, categories, at(NOW))
+    return out.select("arrival", "outcome", "predicate", F.array_join("categories", ",").alias("categories"), F.round("confidence", 6).alias("confidence"), "fact_status_id", "pending", "valid_from")
+
+
+_KEY = "replace(lower(trim({})), ' ', '_')"
+_NORMAL = f"""WITH words AS (SELECT {_KEY.format('name')} AS k, name, default_category FROM vocabulary WHERE emit_eligible UNION SELECT {_KEY.format('alias')}, name, default_category FROM vocabulary WHERE emit_eligible),
+met AS (SELECT i.*, w.name AS canonical, CASE WHEN category IN (SELECT id FROM categories) THEN category ELSE default_category END AS c FROM incoming i LEFT JOIN words w ON w.k = {_KEY.format('predicate')}),
+judged AS (SELECT *, CASE WHEN canonical IS NULL THEN 'staged' WHEN connector_id IS NOT NULL AND raw_reference IS NULL THEN 'refused'
+  WHEN flagged AND (c IN (150, 180, 230, 300, 310, 320, 330, 340, 370, 390, 420, 670) OR regexp_matches(lower(object), '(^|[^a-z0-9])loan($|[^a-z0-9])')) THEN 'pending' ELSE 'insert' END AS outcome FROM met)"""
+
 # --- rendering and parsing -------------------------------------------------
 
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
@@ -455,4 +473,27 @@ SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT
         lambda f, fc: f.join(fc.groupBy(F.col("fact_id").alias("id")).agg(F.collect_set(F.col("category_id") * 10 - 900).alias("numbers")), "id", "left").where(predicates.is_sensitive(F.col("confidence") < 0.6, F.col("numbers"), F.col("object_literal"))).select("id"),
         "SELECT id FROM facts WHERE confidence < 0.6::DOUBLE AND id IN (SELECT fact_id FROM fact_categories WHERE category_id * 10 - 900 IN (150, 180, 230, 300, 310, 320, 330, 340, 370, 390, 420, 670))",
     ),
+    "i01_normalized": on_views(
+        "incoming vocabulary categories",
+        _normalized,
+        _NORMAL + f""" SELECT arrival, outcome, coalesce(canonical, predicate) AS predicate, coalesce(CAST(c AS VARCHAR), '') AS categories,
+  round(least(greatest(coalesce(confidence, CASE WHEN source_type_id = 2 THEN CASE connector WHEN 'email' THEN 0.85 WHEN 'calendar' THEN 0.9 ELSE 0.8 END ELSE CASE source_type_id WHEN 3 THEN 0 WHEN 4 THEN 0.3 WHEN 5 THEN 0.8 ELSE 1 END END), 0), 1), 6)::DOUBLE AS confidence,
+  CASE outcome WHEN 'pending' THEN 3 WHEN 'insert' THEN 1 END AS fact_status_id, outcome = 'pending' AS pending,
+  CASE WHEN correction AND scope IS NULL THEN {_AT} WHEN correction AND scope <> 'always' THEN coalesce(TRY_CAST(scope AS TIMESTAMP), valid_from) ELSE valid_from END AS valid_from FROM judged""",
+    ),
+    "i29_staged": on_views(
+        "incoming vocabulary",
+        lambda i, v: ingest.staged(ingest.known_predicates(i, v).where("canonical is null").withColumn("payload", F.col("object")), i.where("false").selectExpr("arrival as stage_id", "connector_id", "raw_reference", "predicate", "object as payload")).select("stage_id", "arrival", "newly_staged", "status"),
+        _NORMAL + " SELECT min(arrival) OVER w AS stage_id, arrival, arrival = min(arrival) OVER w AS newly_staged, 'unmapped' AS status FROM met WHERE canonical IS NULL WINDOW w AS (PARTITION BY coalesce(connector_id, -1), coalesce(raw_reference, ''), predicate, object)",
+    ),
+    "i08_corrected": on_views(
+        "facts incoming vocabulary categories",
+        lambda f, i, v, c: ingest.corrected(f, ingest.normalized(_incoming(i), v, c, at(NOW)).where("correction and scope = 'always' and outcome = 'insert'")),
+        _NORMAL + ", said AS (SELECT * FROM judged WHERE correction AND scope = 'always' AND outcome = 'insert') SELECT id FROM facts f WHERE fact_status_id = 1 AND EXISTS (SELECT 1 FROM said s WHERE s.subject_id = f.subject_id AND s.canonical = f.predicate AND (f.valid_from IS NULL OR s.valid_until IS NULL OR f.valid_from < s.valid_until) AND (s.valid_from IS NULL OR f.valid_until IS NULL OR s.valid_from < f.valid_until))",
+    ),
+    "i10_confirmed": on_views(
+        "facts",
+        lambda f: ingest.confirmed(f, f.where("predicate = 'located_in'").select("id")).select("id", "fact_status_id", "confidence", "error"),
+        "SELECT id, CASE WHEN pending THEN 1 ELSE fact_status_id END AS fact_status_id, CASE WHEN pending THEN 1 ELSE confidence END AS confidence, CASE WHEN NOT pending THEN 'not awaiting confirmation' END AS error FROM facts WHERE predicate = 'located_in'",
+    ),
 }

@@ -84,6 +84,14 @@ SELECT concat('o', CAST(o_orderkey AS STRING)) AS parent_fact_id, concat('o', CA
 UNION ALL SELECT concat('o', CAST(o_orderkey + 1 AS STRING)), concat('o', CAST(o_orderkey AS STRING)) FROM orders WHERE o_orderkey % 4 = 0""",
     "tasks": """
 SELECT conv_id AS task_id, concat('Tell me about ', n_name, chr(39), 's place in region ', CAST(n_regionkey AS STRING), ' and Supplier ', CAST(conv_id % 7 AS STRING), ': ', substring(text, 1, 60)) AS task FROM conversations JOIN nation ON conv_id % 25 = n_nationkey WHERE turn = 0""",
+    "vocabulary": """
+SELECT * FROM (VALUES ('has_order', 'Ordered', true, 100), ('has_order', 'bought', true, 100), ('visited', 'went to', true, 101), ('located_in', 'is in', true, 102), ('supplies', 'delivers', true, CAST(NULL AS INT)), ('location', 'place', false, 103)) AS v(name, alias, emit_eligible, default_category)""",
+    "incoming": """
+SELECT o_orderkey AS arrival, CASE o_orderkey % 8 WHEN 0 THEN ' Has Order ' WHEN 1 THEN 'ordered' WHEN 2 THEN 'Went To' WHEN 3 THEN 'likes' WHEN 4 THEN 'IS IN' WHEN 5 THEN 'place' WHEN 6 THEN 'delivers' ELSE 'bought' END AS predicate, o_custkey * 16 + 3 AS subject_id,
+  CASE o_orderkey % 9 WHEN 0 THEN 'a loan' WHEN 1 THEN 'loaned' ELSE o_orderpriority END AS object, CAST(o_orderkey % 40 AS BIGINT) + 90 AS category, o_orderkey % 3 > 0 AS flagged, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 13 AS DOUBLE) / 10 END AS confidence,
+  CAST(1 + o_orderkey % 6 AS INT) AS source_type_id, CASE o_orderkey % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'calendar' END AS connector, CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_orderkey % 5 AS INT) END AS connector_id,
+  CASE WHEN o_orderkey % 11 > 0 THEN concat('m', CAST(o_orderkey % 50 AS STRING)) END AS raw_reference, CAST(o_orderdate AS TIMESTAMP) AS valid_from, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 DAY END AS valid_until,
+  o_orderkey % 7 < 3 AS correction, CASE o_orderkey % 7 WHEN 1 THEN 'always' WHEN 2 THEN CASE WHEN o_orderkey % 14 = 2 THEN '1996-05-05 00:00:00' ELSE 'soon' END END AS scope FROM orders""",
     "audit": """
 SELECT event_id AS id, user_id AS fact_id, event_type AS change_type, CAST(ts AS TIMESTAMP) AS changed_at, value FROM events""",
 }

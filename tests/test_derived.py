@@ -339,3 +339,45 @@ def test_ranks_in_parts(spark):
         n[r.k] = n.get(r.k, 0) + 1
         want[r.k, r.id] = n[r.k]
     assert got == want
+
+
+def test_incoming_facts(spark):
+    from tempograph.operators import ingest
+
+    vocabulary = spark.createDataFrame([("knows", "Is Friends With", True, 7), ("owns", None, True, None), ("social", "people", False, 1)], "name string, alias string, emit_eligible boolean, default_category long")
+    schema = "arrival long, predicate string, object string, categories array<long>, flagged boolean, confidence double, source_type_id int, connector string, connector_id int, raw_reference string, valid_from timestamp, valid_until timestamp, correction boolean, scope string"
+    plain = dict(object="x", categories=None, flagged=False, confidence=None, source_type_id=1, connector=None, connector_id=None, raw_reference="r", valid_from=day(1), valid_until=None, correction=False, scope=None)
+    rows = [
+        {"predicate": " is friends WITH ", "categories": [9, 99]}, {"predicate": "knows", "categories": [99]}, {"predicate": "people"}, {"predicate": "likes"}, {"predicate": None},
+        {"predicate": "owns", "connector_id": 3, "raw_reference": None}, {"predicate": "owns", "flagged": True, "object": "my Mortgage!"}, {"predicate": "owns", "object": "mortgage"}, {"predicate": "owns", "confidence": 7.0},
+        {"predicate": "owns", "correction": True}, {"predicate": "owns", "correction": True, "scope": "2020-01-09 00:00:00"}, {"predicate": "owns", "correction": True, "scope": "one day"}, {"predicate": "owns", "correction": True, "scope": "always"},
+    ]
+    frame = spark.createDataFrame([tuple((plain | {"arrival": k} | r)[c.split()[0]] for c in schema.split(", ")) for k, r in enumerate(rows)], schema)
+    now = F.lit("2020-01-20").cast("timestamp")
+    got = {r.arrival: r for r in ingest.normalized(frame, vocabulary, spark.createDataFrame([(9,), (1,)], "id long"), now).collect()}
+    assert [got[k].outcome for k in range(13)] == ["insert", "insert", "staged", "staged", "staged", "refused", "pending", "insert", "insert", "insert", "insert", "insert", "insert"]
+    assert (got[0].predicate, got[0].categories, got[1].categories, got[7].categories) == ("knows", [9], [7], [])
+    assert (got[6].fact_status_id, got[6].pending, got[8].confidence, got[7].confidence) == (3, True, 1.0, 1.0)
+    assert [got[k].valid_from for k in (9, 10, 11, 12)] == [day(20), day(9), day(1), day(1)]
+    unknown = spark.createDataFrame([(1, 4, "r", "likes", "p"), (2, 4, "r", "likes", "p"), (3, None, None, "likes", "p"), (4, None, None, "likes", "p"), (5, 4, "r", "likes", "q")], "arrival long, connector_id int, raw_reference string, predicate string, payload string")
+    there = unknown.where("arrival = 3").selectExpr("cast(77 as long) as stage_id", "connector_id", "raw_reference", "predicate", "payload")
+    stages = ingest.staged(unknown, there)
+    assert sorted((r.arrival, r.stage_id, r.newly_staged) for r in stages.collect()) == [(1, 1, True), (2, 1, False), (3, 77, False), (4, 77, False), (5, 5, True)]
+    first = stages.where("newly_staged").select("stage_id", F.when(F.col("stage_id") == 5, "mapped").otherwise("unmapped").alias("status"))
+    decided = ingest.reviewed(first, spark.createDataFrame([(1, "knows"), (5, "knows"), (9, None)], "stage_id long, to string"), vocabulary)
+    assert {r.stage_id: (r.status, r.to, r.error) for r in decided.collect()} == {1: ("mapped", "knows", None), 5: ("mapped", None, "not unmapped"), 9: (None, None, "not unmapped")}
+    assert {(r.status, r.error) for r in ingest.reviewed(first.where("stage_id = 1"), spark.createDataFrame([(1, "social")], "stage_id long, to string"), vocabulary).collect()} == {("unmapped", "no predicate that may be stated")}
+
+
+def test_corrections_and_confirmation(spark):
+    from tempograph.operators import ingest
+
+    facts = facts_of(spark, [("a", 1, "p", 2, 1, 5, 0.9, 1), ("b", 1, "p", 3, 5, 9, 0.8, 1), ("c", 1, "p", 3, None, None, 0.7, 1), ("d", 1, "p", 3, 5, 9, 0.7, 3), ("e", 1, "q", 3, 5, 9, 0.7, 1), ("f", 1, "p", 3, 9, None, 0.7, 1)])
+    said = spark.createDataFrame([(1, "p", day(5), day(7)), (1, "p", day(6), day(9)), (2, "p", None, None)], "subject_id long, predicate string, valid_from timestamp, valid_until timestamp")
+    assert sorted(r.id for r in ingest.corrected(facts, said).collect()) == ["b", "c"]
+    waiting = facts.withColumn("pending", F.col("id").isin("a", "d"))
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "id string")
+    got = {r.id: (r.fact_status_id, r.confidence, r.error, r.new_value) for r in ingest.confirmed(waiting, ids).collect()}
+    refused = "not awaiting confirmation"
+    assert got == {"a": (1, 1.0, None, '{"fact_status_id":1,"confidence":1.0,"pending_confirmation":false}'), "b": (1, 0.8, refused, None), "z": (None, None, refused, None)}
+    assert sorted(r.id for r in ingest.rejected(waiting, ids).collect()) == ["b", "c", "d", "e", "f"]
