@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
 from tempograph.functions import predicates, recurrence, render, text
-from tempograph.operators import aggregates, cascade, graph, inference, ingest, joins, memory, places, preferences, ranking, resolution, retrieval, trashcan
+from tempograph.operators import aggregates, cascade, graph, inference, ingest, joins, memory, places, preferences, prose, ranking, resolution, retrieval, trashcan
 from tempograph.streaming import centrality
 
 NOW = "1997-03-31 12:00:00"
@@ -329,6 +329,35 @@ met AS (SELECT i.*, w.name AS canonical, CASE WHEN category IN (SELECT id FROM c
 judged AS (SELECT *, CASE WHEN canonical IS NULL THEN 'staged' WHEN connector_id IS NOT NULL AND raw_reference IS NULL THEN 'refused'
   WHEN flagged AND (c IN (150, 180, 230, 300, 310, 320, 330, 340, 370, 390, 420, 670) OR regexp_matches(lower(object), '(^|[^a-z0-9])loan($|[^a-z0-9])')) THEN 'pending' ELSE 'insert' END AS outcome FROM met)"""
 
+# --- memory as text --------------------------------------------------------
+
+
+def _memory_text(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """The five best facts of each subject, put into buckets by the length of their predicate."""
+    names = entities.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"))
+    objects = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"))
+    rows = _scored(facts).where("rank <= 5").select("id", "rank").join(facts, "id").join(names, "subject_id").join(objects, "object_id", "left")
+    line = prose.fact_line(F.col("subject"), F.col("predicate"), F.coalesce("object", "object_literal"), F.col("valid_from"), F.col("valid_until"))
+    return prose.rendered(rows.select("subject_id", (F.length("predicate") % 5 + 1).alias("bucket"), "rank", line.alias("line")))
+
+
+_SPOKEN = "CASE predicate " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prose.SAID.items()) + " ELSE replace(predicate, '_', ' ') END"
+_WINDOW = "CASE WHEN {a} IS NOT NULL THEN concat({f}, ' → ', coalesce({u}, '...')) WHEN {b} IS NOT NULL THEN concat('→ ', {u}) ELSE '' END"
+
+
+def _window_sql(a: str, b: str) -> str:
+    return _WINDOW.format(a=a, b=b, f=f"strftime({a}, '%Y-%m-%dT%H:%M:%SZ')", u=f"strftime({b}, '%Y-%m-%dT%H:%M:%SZ')")
+
+
+_UPCOMING = f"""
+WITH n AS (SELECT TIMESTAMP '{NOW}' AS now, TIMESTAMP '{NOW}' + INTERVAL 60 DAY AS until),
+said AS (SELECT f.*, s.name AS subject, coalesce(o.name, object_literal, '') AS object FROM facts f JOIN entities s ON s.id = subject_id LEFT JOIN entities o ON o.id = object_id),
+once AS (SELECT subject_id AS whose, f.id, subject, predicate, object, valid_from AS t, valid_until, 0 AS kind FROM said f LEFT JOIN overlays e ON e.fact_id = f.id, n WHERE NOT pending AND fact_status_id NOT IN (5, 6) AND confidence >= 0.5 AND valid_from BETWEEN now AND until AND (e.id IS NULL OR (status IN ('pending', 'active', 'snoozed') AND recurrence = 'none'))),
+again AS (SELECT e.entity_id AS whose, f.id, subject, predicate, object, trigger_at AS t, valid_until, 1 AS kind FROM overlays e JOIN said f ON f.id = e.fact_id, n WHERE status = 'active' AND recurrence <> 'none' AND trigger_at BETWEEN now AND until AND fact_status_id NOT IN (5, 6)),
+both_ AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY whose ORDER BY t, id) <= 3 UNION ALL SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY whose ORDER BY t, id) <= 3)
+SELECT whose AS subject_id, id, place, concat('- ', subject, ' ', replace(predicate, '_', ' '), ' ', object, ' (', {_window_sql('t', 'valid_until')}, ', ', strftime(t, '%d %B'), ', ', CASE WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'in 1 day' ELSE concat('in ', d, ' days') END, ')') AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY whose ORDER BY t, kind, id) AS place, date_diff('day', CAST(now AS DATE), CAST(t AS DATE)) AS d FROM both_, n) WHERE place <= 3"""
+
 # --- rendering and parsing -------------------------------------------------
 
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
@@ -496,4 +525,14 @@ SELECT ask_id, rank, fact_id, array_to_string(c, ',') AS categories FROM (SELECT
         lambda f: ingest.confirmed(f, f.where("predicate = 'located_in'").select("id")).select("id", "fact_status_id", "confidence", "error"),
         "SELECT id, CASE WHEN pending THEN 1 ELSE fact_status_id END AS fact_status_id, CASE WHEN pending THEN 1 ELSE confidence END AS confidence, CASE WHEN NOT pending THEN 'not awaiting confirmation' END AS error FROM facts WHERE predicate = 'located_in'",
     ),
+    "m04_memory_text": on_views(
+        "facts entities",
+        _memory_text,
+        f"""WITH best AS (SELECT id, rank FROM ({_SCORED}) WHERE rank <= 5),
+lines AS (SELECT f.subject_id, length(predicate) % 5 + 1 AS bucket, rank, concat(s.name, ' ', {_SPOKEN}, ' ', coalesce(o.name, object_literal, ''), CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN concat(' (', {_window_sql('valid_from', 'valid_until')}, ')') ELSE '' END, '.') AS line
+  FROM best JOIN facts f USING (id) JOIN entities s ON s.id = f.subject_id LEFT JOIN entities o ON o.id = f.object_id),
+texts AS (SELECT subject_id, bucket, concat(CASE bucket WHEN 2 THEN 'Relationships: ' WHEN 3 THEN 'Preferences: ' WHEN 4 THEN 'Upcoming: ' WHEN 5 THEN 'General: ' ELSE '' END, string_agg(line, ' ' ORDER BY rank)) AS t FROM lines GROUP BY 1, 2)
+SELECT subject_id, string_agg(t, chr(10) ORDER BY bucket) AS memory FROM texts GROUP BY 1""",
+    ),
+    "u04_coming_up": on_views("facts entities overlays", lambda f, e, o: prose.coming_up(f, e, o, at(NOW), 60, 3), _UPCOMING),
 }

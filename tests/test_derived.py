@@ -381,3 +381,12 @@ def test_corrections_and_confirmation(spark):
     refused = "not awaiting confirmation"
     assert got == {"a": (1, 1.0, None, '{"fact_status_id":1,"confidence":1.0,"pending_confirmation":false}'), "b": (1, 0.8, refused, None), "z": (None, None, refused, None)}
     assert sorted(r.id for r in ingest.rejected(waiting, ids).collect()) == ["b", "c", "d", "e", "f"]
+
+
+def test_memory_has_its_anchor(spark):
+    from tempograph.operators.prose import refreshed
+
+    old, new = "Now: 2024-02-29T08:00:00Z (Thursday 29 February 2024)", "Now: 2024-03-01T09:00:00Z (Friday 1 March 2024)"
+    texts = ["", "Anna is in Rome.", f"{old}\n\nAnna.", old, "Now: 2024-02-29T08:00:00Z (Friday 29 February 2024)\nAnna.", "Now: soon (today)", "Now: then"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(refreshed(F.col("t"), F.lit("2024-03-01 09:00:00").cast("timestamp"))).collect()]
+    assert got == [new, f"{new}\n\n{texts[1]}", f"{new}\n\nAnna.", new, *[f"{new}\n\n{t}" for t in texts[4:]]]
