@@ -14,6 +14,12 @@ _VISIBLE = "NOT pending AND fact_status_id NOT IN (5, 6)"
 _TRIPLE = "subject_id, predicate, object_id, object_literal"
 _SINCE, _UNTIL = "coalesce(valid_from, TIMESTAMP '0001-01-01')", "coalesce(valid_until, TIMESTAMP '9999-01-01')"
 
+_SNIPPETS = r"""
+WITH w AS (SELECT session_id, turn, string_split_regex(content, '\s+') AS w FROM messages),
+p AS (SELECT *, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), 'the') AS k FROM w),
+f AS (SELECT *, greatest(k - 3, 1) AS first FROM p WHERE k > 0)
+SELECT session_id, turn, concat(CASE WHEN first > 1 THEN '... ' ELSE '' END, array_to_string(list_transform(w[first : k + 3], lambda x, i: CASE WHEN i = k - first + 1 THEN concat('<<<', x, '>>>') ELSE x END), ' '), CASE WHEN len(w) > k + 3 THEN ' ...' ELSE '' END) AS snippet FROM f"""
+
 
 QUERIES: dict[str, Query] = {
     "r01_by_id": on_views("facts", lambda f: lookups.by_ids(f, f.where("predicate = 'located_in'").select("id")).select("id", "subject_id", "predicate", "object_id", "confidence"), "SELECT id, subject_id, predicate, object_id, confidence FROM facts WHERE id IN (SELECT id FROM facts WHERE predicate = 'located_in')"),
@@ -99,7 +105,7 @@ SELECT c.id, class_id, n AS n_links FROM c JOIN n ON n.id = c.id""",
     "a23_summary": on_views("facts sources", lambda f, s: f.agg(F.count("*").alias("facts"), F.count_distinct("subject_id").alias("entities")).crossJoin(s.agg(F.count("*").alias("sources"))), "SELECT count(*) AS facts, count(DISTINCT subject_id) AS entities, (SELECT count(*) FROM sources) AS sources FROM facts"),
     "x08_merge_boost": on_views("facts", lambda f: f.groupBy("subject_id", "predicate").agg(F.round(render.merged_confidence(F.min("confidence"), F.max("confidence")), 6).alias("merged")), "SELECT subject_id, predicate, round(least(greatest(min(confidence), max(confidence)) + 0.05, 0.95), 6) AS merged FROM facts GROUP BY 1, 2"),
     "d13_relative_days": on_views("facts entities", lambda f, e: memory.upcoming(f, e, at("1997-01-01"), at("1997-02-01")).select("id", render.relative_day(F.col("days")).alias("due")), f"SELECT f.id, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'in 1 day' ELSE concat('in ', d, ' days') END AS due FROM (SELECT *, date_diff('day', DATE '1997-01-01', CAST(valid_from AS DATE)) AS d FROM facts WHERE {_VISIBLE} AND valid_from > TIMESTAMP '1997-01-01' AND valid_from <= TIMESTAMP '1997-02-01') f JOIN entities e ON e.id = subject_id"),
-    "f09_snippets": on_views("messages", lambda m: m.select("session_id", "turn", render.snippet(F.col("content"), "the", 3).alias("snippet")).where("snippet is not null"), None),
+    "f09_snippets": on_views("messages", lambda m: m.select("session_id", "turn", render.snippet(F.col("content"), "the", 3).alias("snippet")).where("snippet is not null"), _SNIPPETS),
     "g05_cycles": on_views(
         "hierarchy",
         lambda h: lookups.would_cycle(graph.closure(h), h.select(F.col("child").alias("parent"), F.col("parent").alias("child")).unionByName(h)),

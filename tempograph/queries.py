@@ -50,6 +50,12 @@ _OVERLAP = "(a.valid_from IS NULL OR b.valid_until IS NULL OR a.valid_from < b.v
 _HTML = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'))".format(
     "replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 )
+_RANKED = r"""
+WITH l AS (SELECT session_id, turn, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM messages),
+t AS (SELECT session_id, turn, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS length FROM l, (SELECT unnest(['the', 'and']) AS term)),
+d AS (SELECT term, count(*) AS df FROM t WHERE tf > 0 GROUP BY 1), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM l)
+SELECT session_id, turn, count(*) AS n_terms, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM t JOIN d USING (term), n WHERE tf > 0 GROUP BY 1, 2"""
+
 
 QUERIES: dict[str, Query] = {
     "m02_memory_score": _q("facts entities categories fact_categories", _memory, _MEMORY),
@@ -219,7 +225,7 @@ SELECT root, node, min(distance) AS distance FROM p GROUP BY root, node""",
         lambda m: search.search(m, ["session_id", "turn"], "content", list(TERMS)).select("session_id", "turn", "n_terms"),
         r"""SELECT session_id, turn, 2 AS n_terms FROM (SELECT session_id, turn, string_split_regex(lower(content), '[^\p{L}\p{N}]+') AS t FROM messages) WHERE list_contains(t, 'the') AND list_contains(t, 'and')""",
     ),
-    "f06_message_rank": _q("messages", lambda m: search.search(m, ["session_id", "turn"], "content", list(TERMS), all_terms=False), None),
+    "f06_message_rank": _q("messages", lambda m: search.search(m, ["session_id", "turn"], "content", list(TERMS), all_terms=False), _RANKED),
     "p15_sensitive_docs": _table(
         "documents",
         lambda d: d.where(predicates.sensitive(F.col("text"), SENSITIVE)).select("doc_id"),

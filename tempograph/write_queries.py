@@ -45,6 +45,19 @@ def _next_sql(kind: str) -> str:
     early, late = (f"trigger_at + {_STEP[kind].format(t=_T, k=k)}" for k in (0, 1))
     return f"CASE WHEN {early} < {_T} THEN {late} ELSE {early} END"
 
+_QUOTA = """
+WITH RECURSIVE n AS (SELECT key, ts, id, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS k FROM attempts),
+f AS (
+  SELECT key, ts, id, k, ts AS start, 1 AS used, true AS admitted FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.key, n.ts, n.id, n.k, CASE WHEN n.ts >= f.start + INTERVAL 1 DAY THEN n.ts ELSE f.start END, CASE WHEN n.ts >= f.start + INTERVAL 1 DAY THEN 1 WHEN f.used < 3 THEN f.used + 1 ELSE f.used END, n.ts >= f.start + INTERVAL 1 DAY OR f.used < 3
+  FROM f JOIN n ON n.key = f.key AND n.k = f.k + 1)
+SELECT key, ts, id, admitted, start + INTERVAL 1 DAY AS resets_at FROM f"""
+
+_SALIENT = r"""
+WITH w AS (SELECT session_id, turn, list_filter(string_split_regex(regexp_replace(content, '[''’][sS]', ' ', 'g'), '[^\p{L}\p{N}]+'), lambda x: len(x) >= 2 AND lower(x) NOT IN ({stop})) AS w FROM messages)
+SELECT session_id, turn, array_to_string(list_filter(w, lambda z, i: list_position(list_transform(w, lambda x: lower(x)), lower(z)) = i)[1 : 8], ' ') AS terms FROM w""".replace("{stop}", ", ".join(f"'{w}'" for w in text.STOP_WORDS))
+
 
 QUERIES: dict[str, Query] = {
     "r10_pending": on_views(
@@ -175,7 +188,7 @@ SELECT coalesce(kept, subject_id) AS subject_id, predicate, count(*) AS n FROM f
         lambda a: folds.idle(a, "key", "ts", "id", F.col("active"), 7200).select("id"),
         "SELECT id FROM (SELECT *, max(CASE WHEN active THEN ts END) OVER (PARTITION BY key ORDER BY ts, id) AS last FROM attempts) WHERE NOT active AND (last IS NULL OR ts - last >= INTERVAL 2 HOUR)",
     ),
-    "t10_quota": on_views("attempts", lambda a: folds.quota(a.select("key", "ts", "id"), "key", "ts", 3, 86400), None),
+    "t10_quota": on_views("attempts", lambda a: folds.quota(a.select("key", "ts", "id"), "key", "ts", 3, 86400), _QUOTA),
     "t11_rate_limit": on_views(
         "attempts",
         lambda a: folds.rate_limited(a, "key", "ts", "id", 86400.0, 2).select("id", F.round("wait_s", 3).alias("wait_s")),
@@ -184,6 +197,6 @@ SELECT coalesce(kept, subject_id) AS subject_id, predicate, count(*) AS n FROM f
     ),
     "t15_ledger": on_views("attempts", lambda a: folds.newest(a.where("failed"), "key", "ts", "id", 3).select("key", "id"), "SELECT key, id FROM (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS r FROM attempts WHERE failed) WHERE r <= 3"),
     "x04_place_label": on_views("locations", lambda p: p.select("entity_id", text.place_label(F.col("latitude"), F.col("longitude")).alias("label")), "SELECT entity_id, printf('%.3f, %.3f', round(latitude * 1000) / 1000, round(longitude * 1000) / 1000) AS label FROM locations"),
-    "f10_salient": on_views("messages", lambda m: m.select("session_id", "turn", F.array_join(text.salient(text.without_possessives(F.col("content"))), " ").alias("terms")), None),
+    "f10_salient": on_views("messages", lambda m: m.select("session_id", "turn", F.array_join(text.salient(text.without_possessives(F.col("content"))), " ").alias("terms")), _SALIENT),
     "c15_notes": on_views("facts entities", files.notes, None),
 }
