@@ -90,7 +90,7 @@ SELECT c.id, class_id, n AS n_links FROM c JOIN n ON n.id = c.id""",
     ),
     "j09_members": on_views("entities", lambda e: joins.sharing(e, F.lower("name"), "id"), "SELECT key, id AS member, class_id, n FROM (SELECT lower(name) AS key, id, min(id) OVER (PARTITION BY lower(name)) AS class_id, count(*) OVER (PARTITION BY lower(name)) AS n FROM entities) WHERE n > 1"),
     "j10_members": on_views("aliases", lambda a: joins.sharing(a, F.lower("alias"), "entity_id"), "SELECT key, entity_id AS member, class_id, n FROM (SELECT *, min(entity_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT lower(alias) AS key, entity_id FROM aliases)) WHERE n > 1"),
-    "j11_names_within": on_views("entities", lambda e: joins.names_within(e.where("entity_type_id in (2, 4, 6)")), "SELECT a.id AS short, b.id AS long FROM entities a JOIN entities b ON a.entity_type_id = b.entity_type_id AND a.id <> b.id AND length(a.name) >= 3 AND contains(lower(b.name), lower(a.name)) WHERE a.entity_type_id IN (2, 4, 6)"),
+    "j11_names_within": on_views("entities", joins.names_within, "SELECT a.id AS short, b.id AS long FROM entities a JOIN entities b ON a.entity_type_id = b.entity_type_id AND length(a.name) >= 3 AND length(a.name) <= length(b.name) AND contains(lower(b.name), lower(a.name)) AND CASE WHEN lower(a.name) = lower(b.name) THEN a.id < b.id ELSE a.id <> b.id END"),
     "j08_all_candidates": on_views(
         "facts",
         lambda f: reads.same_ends(f, None),

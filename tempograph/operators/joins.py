@@ -72,13 +72,20 @@ def not_evaluated(pairs: DataFrame, evaluated: DataFrame) -> DataFrame:
 
 
 def names_within(entities: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of entities of one type of which one's name (at least so long) is a part of the other's, whatever their case: short, long. A name meets the equal parts of others, so not all pairs are tried."""
+    """Pairs of entities of one type of which one's name (at least so long) is a part of the other's, whatever their case: short, long; of equal names the smaller id is short.
+
+    A name meets the equal parts of others, so not all pairs are tried. Only
+    parts as long as some name of the type are made, so rows of a name grow
+    with its length and not with its square.
+    """
     rows = entities.select("id", "entity_type_id", F.lower("name").alias("name")).where(F.length("name") >= least)
+    lengths = rows.select("entity_type_id", F.length("name").alias("n")).distinct()
     size = F.length("name")
-    parts = F.flatten(F.transform(F.sequence(F.lit(least), size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring("name", at, n))))
-    long = rows.select(F.col("id").alias("long"), "entity_type_id", F.explode(F.array_distinct(parts)).alias("part"))
+    sized = rows.join(lengths, "entity_type_id").where(F.col("n") <= size)
+    parts = F.transform(F.sequence(F.lit(1), size - F.col("n") + 1), lambda at: F.substring("name", at, F.col("n")))
+    long = sized.select(F.col("id").alias("long"), "entity_type_id", (size == F.col("n")).alias("equal"), F.explode(F.array_distinct(parts)).alias("part"))
     short = rows.select(F.col("id").alias("short"), "entity_type_id", F.col("name").alias("part"))
-    return short.join(long, ["entity_type_id", "part"]).where("short <> long").select("short", "long")
+    return short.join(long, ["entity_type_id", "part"]).where("if(equal, short < long, short <> long)").select("short", "long")
 
 
 def dormant_facts(facts: DataFrame, sources: DataFrame, before: Column) -> DataFrame:
