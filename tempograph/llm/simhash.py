@@ -148,12 +148,12 @@ def _places(bits: int, blocks: int, salt: int) -> np.ndarray:
     return np.stack([rng.permutation(WIDE)[:bits] for _ in range(blocks)])
 
 
-def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int) -> DataFrame:
-    """(block, rep, part, rough) for each block of each row (within, rep, part, f0, f1 ...): block is a hash of the block that the row stands in, the block's number and its bits; rough is f0."""
+def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int, some: slice = slice(None)) -> DataFrame:
+    """(block, rep, part, rough) for each block, or some, of each row (within, rep, part, f0, f1 ...): block is a hash of the block that the row stands in, the block's number and its bits; rough is f0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, powers = _places(bits, blocks, salt), np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        number = np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        places, powers = _places(bits, blocks, salt)[some], np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        number = np.arange(blocks, dtype=np.uint64)[some] * np.uint64(0x9E3779B97F4A7C15)
         for b in slices(batches, 1024):
             octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1)
             ones = np.unpackbits(octets, axis=1)
@@ -163,7 +163,7 @@ def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int) -> DataFrame
                 h = (h + number) * np.uint64(0xBF58476D1CE4E5B9) ^ within * np.uint64(0x94D049BB133111EB)
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
-            repeated = [pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), blocks)) for c in ("rep", "part", _WIDE_COLUMNS[0])]
+            repeated = [pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), len(places))) for c in ("rep", "part", _WIDE_COLUMNS[0])]
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), *repeated], ["block", "rep", "part", "rough"])
 
     return reps.select("within", "rep", "part", *_WIDE_COLUMNS).mapInArrow(run, "block long, rep long, part long, rough long")
@@ -227,18 +227,20 @@ def _verified(pairs: DataFrame, bits: DataFrame, most: int) -> DataFrame:
     return whole.where(_apart("x", "y") <= most).select("a", "b")
 
 
-def wide_links(reps: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """Pairs (a, b) of representatives (rep, f0, f1 ...) that share a block and lie within the similarity's distance, and as many as connect those that do."""
-    n = reps.count()
+def wide_links(reps: DataFrame, similarity: float, bucket: int, shape: tuple[int, int], some: slice = slice(None)) -> DataFrame:
+    """Pairs (a, b) of representatives (rep, part, f0, f1 ...) of different parts that share one of some blocks and lie within the similarity's distance, and as many as connect those that do."""
     most, rough = wide_distance(similarity), wide_distance(similarity, 64, ROUGH)
     bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
-    rows = wide_blocks(reps.withColumn("part", F.col("rep")).withColumn("within", F.lit(0).cast("long")), *shape(n, similarity), 0)
+    rows = wide_blocks(reps.withColumn("within", F.lit(0).cast("long")), *shape, 0, some)
     links, turn = [], 0
     while True:
         ordered = rows.repartition("block").sortWithinPartitions("block", "rep")
         met = stored(ordered.mapInArrow(_met(bucket, rough), "a long, b long, block long, rep long, part long"), "met")
         links.append(cut(_verified(met.where("a is not null").select("a", "b"), bits, most)))
         crowd = met.where("block is not null").select("block", "rep", "part")
+        # Blocks of one part are done; only the others meet their bits.
+        mixed = cut(crowd.groupBy("block").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("block", "n"))
+        crowd = cut(join_classes(crowd, mixed, "block", "rep", crowd.count()))
         size = crowd.count()
         if not size:
             break
@@ -274,7 +276,13 @@ def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, buc
     """doc_id and component_id, the smallest doc_id that links between similar texts lead to, of each row."""
     fps = stored(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("rep", F.xxhash64(*_WIDE_COLUMNS)), "fingerprints")
     reps = cut(fps.groupBy("rep", *_WIDE_COLUMNS).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    links = wide_links(reps, similarity, bucket)
+    # A few of the blocks connect most of what is close; in the others only what is still apart is compared.
+    form = shape(reps.count(), similarity)
+    first = max(4, form[1] // 8)
+    links = wide_links(reps.withColumn("part", F.col("rep")), similarity, bucket, form, slice(0, first))
+    parts = components(links).select(F.col("node").alias("rep"), "root")
+    again = cut(reps.join(parts, "rep", "left").withColumn("part", F.coalesce("root", "rep")))
+    links = links.unionByName(wide_links(again, similarity, bucket, form, slice(first, None)))
     return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(links), "rep").select("doc_id", "component_id")
 
 
