@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.catalogue import Query, at, on_views
-from tempograph.functions import predicates, recurrence, render, text
+from tempograph.functions import dates, predicates, recurrence, render, text
 from tempograph.operators import aggregates, cascade, graph, inference, ingest, joins, memory, places, preferences, prose, ranking, resolution, retrieval, trashcan
 from tempograph.streaming import centrality
 
@@ -535,4 +535,9 @@ texts AS (SELECT subject_id, bucket, concat(CASE bucket WHEN 2 THEN 'Relationshi
 SELECT subject_id, string_agg(t, chr(10) ORDER BY bucket) AS memory FROM texts GROUP BY 1""",
     ),
     "u04_coming_up": on_views("facts entities overlays", lambda f, e, o: prose.coming_up(f, e, o, at(NOW), 60, 3), _UPCOMING),
+    "d15_flexible_dates": on_views(
+        "dated",
+        lambda d: d.select("id", dates.flexible_date(F.col("written")).alias("read")),
+        "SELECT id, CAST(CASE WHEN form = 0 THEN day WHEN form IN (1, 2) THEN day + to_seconds(29350) WHEN form IN (3, 5) THEN date_trunc('month', day) WHEN form = 4 THEN date_trunc('year', day) WHEN form = 7 THEN day + to_seconds(22150) END AS TIMESTAMP) AS read FROM dated",
+    ),
 }

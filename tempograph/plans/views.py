@@ -92,6 +92,9 @@ SELECT o_orderkey AS arrival, CASE o_orderkey % 8 WHEN 0 THEN ' Has Order ' WHEN
   CAST(1 + o_orderkey % 6 AS INT) AS source_type_id, CASE o_orderkey % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'calendar' END AS connector, CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_orderkey % 5 AS INT) END AS connector_id,
   CASE WHEN o_orderkey % 11 > 0 THEN concat('m', CAST(o_orderkey % 50 AS STRING)) END AS raw_reference, CAST(o_orderdate AS TIMESTAMP) AS valid_from, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 DAY END AS valid_until,
   o_orderkey % 7 < 3 AS correction, CASE o_orderkey % 7 WHEN 1 THEN 'always' WHEN 2 THEN CASE WHEN o_orderkey % 14 = 2 THEN '1996-05-05 00:00:00' ELSE 'soon' END END AS scope FROM orders""",
+    "dated": """
+SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS day, o_orderkey % 8 AS form, CASE o_orderkey % 8 WHEN 0 THEN concat(' ', d) WHEN 1 THEN concat(d, 'T08:09:10Z') WHEN 2 THEN concat(d, ' 08:09:10') WHEN 3 THEN substring(d, 1, 7) WHEN 4 THEN substring(d, 1, 4)
+  WHEN 5 THEN concat(substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), 'xx ', substring(d, 1, 4)) WHEN 6 THEN concat('on ', d) ELSE concat(d, 'T08:09:10+02:00') END AS written FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) x""",
     "audit": """
 SELECT event_id AS id, user_id AS fact_id, event_type AS change_type, CAST(ts AS TIMESTAMP) AS changed_at, value FROM events""",
 }

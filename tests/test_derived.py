@@ -390,3 +390,11 @@ def test_memory_has_its_anchor(spark):
     texts = ["", "Anna is in Rome.", f"{old}\n\nAnna.", old, "Now: 2024-02-29T08:00:00Z (Friday 29 February 2024)\nAnna.", "Now: soon (today)", "Now: then"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(refreshed(F.col("t"), F.lit("2024-03-01 09:00:00").cast("timestamp"))).collect()]
     assert got == [new, f"{new}\n\n{texts[1]}", f"{new}\n\nAnna.", new, *[f"{new}\n\n{t}" for t in texts[4:]]]
+
+
+def test_dates_as_people_write_them(spark):
+    from tempograph.functions.dates import flexible_date
+
+    texts = {"2025-05-03": "2025-05-03 00:00:00", " 2025-5-3 ": "2025-05-03 00:00:00", "2025-02-30": None, "2025-05": "2025-05-01 00:00:00", "2025-13": None, "2025": "2025-01-01 00:00:00", "0999": None, "10000": None, "May 2025": "2025-05-01 00:00:00", "sEPTEMBER 2025": "2025-09-01 00:00:00", "éé 2025": None, "May": None, "2025-05-03T10:00:00+02:00": "2025-05-03 08:00:00", "2025-05-03 10:00:00": "2025-05-03 10:00:00", "": None}
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(flexible_date(F.col("t")).cast("string")).collect()]
+    assert got == list(texts.values())
