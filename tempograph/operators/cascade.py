@@ -20,6 +20,12 @@ def _recalculated(children: DataFrame, dependencies: DataFrame, confidence: Data
     return children.join(sums, "id", "left").select("id", "depth", inferred_confidence(total, F.col("depth"), n).alias("confidence"))
 
 
+def _involved(facts: DataFrame, dependencies: DataFrame, *columns: str) -> DataFrame:
+    """Only facts that depend on others, or on which others depend, narrowed and kept: rounds read these, not all facts."""
+    ids = dependencies.select(F.explode(F.array("parent_fact_id", "child_fact_id")).alias("id")).distinct()
+    return cut(facts.join(ids, "id", "left_semi").select("id", *columns))
+
+
 def cascade(facts: DataFrame, dependencies: DataFrame, changed: DataFrame, levels: int = 10_000) -> DataFrame:
     """Confidence of all facts that a change of some (id, confidence) reaches.
 
@@ -28,7 +34,9 @@ def cascade(facts: DataFrame, dependencies: DataFrame, changed: DataFrame, level
     left. On a cycle changes get smaller, as depth and breadth weigh them down;
     should some be left after so many levels, that is an error.
     """
-    now, front = changed.select("id", "confidence"), changed.select("id")
+    facts, dependencies = _involved(facts, dependencies, "depth", "confidence"), cut(dependencies)
+    now = cut(changed.select("id", "confidence"))
+    front = now.select("id")
     for _ in range(levels):
         state = facts.select("id", "depth", F.col("confidence").alias("_old")).join(now.withColumnRenamed("confidence", "_new"), "id", "left").select("id", "depth", F.coalesce("_new", "_old").alias("confidence"))
         reached = dependencies.join(front.select(F.col("id").alias("parent_fact_id")), "parent_fact_id", "left_semi").select(F.col("child_fact_id").alias("id")).distinct()
@@ -48,7 +56,8 @@ def forget(facts: DataFrame, dependencies: DataFrame, chosen: DataFrame) -> Data
     facts has id, confidence, depth, inferred. Returns id, change (forgotten,
     disputed or recalculated) and confidence (null if forgotten).
     """
-    gone = front = chosen.select("id").distinct()
+    facts, dependencies = _involved(facts, dependencies, "depth", "confidence", "inferred"), cut(dependencies)
+    gone = front = cut(chosen.select("id").distinct())
     while True:  # ends, as only facts that were there before go
         left = dependencies.join(gone.select(F.col("id").alias("parent_fact_id")), "parent_fact_id", "left_anti").select(F.col("child_fact_id").alias("id"))
         reached = dependencies.join(front.select(F.col("id").alias("parent_fact_id")), "parent_fact_id", "left_semi").select(F.col("child_fact_id").alias("id")).distinct()
