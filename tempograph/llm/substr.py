@@ -40,7 +40,7 @@ from tempograph.llm.common import HEAVY, cut, join_classes, slices, stored, utf8
 
 WINDOW, KMER = 50, 25
 #: Words whose hashes a task remembers.
-WORDS = 500_000
+WORDS = 100_000
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _BASE = 0x9E3779B97F4A7C15
