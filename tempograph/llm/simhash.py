@@ -19,18 +19,20 @@ columns are not looked at.
 
 ``similar`` finds documents alike in a wider sense, a share of common shingles
 of 0.8 or more. Fingerprints then have ``WIDE`` bits, of which such pairs differ
-in about one in seven. A block is a drawn set of bit places, about as many as
-the number of representatives has bits, and there are so many blocks that a pair
-at the limit shares ``SHARED`` of them on average, one in fifty none; both grow
-with the input, so chance meetings don't. Pairs that share a block are verified
-by the first 64 bits there, and by all bits after. In a block of more than
-``BUCKET`` representatives all are compared with one of them first. Those that
-are linked to it count as one from then on. A block in which all count as one is
-done; where no more than ``BUCKET`` stand apart from the rest, these are compared
-with all; what is left is split by ``FURTHER`` more bits, in ``AGAIN`` ways, and
-after ``ROUNDS`` of that taken apart by one after the other. So crowded blocks
-lose hardly more links than others, rows don't grow with the square of a group,
-and a large group of copies is done in one step.
+in about one in seven. A block is a drawn set of bit places, so many that by
+chance ``2 ** MEET`` representatives at most share one on average, and there are
+so many blocks that a pair at the limit shares ``SHARED`` of them on average, one
+in fifty none; both grow with the input. Fingerprints go along to their blocks
+whole. Where up to ``CROWD`` share one, all that are not yet connected are
+compared there, as arrays, by the first 64 bits and then by all, and only as many
+links come out as connect them, fewer than the block has rows. In a more crowded
+block all are compared with one of them first. Those that are linked to it count
+as one from then on. A block in which all count as one is done; where no more than
+``BUCKET`` stand apart from the rest, these are compared with all; what is left is
+split by ``FURTHER`` more bits, in ``AGAIN`` ways, and after ``ROUNDS`` of that
+taken apart by one after the other. So crowded blocks lose hardly more links than
+others, rows don't grow with the square of a group, and a large group of copies is
+done in one step.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import HEAVY, cut, doc_columns, join_classes, slices, stored, utf8
+from tempograph.llm.common import cut, doc_columns, join_classes, slices, stored, utf8
 from tempograph.llm.substr import runs, word_ids
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -88,6 +90,10 @@ WIDE, WIDE_SHINGLE, SHARED = 512, 5, 4
 SPREAD, ROUGH = 1.6, 3
 #: Bits that split a crowded block and ways to draw them, and rounds in which blocks are split.
 FURTHER, AGAIN, ROUNDS = 8, 12, 6
+#: Bits by which a block is narrower than the number of representatives, the least bits of one, and representatives that may share one and still be compared in one task.
+MEET, NARROW, CROWD = 8, 8, 4096
+#: Comparisons that are made at one time.
+TILE = 1 << 17
 _SEEDS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -124,11 +130,13 @@ def wide_distance(similarity: float, bits: int = WIDE, spread: float = SPREAD) -
 
 def shape(n: int, similarity: float) -> tuple[int, int]:
     """Bits of a block and number of blocks for n representatives."""
-    bits = max(12, min(48, (max(n, 1) - 1).bit_length()))
+    bits = max(NARROW, min(48, (max(n, 1) - 1).bit_length() - MEET))
     return bits, int(np.ceil(SHARED / (1 - share_of_bits(similarity)) ** bits))
 
 
 _WIDE_COLUMNS = [f"f{k}" for k in range(WIDE // 64)]
+#: Columns of a row in its block.
+_ROW = ["block", "rep", "part", *_WIDE_COLUMNS]
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,12 +156,12 @@ def _places(bits: int, blocks: int, salt: int) -> np.ndarray:
     return np.stack([rng.permutation(WIDE)[:bits] for _ in range(blocks)])
 
 
-def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int, some: slice = slice(None)) -> DataFrame:
-    """(block, rep, part, rough) for each block, or some, of each row (within, rep, part, f0, f1 ...): block is a hash of the block that the row stands in, the block's number and its bits; rough is f0."""
+def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int) -> DataFrame:
+    """(block, rep, part, f0, f1 ...) for each block of each row (within, rep, part, f0, f1 ...): block is a hash of the block that the row stands in, the block's number and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, powers = _places(bits, blocks, salt)[some], np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        number = np.arange(blocks, dtype=np.uint64)[some] * np.uint64(0x9E3779B97F4A7C15)
+        places, powers = _places(bits, blocks, salt), np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        number = np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in slices(batches, 1024):
             octets = np.stack([b[c].to_numpy(zero_copy_only=False) for c in _WIDE_COLUMNS], 1).astype(">i8").view(np.uint8).reshape(b.num_rows, -1)
             ones = np.unpackbits(octets, axis=1)
@@ -163,47 +171,76 @@ def wide_blocks(reps: DataFrame, bits: int, blocks: int, salt: int, some: slice
                 h = (h + number) * np.uint64(0xBF58476D1CE4E5B9) ^ within * np.uint64(0x94D049BB133111EB)
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
-            repeated = [pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), len(places))) for c in ("rep", "part", _WIDE_COLUMNS[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), *repeated], ["block", "rep", "part", "rough"])
-
-    return reps.select("within", "rep", "part", *_WIDE_COLUMNS).mapInArrow(run, "block long, rep long, part long, rough long")
+            repeated = [pa.array(np.repeat(b[c].to_numpy(zero_copy_only=False), len(places))) for c in ("rep", "part", *_WIDE_COLUMNS)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), *repeated], _ROW)
+
+    return reps.select("within", "rep", "part", *_WIDE_COLUMNS).mapInArrow(run, ", ".join(f"{c} long" for c in _ROW))
+
+
+def connecting(part: np.ndarray, bits: np.ndarray, most: int, rough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with a part and a fingerprint: as many pairs (i, j) within the distance as connect the parts that any such pairs connect."""
+    label = np.unique(part, return_inverse=True)[1]
+    first, every = np.ascontiguousarray(bits[:, 0]), np.arange(len(part))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # Open rows have not been compared with all others; one alone first, so that most of a group are connected before many are compared.
+    open_, step = every, 1
+    while (label[open_] != label[open_[0]]).any():
+        now = open_[:step]
+        x, y = np.nonzero(np.bitwise_count(first[now][:, None] ^ first[open_][None, :]) <= rough)
+        x, y = now[x], open_[y]
+        x, y = (z[label[x] != label[y]] for z in (x, y))
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+        x, y = x[near], y[near]
+        for k in np.unique(x):
+            at = y[x == k]
+            new, where = np.unique(label[at], return_index=True)
+            where = where[new != label[k]]
+            if len(where):
+                found.append((np.full(len(where), k), at[where]))
+                label[np.isin(label, label[at[where]])] = label[k]
+        # Then those of small parts: rows of the largest one need no comparison among themselves.
+        rest = open_[len(now) :]
+        open_ = rest[np.argsort(np.bincount(label)[label[rest]], kind="stable")]
+        if not len(open_):
+            break
+        step = max(1, TILE // len(open_))
+    return tuple(np.concatenate([z[k] for z in found]) if found else every[:0] for k in (0, 1))
 
 
-def _met(bucket: int, rough: int):
-    """Of sorted (block, rep, part, rough): pairs of different parts in small blocks that the rough distance lets pass; the rows of crowded ones, from the one row on that is too many, and their numbers."""
-    names = ["a", "b", "block", "rep", "part"]
+def _met(crowd: int, most: int, rough: int):
+    """Of rows sorted by block: pairs that connect the parts in blocks of up to so many; the rows of crowded ones."""
 
     def made(pairs: list, rows: list) -> pa.RecordBatch:
-        x, y = np.array(pairs, np.int64).reshape(-1, 2), np.array(rows, np.int64).reshape(-1, 3)
-        columns = [*(pa.array(c.copy()) for c in x.T), *(pa.array(c.copy()) for c in y.T)]
-        full = [pa.concat_arrays([c, pa.nulls(len(y), pa.int64())]) for c in columns[:2]] + [pa.concat_arrays([pa.nulls(len(x), pa.int64()), c]) for c in columns[2:]]
-        return pa.RecordBatch.from_arrays(full, names)
+        x = np.concatenate([np.empty((0, 2), np.int64), *pairs])
+        y = np.concatenate([np.empty((0, len(_ROW)), np.int64), *rows])
+        full = [pa.concat_arrays([pa.array(c.copy()), pa.nulls(len(y), pa.int64())]) for c in x.T] + [pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(c.copy())]) for c in y.T]
+        return pa.RecordBatch.from_arrays(full, ["a", "b", *_ROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, crowded = None, [], False
-        pairs: list[tuple[int, int]] = []
-        rows: list[tuple[int, int, int]] = []
+        now, held, size = None, [], 0
+        pairs: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
 
         def close() -> None:
-            if not crowded:
-                pairs.extend((x, y) for (x, p, f), (y, q, g) in combinations(held, 2) if p != q and ((f ^ g) & 0xFFFFFFFFFFFFFFFF).bit_count() <= rough)
+            if 1 < size <= crowd:
+                block = np.concatenate(held)
+                i, j = connecting(block[:, 2], block[:, 3:].view(np.uint64), most, rough)
+                pairs.append(np.stack([block[i, 1], block[j, 1]], 1))
 
         for batch in batches:
-            blocks, reps, parts, bits = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "rep", "part", "rough"))
-            # Rows alone in their block meet nobody; the first and last of a batch may have neighbours elsewhere.
-            alone = np.zeros(len(blocks), np.bool_)
-            alone[1:-1] = (blocks[1:-1] != blocks[:-2]) & (blocks[1:-1] != blocks[2:])
-            for block, *row in zip(*(x[~alone].tolist() for x in (blocks, reps, parts, bits))):
-                if block != now:
-                    close()
-                    now, held, crowded = block, [], False
-                if crowded:
-                    rows.append((block, row[0], row[1]))
+            table = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in _ROW], 1)
+            ends = [*(np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1).tolist(), len(table)]
+            for start, end in zip([0, *ends], ends):
+                if start == end:
                     continue
-                held.append(row)
-                if len(held) > bucket:
-                    rows.extend((block, r, p) for r, p, _ in held)
-                    crowded, held = True, []
+                if table[start, 0] != now:
+                    close()
+                    now, held, size = table[start, 0], [], 0
+                held.append(table[start:end].copy())
+                size += end - start
+                if size > crowd:
+                    rows.extend(held)
+                    held = []
             yield made(pairs, rows)
             pairs.clear()
             rows.clear()
@@ -213,76 +250,56 @@ def _met(bucket: int, rough: int):
     return run
 
 
-def _apart(x: str, y: str) -> F.Column:
+def _apart(x: str | F.Column, y: str | F.Column) -> F.Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
 
 
-def _verified(pairs: DataFrame, bits: DataFrame, most: int) -> DataFrame:
-    """Those pairs (a, b) of representatives that lie within the distance; bits has rep and bits."""
-    met = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    first = met.groupBy("a").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "a"), "a").withColumnRenamed("bits", "x")
-    both = join_classes(met, cut(first), "a", "b", met.count())
-    second = both.groupBy("b").agg(F.count("*").alias("n")).join(bits.withColumnRenamed("rep", "b"), "b").withColumnRenamed("bits", "y")
-    whole = join_classes(both, cut(second), "b", "a", met.count())
-    return whole.where(_apart("x", "y") <= most).select("a", "b")
-
-
-def wide_links(reps: DataFrame, similarity: float, bucket: int, shape: tuple[int, int], some: slice = slice(None)) -> DataFrame:
-    """Pairs (a, b) of representatives (rep, part, f0, f1 ...) of different parts that share one of some blocks and lie within the similarity's distance, and as many as connect those that do."""
+def wide_links(reps: DataFrame, similarity: float, crowd: int, shape: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of representatives (rep, f0, f1 ...) that lie within the similarity's distance, as many as connect those that also share a block."""
     most, rough = wide_distance(similarity), wide_distance(similarity, 64, ROUGH)
-    bits = reps.select("rep", F.array(*_WIDE_COLUMNS).alias("bits"))
-    rows = wide_blocks(reps.withColumn("within", F.lit(0).cast("long")), *shape, 0, some)
-    links, turn = [], 0
+    rows = wide_blocks(reps.select(F.lit(0).cast("long").alias("within"), "rep", F.col("rep").alias("part"), *_WIDE_COLUMNS), *shape, 0)
+    links, turn, few_at_most = [], 0, min(crowd, BUCKET)
     while True:
         ordered = rows.repartition("block").sortWithinPartitions("block", "rep")
-        met = stored(ordered.mapInArrow(_met(bucket, rough), "a long, b long, block long, rep long, part long"), "met")
-        links.append(cut(_verified(met.where("a is not null").select("a", "b"), bits, most)))
-        crowd = met.where("block is not null").select("block", "rep", "part")
-        # Blocks of one part are done; only the others meet their bits.
-        mixed = cut(crowd.groupBy("block").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("block", "n"))
-        crowd = cut(join_classes(crowd, mixed, "block", "rep", crowd.count()))
-        size = crowd.count()
+        met = stored(ordered.mapInArrow(_met(crowd, most, rough), ", ".join(f"{c} long" for c in ["a", "b", *_ROW])), "met")
+        links.append(met.where("a is not null").select("a", "b"))
+        crowded = met.where("block is not null").select("block", "rep", "part", F.array(*_WIDE_COLUMNS).alias("bits"))
+        size = crowded.count()
         if not size:
             break
+        # Blocks of one part are done.
+        mixed = cut(crowded.groupBy("block").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("block", "n"))
+        crowded = cut(join_classes(crowded, mixed, "block", "rep", size))
         # One of the smallest part of each crowded block, another one in each, is compared with all others; those it is linked to are of its part then.
-        inside = crowd.groupBy("block", "part").agg(F.count("*").alias("c"), F.min_by("rep", F.hash("rep", "block")).alias("rep"))
-        pivot = inside.groupBy("block").agg(F.min(F.struct("c", F.hash("rep", "block").alias("h"), "rep", "part")).alias("p"), F.sum("c").alias("n")).select("block", "n", F.col("p.rep").alias("pivot"), F.col("p.part").alias("pivot_part")).join(bits.select(F.col("rep").alias("pivot"), F.col("bits").alias("x")), "pivot")
-        pivoted = join_classes(crowd, cut(pivot), "block", "rep", size)
-        each = pivoted.groupBy("rep").agg(F.count("*").alias("n")).join(bits, "rep")
-        told = join_classes(pivoted, cut(each), "rep", "block", size).withColumn("near", _apart("x", "bits") <= most)
-        told = cut(told.select("block", "rep", "part", "pivot", "pivot_part", "near", "bits"))
-        links.append(told.where("near and part <> pivot_part").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+        inside = crowded.groupBy("block", "part").agg(F.count("*").alias("c"), F.min(F.struct(F.hash("rep", "block").alias("h"), "rep", "bits")).alias("p"))
+        pivot = inside.groupBy("block").agg(F.min(F.struct("c", "p.h", "p.rep", "part", "p.bits")).alias("p"), F.sum("c").alias("n")).select("block", "n", F.col("p.rep").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.bits").alias("pivot_bits"))
+        told = cut(join_classes(crowded, cut(pivot), "block", "rep", size).withColumn("near", _apart("pivot_bits", "bits") <= most).drop("pivot_bits"))
+        links.append(told.where("near and part <> pivot_part").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         left = told.where("rep <> pivot").withColumn("part", F.when(F.col("near"), F.col("pivot_part")).otherwise(F.col("part"))).select("block", "rep", "part", "bits")
         sizes = left.groupBy("block", "part").agg(F.count("*").alias("c"))
         blocks = cut(sizes.groupBy("block").agg(F.sum("c").alias("n"), F.max(F.struct("c", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("block", "n", F.col("largest.part").alias("largest"), (F.col("n") - F.col("largest.c")).alias("others")))
         marked = cut(join_classes(left, blocks, "block", "rep", size))
         # Where few are not of the largest part, they are compared with all.
-        few = marked.where((F.col("others") <= bucket) & (F.col("part") != F.col("largest"))).groupBy("block").agg(F.collect_list(F.struct(F.col("rep").alias("o"), F.col("part").alias("q"))).alias("os"))
-        some = marked.where(F.col("others") <= bucket).select("block", "rep", "part")
+        some = marked.where(F.col("others") <= few_at_most)
+        few = some.where(F.col("part") != F.col("largest")).groupBy("block").agg(F.collect_list(F.struct(F.col("rep").alias("o"), F.col("part").alias("q"), F.col("bits").alias("w"))).alias("os"))
         few = cut(few.join(blocks.select("block", "n"), "block"))
-        pairs = join_classes(some, few, "block", "rep", size).select("rep", "part", F.explode("os").alias("x")).where("part <> x.q").select(F.col("rep").alias("a"), F.col("x.o").alias("b"))
-        links.append(cut(_verified(pairs, bits, most)))
+        near = F.transform(F.filter("os", lambda o: (o["q"] != F.col("part")) & (_apart(o["w"], F.col("bits")) <= most)), lambda o: o["o"])
+        links.append(cut(join_classes(some.select("block", "rep", "part", "bits"), few, "block", "rep", size).select(F.col("rep").alias("a"), F.explode(near).alias("b"))))
         turn += 1
         further = (FURTHER, AGAIN) if turn <= ROUNDS else (0, 1)
-        open_ = marked.where(F.col("others") > bucket).select(F.col("block").alias("within"), "rep", "part", *[F.col("bits")[k].alias(c) for k, c in enumerate(_WIDE_COLUMNS)])
+        open_ = marked.where(F.col("others") > few_at_most).select(F.col("block").alias("within"), "rep", "part", *[F.col("bits")[k].alias(c) for k, c in enumerate(_WIDE_COLUMNS)])
         rows = wide_blocks(open_, *further, turn)
     every = links[0]
     for f in links[1:]:
         every = every.unionByName(f)
-    return every.distinct()
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, bucket: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links between similar texts lead to, of each row."""
     fps = stored(wide_fingerprints(docs, shingle, id_col, text_col).withColumn("rep", F.xxhash64(*_WIDE_COLUMNS)), "fingerprints")
     reps = cut(fps.groupBy("rep", *_WIDE_COLUMNS).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    # A few of the blocks connect most of what is close; in the others only what is still apart is compared.
-    form = shape(reps.count(), similarity)
-    first = max(4, form[1] // 8)
-    links = wide_links(reps.withColumn("part", F.col("rep")), similarity, bucket, form, slice(0, first))
-    parts = components(links).select(F.col("node").alias("rep"), "root")
-    again = cut(reps.join(parts, "rep", "left").withColumn("part", F.coalesce("root", "rep")))
-    links = links.unionByName(wide_links(again, similarity, bucket, form, slice(first, None)))
+    links = wide_links(reps, similarity, bucket, shape(reps.count(), similarity))
     return _classes(fps.select("doc_id", "rep"), reps.select("rep", "first", "n"), components(links), "rep").select("doc_id", "component_id")
 
 

@@ -154,3 +154,51 @@ def test_similar(spark, bucket):
     want = {(i, 0) for i, _ in rows[:40]} | {(i, i) for i, _ in rows[40:100]} | {(2000, 2000), (2001, 2000), (2002, 2002), (2003, 2002), (None, 2002), (2004, 2004)}
     assert got == want
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string"), 0.8).count() == 0
+
+
+def test_links_of_a_crowd_are_few(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(500):  # copies of one text, near it and often not near each other
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 3)):
+            w[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, kept = [], simhash.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.append(out.count() if name != "fingerprints" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs, 0.8).collect()}
+    bits = np.array([simhash.wide_fingerprint(t.encode()) for t in texts])
+    near = np.bitwise_count(bits ^ bits[0]).sum(1, dtype=np.int64) <= simhash.wide_distance(0.8)
+    assert near.sum() > 400 and {got[k] for k in np.flatnonzero(near).tolist()} == {0}
+    # No block makes as many links as it has rows.
+    assert sum(rows) < len(texts) * simhash.shape(len(texts), 0.8)[1]
+
+
+def test_connecting_links():
+    rng = np.random.default_rng(6)
+    for n, copies in [(1, 1), (40, 40), (700, 300)]:
+        base = rng.integers(0, 2**64, (n, simhash.WIDE // 64), np.uint64)
+        for k in range(copies):  # near the first one
+            base[k] = base[0] ^ np.packbits(rng.random(simhash.WIDE) < 0.09).view(np.uint64)
+        part = rng.integers(0, max(1, 3 * n // 4), n)
+        i, j = simhash.connecting(part, base, 90, 18)
+        d = np.bitwise_count(base[:, None] ^ base[None]).sum(2, dtype=np.int64)
+        rough = np.bitwise_count(base[:, None, 0] ^ base[None, :, 0]) <= 18
+        assert (d[i, j] <= 90).all() and len(i) < n
+
+        def classes(x, y):
+            root = list(range(part.max() + 1))
+            for p, q in zip(part[x].tolist(), part[y].tolist()):
+                p, q = root[p], root[q]
+                root = [q if r == p else r for r in root] if p != q else root
+            return [[root[p] == root[q] for q in range(len(root))] for p in range(len(root))]
+
+        assert classes(i, j) == classes(*np.nonzero((d <= 90) & rough))
