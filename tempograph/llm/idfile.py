@@ -91,7 +91,7 @@ class Model:
     """Order-0 to order-2 predictions of ids below 2**16, mixed; learns in rounds.
 
     Order 2 and order 1 each predict one id, order 0 all of them by their
-    counts. Ids lie side by side in order; each is as wide as its order-0
+    counts. All fits into 32 bits, so arrays are of such numbers. Ids lie side by side in order; each is as wide as its order-0
     probability times that order's weight, and the two predicted ones are wider
     by their orders' weights. The weights follow how often each order was right
     in the same state of sureness.
@@ -100,26 +100,25 @@ class Model:
     def __init__(self):
         self.counts = np.ones(_ALL, np.int64)
         # What followed one id, and two ids, and how sure that is (0 to 3): id * 4 + sureness.
-        self.after1, self.after2 = np.zeros(_ALL, np.int64), np.zeros(_HASHED, np.int64)
+        self.after1, self.after2 = np.zeros(_ALL, np.int32), np.zeros(_HASHED, np.int32)
         # How often order 2, order 1 and neither of them was right, by the sureness of both and whether they agree.
         self.hits = np.tile(np.array([2, 2, 8], np.int64), (32, 1))
         self._freeze()
 
     def _freeze(self) -> None:
         """The distributions that hold for the next round."""
-        self.freq = 1 + self.counts * (_TOTAL - _ALL) // int(self.counts.sum())
-        self.upto = np.zeros(_ALL + 1, np.int64)
+        self.freq = (1 + self.counts * (_TOTAL - _ALL) // int(self.counts.sum())).astype(np.int32)
+        self.upto = np.zeros(_ALL + 1, np.int32)
         np.cumsum(self.freq, out=self.upto[1:])
         self.at = np.full(_TOTAL, _ALL - 1, np.uint16)
         self.at[: self.upto[-1]] = np.repeat(_IDS, self.freq)
         one = 1 << _MIX_BITS
         weight = self.hits * (one - 1) // self.hits.sum(1, keepdims=True)
-        self.w2, self.w1 = weight[:, 0] << _ID_BITS, weight[:, 1] << _ID_BITS
-        self.w0 = one - weight[:, 0] - weight[:, 1]
+        self.w2, self.w1, self.w0 = (x.astype(np.int32) for x in (weight[:, 0] << _ID_BITS, weight[:, 1] << _ID_BITS, one - weight[:, 0] - weight[:, 1]))
 
     @staticmethod
     def slot2(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        return ((p2 * 40_503 + p1 * 2_654_435_761) >> 7) & (_HASHED - 1)
+        return ((p2.view(np.uint32) * np.uint32(40_503) + p1.view(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(7)) & np.uint32(_HASHED - 1)
 
     def guesses(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order-2 guess, order-1 guess, and the state of sureness."""
@@ -129,19 +128,21 @@ class Model:
 
     def intervals(self, g2: np.ndarray, g1: np.ndarray, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id in the mixture's total."""
-        w2, w1, w0 = self.w2[state], self.w1[state], self.w0[state]
+        return self._interval(self.w2[state], self.w1[state], self.w0[state], g2, g1, ids)
+
+    def _interval(self, w2: np.ndarray, w1: np.ndarray, w0: np.ndarray, g2: np.ndarray, g1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return w0 * self.upto[ids] + (ids > g2) * w2 + (ids > g1) * w1, w0 * self.freq[ids] + (ids == g2) * w2 + (ids == g1) * w1
 
     def find(self, g2: np.ndarray, g1: np.ndarray, state: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids in whose intervals values lie, with start and width."""
         w2, w1, w0 = self.w2[state], self.w1[state], self.w0[state]
-        first = g2 < g1
-        end2, end1 = w0 * self.upto[g2 + 1], w0 * self.upto[g1 + 1]
+        low, high, low_w = np.minimum(g2, g1), np.maximum(g2, g1), np.where(g2 < g1, w2, w1)
         # Take out of the value what the two predicted ids are wider; the lower one's width comes first.
-        for end, w in ((np.where(first, end2, end1), np.where(first, w2, w1)), (np.where(first, end1, end2), np.where(first, w1, w2))):
+        for end, w in ((w0 * self.upto[low + 1], low_w), (w0 * self.upto[high + 1], w2 + w1 - low_w)):
             value = value - np.minimum(np.maximum(value - end + 1, 0), w)
-        ids = self.at[value // w0].astype(np.int64)
-        return ids, w0 * self.upto[ids] + (ids > g2) * w2 + (ids > g1) * w1, w0 * self.freq[ids] + (ids == g2) * w2 + (ids == g1) * w1
+        # Quotients of such small numbers are far enough from the next one for floats.
+        ids = self.at[(value / w0).astype(np.intp)].astype(np.int32)
+        return ids, *self._interval(w2, w1, w0, g2, g1, ids)
 
     def learn(self, p2: np.ndarray, p1: np.ndarray, ids: np.ndarray, g2: np.ndarray, g1: np.ndarray, state: np.ndarray) -> None:
         by = state * 3 + np.where(ids == g2, 0, np.where(ids == g1, 1, 2))
@@ -167,9 +168,9 @@ def _shape(n: int) -> tuple[int, int]:
 def pack_ids(ids: np.ndarray) -> bytes:
     """A block of ids below 2**16."""
     lanes, length = _shape(len(ids))
-    grid = np.zeros(lanes * length, np.int64)
+    grid = np.zeros(lanes * length, np.int32)
     grid[: len(ids)] = ids
-    grid = np.concatenate([np.zeros((2, lanes), np.int64), grid.reshape(lanes, length).T])
+    grid = np.concatenate([np.zeros((2, lanes), np.int32), grid.reshape(lanes, length).T])
     model = Model()
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     sizes = np.zeros(lanes, np.int64)
@@ -218,7 +219,7 @@ def unpack_ids(data: bytes, n: int) -> np.ndarray:
     sizes = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(2, "<u4")]).astype(_U)
     pos = np.cumsum(sizes) - sizes
-    grid = np.zeros((length + 2, lanes), np.int64)
+    grid = np.zeros((length + 2, lanes), np.int32)
     model = Model()
     span, code = np.full(lanes, ~_U(0)), words[pos] << _WORD | words[pos + 1]
     pos += 2
@@ -230,7 +231,7 @@ def unpack_ids(data: bytes, n: int) -> np.ndarray:
             for k in range(steps):
                 g = model.guesses(grid[at + k], grid[at + k + 1])
                 unit = span >> _UNIT
-                ids, start, width = model.find(*g, np.minimum(code // unit, most).astype(np.int64))
+                ids, start, width = model.find(*g, np.minimum(code // unit, most).astype(np.int32))
                 code = code - unit * start.astype(_U)
                 span = unit * width.astype(_U)
                 out = np.flatnonzero(span < _LOW)

@@ -93,3 +93,16 @@ def test_classes_join_by_either_way(spark, monkeypatch, heavy):
     assert got.columns == ["k", "at", "name", "good"] and sorted((r.k, r.at, r.name) for r in got.collect()) == sorted(want)
     left = join_classes(rows, classes, "k", "at", len(keys), how="left")
     assert sorted((r.k, r.at, r.name) for r in left.collect()) == sorted((k, n, None if k == "gone" else k.upper()) for n, k in enumerate(keys)) if heavy else True
+
+
+def test_coder_works_on_32_bits():
+    model = idfile.Model()
+    ids = np.array([0, 7, 65535, 7], np.int32)
+    guessed = model.guesses(ids, ids[::-1].copy())
+    start, width = model.intervals(*guessed, ids)
+    found = model.find(*guessed, start + width - 1)
+    assert {x.dtype for x in (start, width, *found)} == {np.dtype(np.int32)}
+    assert all((x == y).all() for x, y in zip(found, (ids, start, width)))
+    rng = np.random.default_rng(3)
+    for block in (rng.integers(0, 65536, 70_001), np.full(40_000, 65535), np.minimum(rng.zipf(1.3, 300_000), 65535), np.array([5])):
+        assert (idfile.unpack_ids(idfile.pack_ids(block), len(block)) == block).all()
