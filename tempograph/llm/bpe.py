@@ -5,7 +5,8 @@ trie (a sorted list of words is its depth-first order). Going down, each node
 gets the last token of its prefix from the states above it, so shared prefixes
 are encoded once. Documents are then put together from their words. Nothing is
 shuffled: each task has its own bounded memory of words, which a retried task
-builds again.
+builds again and which goes when the task ends, so that workers that wait hold
+no more than the vocabulary.
 
 Null and empty texts have no tokens; repeated rows and ids give a row each;
 other columns are not looked at and not returned. A text of any length works:
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from tempograph.llm.common import doc_columns, slices, strings, tokenizer_path
 from tempograph.llm.merges import Merges
 
-#: Words, and parts of words, that a task remembers; it keeps no part of more characters.
-WORDS, PARTS, PART_CHARS = 300_000, 600_000, 64
+#: Words, and parts of words, of a generation that a task remembers; it keeps no part of more characters.
+WORDS, PARTS, PART_CHARS = 100_000, 200_000, 64
 LONG = 1_000_000
 
 #: White space as the tokenizer sees it (fixed values).
@@ -91,15 +92,34 @@ def unpacked(data: bytes) -> array:
     return a
 
 
+class Recent:
+    """What has been found for keys that were asked for lately, in two generations; the older one goes when the younger one is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str], most: int) -> list[str]:
+        """Those of the wanted keys that are in neither generation; the others are in the younger one then."""
+        new = [k for k in wanted if k not in self.young]
+        if len(self.young) + len(new) > most:
+            self.old, self.young, new = self.young, {}, list(wanted)
+        self.young.update((k, self.old[k]) for k in new if k in self.old)
+        return [k for k in new if k not in self.old]
+
+
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of up to WORDS words, each with and without a space before it."""
+    """Encodes and decodes texts; keeps the ids of up to twice WORDS words, each with and without a space before it."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
-        self.spaced: dict[str, bytes] = {}  # by the word after a single space
-        self.bare: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the vocabulary stays in memory."""
+        self.spaced, self.bare, self.pieces = Recent(), Recent(), Recent()  # spaced: by the word after a single space
+        self.merges.memo.clear()
 
     def parts(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """The words of a text, cut at single spaces; True if the first one has no space before it."""
@@ -135,7 +155,7 @@ class Encoder:
             for k, plan in enumerate(plans, at):
                 out[k] = b"".join(self._put(x) for x in plan)
             for known, w in self.once:
-                known.pop(w, None)
+                known.young.pop(w, None)
             at = end
         return out
 
@@ -143,8 +163,8 @@ class Encoder:
         if isinstance(x, int):
             return packed([x])
         bare, words = x
-        get = self.spaced.__getitem__
-        return self.bare[words[0]] + b"".join(map(get, words[1:])) if bare else b"".join(map(get, words))
+        get = self.spaced.young.__getitem__
+        return self.bare.young[words[0]] + b"".join(map(get, words[1:])) if bare else b"".join(map(get, words))
 
     def _learn(self, plans: list) -> None:
         spaced: set[str] = set()
@@ -159,28 +179,22 @@ class Encoder:
                     else:
                         spaced.update(x[1])
         for known, wanted, before in ((self.spaced, spaced, " "), (self.bare, bare, "")):
-            missing = {w for w in wanted if w not in known}
-            if len(known) + len(missing) > WORDS:
-                known.clear()
-                missing = wanted
+            missing = known.missing(wanted, WORDS)
             self.once += [(known, w) for w in missing if len(w) > PART_CHARS]
-            missing = list(missing)
-            known.update(zip(missing, self._encode_words([before + w for w in missing])))
+            known.young.update(zip(missing, self._encode_words([before + w for w in missing])))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words, each encoded as a text of its own."""
         split = [PIECES.findall(w) for w in words]
-        if len(self.pieces) > PARTS:
-            self.pieces.clear()
         self._learn_pieces({p for x in split for p in x})
-        out = [b"".join(map(self.pieces.__getitem__, x)) for x in split]
+        out = [b"".join(map(self.pieces.young.__getitem__, x)) for x in split]
         for p in [p for x in split for p in x if len(p) > PART_CHARS]:
-            self.pieces.pop(p, None)
+            self.pieces.young.pop(p, None)
         return out
 
     def _learn_pieces(self, pieces: set[str]) -> None:
-        missing = {p.encode(): p for p in pieces if p not in self.pieces}
-        self.pieces.update((missing[w], packed(ids)) for w, ids in trie_encode(self.merges, missing))
+        missing = {p.encode(): p for p in self.pieces.missing(pieces, PARTS)}
+        self.pieces.young.update((missing[w], packed(ids)) for w, ids in trie_encode(self.merges, missing))
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""
@@ -217,6 +231,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if emit_ids:
                 cols["ids"] = pa.array(ids, pa.binary())
             yield pa.RecordBatch.from_pydict(cols)
+        enc.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * emit_ids
     return doc_columns(docs, id_col, text_col).mapInArrow(run, schema)

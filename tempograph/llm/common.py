@@ -126,6 +126,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))))
             yield b.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # else a worker that waits for its next task holds it
 
 
 def strings(column: pa.Array) -> list[str]:

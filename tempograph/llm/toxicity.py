@@ -39,6 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tempograph.llm.common import slices, utf8
 
@@ -240,23 +241,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, and the columns of docs named in keep, for each row."""
     keep = keep or []
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept"))
+    # A text that is kept goes to the tasks once and comes back as it went.
+    same = text_col in keep and isinstance(docs.schema[text_col].dataType, StringType)
+    others = [c for c in keep if not (same and c == text_col)]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # two dictionaries of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["kept"], pa.array([scorer.score(t) for t in utf8(b["text"])], pa.float64())], ["doc_id", "kept", "score"])
+            names = ["doc_id", "kept", *["text"] * same]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([scorer.score(t) for t in utf8(b["text"])], pa.float64())], [*names, "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id long, kept {rows.schema['kept'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col("kept")[c].alias(c) for c in keep])
+    scored = rows.mapInArrow(run, f"doc_id long, kept {rows.schema['kept'].dataType.simpleString()}, {'text string, ' * same}score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[(F.col("kept")[c] if c in others else F.col("text")).alias(c) for c in keep])
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that are not predicted to be toxic."""
     model = train(docs, labels, id_col, text_col)
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("_score_id"), F.col(f"`{text_col}`").alias("_score_text"))
-    return score_documents(plain, model, "_score_id", "_score_text", keep=["_doc"]).where("predicted = 0").select("_doc.*")
+    others = [c for c in docs.columns if c != text_col]
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("_doc"), F.col(f"`{id_col}`").alias("_score_id"), F.col(f"`{text_col}`").alias("_score_text"))
+    left = score_documents(plain, model, "_score_id", "_score_text", keep=["_doc", "_score_text"]).where("predicted = 0")
+    return left.select(*[(F.col("_doc")[c] if c in others else F.col("_score_text")).alias(c) for c in docs.columns])
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tempograph.llm import bpe, decontam, idfile, shards, simhash, substr, tokcount, toxicity, tsmedia, warc
 from tempograph.llm.common import tokenizer_path
@@ -299,3 +301,44 @@ def test_pipeline(spark):
         assert docs.columns == p.COLUMNS and docs.count() <= before.count(), name
     want = {tuple(r) for r in p.STAGES[-1][1](spark, docs, sf).collect()}
     assert {tuple(r) for r in p.run(spark, sf).collect()} == want
+
+
+def mapped(monkeypatch, frame):
+    """The frames and functions that mapInArrow is given from now on."""
+    calls, kept = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, *a, **b: calls.append((self, f)) or kept(self, f, *a, **b))
+    return calls
+
+
+def test_bpe_gives_its_memory_back(docs, monkeypatch):
+    path, calls = tokenizer_path("byte_bpe_50k.json"), mapped(monkeypatch, docs)
+    bpe.encode_documents(docs, path)
+    some = [" ".join(f"word{k}x{j}." for j in range(300)) for k in range(40)]
+    out = list(calls[0][1](iter([pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": some})])))
+    assert [x for b in out for x in b["ids"].to_pylist()] == bpe.Encoder(path).encode(some)
+    enc = bpe.encoder(path)  # stays in the worker, whose next task may be another operator's
+    assert not any(x.young or x.old for x in (enc.spaced, enc.bare, enc.pieces)) and not enc.merges.memo
+
+
+def test_bpe_remembers_few_words(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 100)
+    monkeypatch.setattr(bpe, "PARTS", 100)
+    enc = bpe.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    learnt = []
+    monkeypatch.setattr(enc, "_encode_words", lambda words, f=enc._encode_words: learnt.append(words) or f(words))
+    for k in range(60):  # one word comes again and again among words that come once
+        enc.encode([" ".join(["x", "often", *(f"once{k}a{j}" for j in range(20))])])
+        assert all(len(x.young) <= 100 and len(x.old) <= 100 for x in (enc.spaced, enc.bare, enc.pieces))
+    assert sum(w.count(" often") for w in learnt) == 1
+
+
+def test_toxicity_sends_a_kept_text_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some text", "en"), (2, None, "de"), (None, "", None)], "doc_id long, text string, lang string")
+    calls = mapped(monkeypatch, docs)
+    monkeypatch.setattr(toxicity, "train", lambda *a: toxicity.Model(b"", b"", 2, (-3.0, 0.0, 0.0)))
+    left = toxicity.reject(docs, docs)
+    assert calls[0][0].schema.simpleString().count("string") == 2  # text and lang
+    assert left.dtypes == docs.dtypes and sorted(left.collect(), key=str) == sorted(docs.collect(), key=str)
+    only = docs.select(F.col("text").alias("words"), F.col("text").cast("binary").alias("_doc"), F.lit(5).alias("score"))
+    assert sorted(toxicity.reject(only, docs, "score", "words").collect(), key=str) == sorted(only.collect(), key=str)
+    assert sorted(toxicity.reject(only, docs, "score", "_doc").collect(), key=str) == sorted(only.collect(), key=str)
