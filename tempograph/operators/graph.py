@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import visible
+from tempograph.plans import sieve
 from tempograph.plans.lineage import cut
 
 
@@ -31,12 +32,20 @@ def subtree_facts(facts: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 
 def reach(facts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node, distance) of all nodes that visible facts lead to from roots (column root), within a depth."""
-    out = facts.where(visible() & F.col("object_id").isNotNull()).select(F.col("subject_id").alias("node"), F.col("object_id").alias("to")).distinct()
+    """(root, node, distance) of all nodes that visible facts lead to from roots (column root), within a depth.
+
+    The last level is most of the result and is neither stored nor shuffled:
+    roots that go on from the same nodes are one class, what a class leads to is
+    found once, and each of its roots takes that over without what it had. Of
+    the facts a level shuffles those that may start at its nodes.
+    """
+    out = facts.where(visible() & F.col("object_id").isNotNull()).select(F.col("subject_id").alias("node"), F.col("object_id").alias("to"))
     found = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")))
     new = found
     for level in range(1, depth + 1):
-        step = new.join(out, "node").select("root", F.col("to").alias("node")).distinct()
+        if level == depth and level > 1:
+            return found.unionByName(_last_level(found, new, out).withColumn("distance", F.lit(level)))
+        step = new.join(sieve.sieved(out, ["node"], new, ["node"]).distinct(), "node").select("root", F.col("to").alias("node")).distinct()
         new = cut(step.join(found, ["root", "node"], "left_anti").withColumn("distance", F.lit(level)))
         if new.isEmpty():
             break
@@ -44,6 +53,20 @@ def reach(facts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def _last_level(found: DataFrame, new: DataFrame, out: DataFrame) -> DataFrame:
+    """root and node of what out leads to from the new nodes of each root and is not found yet."""
+    ends = sieve.sieved(new, ["node"], out, ["node"]).join(out.select("node").distinct(), "node", "left_semi")
+    sets = cut(ends.groupBy("root").agg(F.array_sort(F.collect_set("node")).alias("nodes")))
+    classes = cut(sets.groupBy("nodes").agg(F.min("root").alias("class"), F.count("*").alias("n")))
+    members = sets.join(classes.select("nodes", "class"), "nodes").select("root", "class")
+    middle = classes.select("class", F.explode("nodes").alias("node"))
+    told = cut(middle.join(sieve.sieved(out, ["node"], middle, ["node"]).distinct(), "node").select("class", F.col("to").alias("node")).distinct())
+    had = sieve.sieved(found.select("root", "node"), ["node"], told.select("node").distinct(), ["node"])
+    had = had.join(members, "root").join(told, ["class", "node"]).groupBy("root").agg(F.collect_list("node").alias("had"))
+    rows = sieve.dealt(members.join(had, "root", "left"), told, ["class"], "root", classes.select("class", "n"))
+    return rows.where("had is null or not array_contains(had, node)").select("root", "node")
+
+
 def in_tree_order(rows: DataFrame, root: int = 0) -> DataFrame:
     """id, depth, line and place of a tree (id, parent_id, name) in depth-first order, children by id; the structural root isn't shown, and its children start the tree.
 

@@ -20,6 +20,20 @@ def shuffled(df):
     return of(df._jdf.queryExecution().executedPlan())
 
 
+def shuffled_by_all(spark, run):
+    """What run returns, and the rows that all shuffles of its jobs have written, those before checkpoints too."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+
+    def rows():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))}
+
+    before = rows()
+    got = run()
+    return got, sum(n for k, n in rows().items() if k not in before)
+
+
 @pytest.fixture
 def unhinted(spark):
     """Small tables are joined as large ones."""
@@ -53,3 +67,39 @@ def test_names_within_shuffles_few_parts_and_deals_out_hot_names(spark, monkeypa
     low = [(i, t, n.lower()) for i, t, n in rows if n and len(n) >= 3]
     assert got == sorted((i, j) for i, t, n in low for j, u, m in low if t == u and n in m and (i < j if n == m else i != j))
     assert shuffled(df) < 600  # over eight thousand parts are as long as another name
+
+
+def test_reach_by_classes_is_the_same(spark, monkeypatch):
+    from tempograph.operators import graph
+    from tempograph.plans import sieve
+
+    monkeypatch.setattr(sieve, "CHUNK", 2)
+    dice = random.Random(5)
+    edges = [(dice.randrange(30), dice.randrange(30), dice.randrange(12)) for _ in range(90)] + [(0, 0, 1), (1, 2, 1), (2, 1, 1), (1, 2, 1), (3, None, 1)]
+    facts = spark.createDataFrame([(a, b, 5 if s == 0 else 1, s == 2) for a, b, s in edges], "subject_id long, object_id long, fact_status_id int, pending boolean")
+    out = {}
+    for a, b, s in edges:
+        if b is not None and s not in (0, 2):
+            out.setdefault(a, set()).add(b)
+    roots = [*range(0, 20), 77]
+    for depth in range(5):
+        got = graph.reach(facts, spark.createDataFrame([(r,) for r in roots], "root long"), depth).collect()
+        want = set()
+        for r in roots:
+            seen, front = {r: 0}, {r}
+            for k in range(1, depth + 1):
+                front = {b for a in front for b in out.get(a, ())} - seen.keys()
+                seen |= {b: k for b in front}
+            want |= {(r, n, d) for n, d in seen.items()}
+        assert sorted((x.root, x.node, x.distance) for x in got) == sorted(want)
+
+
+def test_reach_does_not_shuffle_its_last_level(spark, unhinted):
+    from tempograph.operators import graph
+
+    roots = spark.range(300).selectExpr("id AS root")
+    edges = roots.selectExpr("root AS subject_id", "explode(array(1000, 1001, if(root = 7, 2005, 1000))) AS object_id").unionAll(spark.range(2000, 2200).selectExpr("explode(array(1000, 1001)) AS subject_id", "id AS object_id"))
+    facts = edges.selectExpr("subject_id", "object_id", "1 AS fact_status_id", "false AS pending")
+    got, n = shuffled_by_all(spark, lambda: graph.reach(facts, roots, 2).groupBy("distance").count().collect())
+    assert {x["distance"]: x["count"] for x in got} == {0: 300, 1: 601, 2: 300 * 200 - 1}
+    assert n < 12000  # the last level alone has sixty thousand rows
