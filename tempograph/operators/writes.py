@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.functions.predicates import ACTIVE, DISPUTED, FORGOTTEN, MULTI_VALUED, SUPERSEDED
+from tempograph.plans import sieve
+from tempograph.plans.lineage import cut
 
 #: Kinds of source whose word replaces what was known (fixed values).
 EXPLICIT = (1, 6)
@@ -17,14 +19,18 @@ EXPLICIT = (1, 6)
 BOOST, MOST = 0.05, 0.95
 
 
+def _claim(several: tuple[str, ...]) -> Column:
+    """The object, where a predicate has several values."""
+    return F.when(F.col("predicate").isin(*several), F.coalesce(F.concat(F.lit("#"), F.col("object_id").cast("string")), F.concat(F.lit("="), F.col("object_literal"))))
+
+
 def _islands(rows: DataFrame, several: tuple[str, ...]) -> DataFrame:
     """Rows with the number of their stretch of meeting windows within subject, predicate and, where a predicate has several values, object."""
-    claim = F.when(F.col("predicate").isin(*several), F.coalesce(F.concat(F.lit("#"), F.col("object_id").cast("string")), F.concat(F.lit("="), F.col("object_literal"))))
     start = F.coalesce(F.unix_micros("valid_from"), F.lit(-(2**62)))
     end = F.coalesce(F.unix_micros("valid_until"), F.lit(2**62))
     keys = ["subject_id", "predicate", "claim"]
     ordered = W.partitionBy(*keys).orderBy("_start", "id")
-    rows = rows.withColumn("claim", claim).withColumn("_start", start).withColumn("_end", end)
+    rows = rows.withColumn("claim", _claim(several)).withColumn("_start", start).withColumn("_end", end)
     before = F.max("_end").over(ordered.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.when(before.isNull() | (F.col("_start") >= before), 1).otherwise(0))
     return rows.withColumn("island", F.sum("_new").over(ordered)).drop("_start", "_end", "_new")
@@ -113,22 +119,22 @@ def insert_batch(facts: DataFrame, sources: DataFrame, batch: DataFrame, several
     Of the predicates in several a subject can have several objects at a time.
     Facts whose windows don't meet, even by way of others, can't touch each
     other, so such stretches are settled apart and those without a new fact
-    don't reach Python.
+    don't reach Python. Facts of which subject and predicate, or object too, are
+    not in the batch, and their sources, are not shuffled, but for a few.
 
     batch has the columns of facts and arrival, source_type_id, raw_reference.
     Returns id, is_new, fact_status_id, confidence, valid_until, added_sources,
     contradicts for each fact of the stretches that the batch reaches.
     """
     columns = ["id", "subject_id", "predicate", "object_id", "object_literal", "valid_from", "valid_until", "confidence", "fact_status_id", "pending", "inferred"]
-    touched = batch.select("subject_id", "predicate").distinct()
-    old = facts.select(*columns).join(touched, ["subject_id", "predicate"], "left_semi").withColumn("arrival", F.lit(None).cast("long"))
-    new = batch.select(*columns, F.col("arrival").cast("long"), F.array(_provenance()).alias("provenance"))
-    split = _islands(old.unionByName(new.drop("provenance")), several)
+    claimed = ["subject_id", "predicate", _claim(several)]
+    new = cut(batch.select(*columns, F.col("arrival").cast("long"), F.array(_provenance()).alias("provenance")))
+    old = sieve.sieved(facts.select(*columns).where("subject_id is not null and predicate is not null"), claimed, new, claimed)
+    known = sieve.sieved(sources.withColumnRenamed("fact_id", "id"), ["id"], old, ["id"]).groupBy("id").agg(F.collect_set(_provenance()).alias("provenance"))
+    old = old.join(known, "id", "left").withColumn("arrival", F.lit(None).cast("long")).withColumn("provenance", F.coalesce("provenance", F.array().cast("array<string>")))
+    split = _islands(old.unionByName(new), several)
     keys = ["subject_id", "predicate", "claim", "island"]
-    reached = split.withColumn("_reached", F.count("arrival").over(W.partitionBy(*keys))).where("_reached > 0").drop("_reached")
-    known = sources.groupBy(F.col("fact_id").alias("id")).agg(F.collect_set(_provenance()).alias("old_provenance"))
-    rows = reached.join(known, "id", "left").join(new.select("id", "arrival", "provenance"), ["id", "arrival"], "left")
-    rows = rows.withColumn("provenance", F.coalesce("provenance", F.when(F.col("arrival").isNull(), F.col("old_provenance")), F.array().cast("array<string>"))).drop("old_provenance")
+    rows = split.withColumn("_reached", F.count("arrival").over(W.partitionBy(*keys))).where("_reached > 0").drop("_reached")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_settled, _SETTLED)
 
 

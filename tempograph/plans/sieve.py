@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 #: Bits of a table: so many for a key, at least and at most; 32 MiB is the largest.
 PER_KEY, FEWEST, MOST = 16, 1 << 16, 1 << 28
@@ -22,14 +23,24 @@ def sieved(rows: DataFrame, keys: list[str | Column], wanted: DataFrame, same: l
 
     wanted is read twice: its rows are counted, then a bit is set for each of
     them by a hash of its keys. The table of bits grows with the count up to
-    most bits and is broadcast; with more keys more other rows pass.
+    most bits and is broadcast; with more keys more other rows pass. Keys are
+    whole numbers of any width and strings; with other kinds, or unlike ones,
+    all rows pass.
     """
-    cols = lambda names: [F.col(n) if isinstance(n, str) else n for n in names]
+    own, other = rows.select(*keys).schema, wanted.select(*same).schema
+    whole = [isinstance(a.dataType, IntegralType) and isinstance(b.dataType, IntegralType) for a, b in zip(own, other)]
+    if not all(w or (a.dataType == b.dataType == StringType()) for w, a, b in zip(whole, own, other)):
+        return rows
+
+    def hashed(names: list[str | Column]) -> list[Column]:
+        cols = [F.col(n) if isinstance(n, str) else n for n in names]
+        return [c.cast("long") if w else c for c, w in zip(cols, whole)]
+
     bits = min(max(FEWEST, 1 << (PER_KEY * max(1, wanted.count()) - 1).bit_length()), most)
-    row, word, bit = _places(cols(same), bits)
+    row, word, bit = _places(hashed(same), bits)
     each = wanted.select(row.alias("_row"), word.alias("_word"), bit.alias("_bit")).selectExpr("_row", "_word", "shiftleft(1L, _bit) AS _set")
     table = each.groupBy("_row").agg(F.array(*[F.bit_or(F.when(F.col("_word") == k, F.col("_set")).otherwise(0)) for k in range(16)]).alias("_words"))
-    row, word, bit = _places(cols(keys), bits)
+    row, word, bit = _places(hashed(keys), bits)
     met = rows.withColumns({"_row": row, "_word": word, "_bit": bit}).join(F.broadcast(table), "_row")
     return met.where(F.expr("getbit(_words[_word], _bit) = 1")).drop("_row", "_word", "_bit", "_words")
 

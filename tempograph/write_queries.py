@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempograph.catalogue import Query, at, on_views
 from tempograph.functions import recurrence, text
 from tempograph.operators import cascade, graph, reads, writes
+from tempograph.plans import sieve
 from tempograph.sources import files
 from tempograph.streaming import folds
 
@@ -19,7 +20,9 @@ _VISIBLE = "NOT pending AND fact_status_id NOT IN (5, 6)"
 def _insert(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """The inferred facts of the suppliers come as a batch to the others."""
     supplied = facts.where("predicate = 'supplies'")
-    batch = supplied.where("inferred").join(sources.select(F.col("fact_id").alias("id"), "source_type_id", "raw_reference"), "id").withColumn("arrival", F.abs(F.xxhash64("id")))
+    inferred = supplied.where("inferred")
+    told = sieve.sieved(sources.select(F.col("fact_id").alias("id"), "source_type_id", "raw_reference"), ["id"], inferred, ["id"])
+    batch = inferred.join(told, "id").withColumn("arrival", F.abs(F.xxhash64("id")))
     return writes.insert_batch(supplied.where("not inferred"), sources, batch, ("supplies",)).withColumn("contradicts", F.array_join(F.array_sort("contradicts"), ","))
 
 

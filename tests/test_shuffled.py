@@ -103,3 +103,14 @@ def test_reach_does_not_shuffle_its_last_level(spark, unhinted):
     got, n = shuffled_by_all(spark, lambda: graph.reach(facts, roots, 2).groupBy("distance").count().collect())
     assert {x["distance"]: x["count"] for x in got} == {0: 300, 1: 601, 2: 300 * 200 - 1}
     assert n < 12000  # the last level alone has sixty thousand rows
+
+
+def test_insert_batch_shuffles_what_the_batch_can_reach(spark, unhinted):
+    from tempograph.operators.writes import insert_batch
+
+    facts = spark.range(20000).selectExpr("concat('f', id) AS id", "id % 10 AS subject_id", "'supplies' AS predicate", "id AS object_id", "cast(null AS string) AS object_literal", "timestamp'2020-01-01' AS valid_from", "cast(null AS timestamp) AS valid_until", "0.5D AS confidence", "1 AS fact_status_id", "false AS pending", "false AS inferred")
+    sources = facts.selectExpr("id AS fact_id", "2 AS source_type_id", "id AS raw_reference")
+    batch = facts.where("object_id % 1000 = 3").selectExpr("concat('n', object_id) AS id", "* except (id)", "object_id AS arrival", "2 AS source_type_id", "if(object_id > 10000, concat('f', object_id), 'new') AS raw_reference")
+    got, n = shuffled_by_all(spark, lambda: insert_batch(facts, sources, batch, ("supplies",)).collect())
+    assert sorted((r.id, r.is_new, r.fact_status_id, round(r.confidence, 6), r.added_sources) for r in got) == sorted((f"f{k}", False, 1, 0.5 if k > 10000 else 0.55, int(k < 10000)) for k in range(3, 20000, 1000))
+    assert n < 5000  # each of the twenty thousand facts and sources was shuffled
