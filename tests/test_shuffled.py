@@ -114,3 +114,40 @@ def test_insert_batch_shuffles_what_the_batch_can_reach(spark, unhinted):
     got, n = shuffled_by_all(spark, lambda: insert_batch(facts, sources, batch, ("supplies",)).collect())
     assert sorted((r.id, r.is_new, r.fact_status_id, round(r.confidence, 6), r.added_sources) for r in got) == sorted((f"f{k}", False, 1, 0.5 if k > 10000 else 0.55, int(k < 10000)) for k in range(3, 20000, 1000))
     assert n < 5000  # each of the twenty thousand facts and sources was shuffled
+
+
+def test_messages_match_by_blocks(spark, unhinted, monkeypatch):
+    import math
+
+    from tempograph.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 600)
+    dice = random.Random(7)
+    texts = [" ".join(dice.choices("tea Tea milk sugar cup pot jam oat rye fig".split(), k=dice.randrange(1, 9))) for _ in range(400)]
+    rows = [(k // 4, f"m{k % 4}", t) for k, t in enumerate(texts)] + [(0, "m0", "tea tea"), (0, "m0", texts[0]), (None, None, "jam JAM"), (None, "a", "jam jam"), (5, "z", None), (5, "y", "")]
+    messages = spark.createDataFrame(rows, "session long, name string, said string")
+    plans = [(k, dice.sample("tea milk sugar cup pot jam oat rye fig none".split(), 3)) for k in range(60)] + [(97, ["none"]), (98, []), (99, ["jam", "jam", "tea"])]
+    df = retrieval.matching_messages(spark.createDataFrame(plans, "task_id long, terms array<string>"), messages, ["session", "name"], "said", 7)
+    got, n = shuffled_by_all(spark, df.collect)
+    index = {}
+    for s, m, t in rows:
+        words = (t or "").lower().split()
+        for w in set(words):
+            index[(s, m, w, len(words))] = index.get((s, m, w, len(words)), 0) + words.count(w)
+    mean = sum(len((t or "").split()) for _, _, t in rows) / len(rows)
+    idf = {}
+    for w in {k[2] for k in index}:
+        d = sum(k[2] == w for k in index)
+        x = math.log((len(rows) - d + 0.5) / (d + 0.5))
+        idf[w] = x if x > 0 else 1e-6
+    want = []
+    for task, terms in plans:
+        score = {}
+        for w in terms:
+            for (s, m, x, size), tf in index.items():
+                if x == w:
+                    score[(s, m)] = score.get((s, m), 0) + idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
+        best = sorted(score.items(), key=lambda i: (-round(i[1], 6), i[0][0] is not None, i[0][0] or 0, i[0][1] is not None, i[0][1] or ""))[:7]
+        want += [(task, s, m, p, round(x, 6)) for p, ((s, m), x) in enumerate(best, 1)]
+    assert sorted(((r.task_id, r.session, r.name, r.place, r.score) for r in got), key=lambda r: (r[0], r[3])) == want
+    assert n < 6000  # some ten thousand pairs of a task and a message share a term
