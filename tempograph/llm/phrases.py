@@ -348,7 +348,7 @@ def _enough(lists: DataFrame, length: int, occurrences: int, least: int):
     bits = min(max(16, (max(1, occurrences // LOAD) - 1).bit_length()), BUCKETS.bit_length() - 1)
     counts = lists.mapInArrow(_counted(length, bits, least), _COUNTS).repartition("segment").sortWithinPartitions("segment")
     flags = np.zeros((1 << bits) // 8, np.uint8)
-    for row in counts.mapInArrow(_summed(least), _COUNTS).toLocalIterator():  # a bit for each bucket in all
+    for row in counts.mapInArrow(_summed(least), _COUNTS).collect():  # a bit for each bucket in all
         flags[row["segment"] * (SEGMENT // 8) : (row["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(row["packed"], np.uint8)
     return bits, lists.sparkSession.sparkContext.broadcast(flags)
 
