@@ -33,6 +33,7 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ from tempograph.llm.common import discard, slices, stored, utf8
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words and separators of a block, those that a task holds in all its open blocks, and bytes of a text that are split at one time.
 BLOCK, HELD, PART = 1 << 20, 1 << 21, 1 << 20
-#: Most buckets (a power of two), occurrences for one bucket, and buckets of a segment.
-BUCKETS, LOAD, SEGMENT = 1 << 28, 4, 1 << 16
+#: Most buckets (a power of two), occurrences for one bucket, buckets of a segment at least, and most segments: a block gives a row for each, so they don't grow with the blocks.
+BUCKETS, LOAD, SEGMENT, SEGMENTS = 1 << 28, 4, 1 << 16, 64
 #: Occurrences whose phrases are put together at one time.
 TOGETHER = 1 << 20
 #: Rows of words of a batch; bits of a phrase's number for its place in a block, and for the block's place in its partition.
@@ -78,14 +79,19 @@ def _filled(fields: str, n: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(a: np.ndarray) -> bytes:
     """Numbers as compressed bytes, all first bytes before all second ones."""
     size = a.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, size).T.tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, size).T.tobytes())
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
@@ -226,7 +232,12 @@ def _each(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[_Lists]:
             yield _Lists(b.slice(k, 1).to_pylist()[0], length)
 
 
-def _counted(length: int, bits: int, least: int):
+def _width(bits: int) -> int:
+    """Buckets of a segment."""
+    return max(SEGMENT, (1 << bits) // SEGMENTS)
+
+
+def _counted(length: int, bits: int, least: int, width: int):
     """Occurrences by bucket, up to least, packed for each segment of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,25 +245,25 @@ def _counted(length: int, bits: int, least: int):
             bucket, which = np.unique(x.buckets(bits), return_inverse=True)
             n = np.minimum(np.bincount(which, weights=x.own()), least).astype(np.int64)
             bucket, n = bucket[n > 0], n[n > 0]
-            cuts = np.flatnonzero(np.diff(bucket // SEGMENT)) + 1
-            for at, some in zip(np.split(bucket, cuts), np.split(n, cuts)):
-                if len(at):
-                    yield _filled(_COUNTS, 1, segment=[int(at[0] // SEGMENT)], packed=[packed(np.stack((np.diff(at % SEGMENT, prepend=0), some)).astype(np.uint32).reshape(-1))])
+            cuts = np.flatnonzero(np.diff(bucket // width)) + 1
+            each = [(int(at[0] // width), packed(np.stack((np.diff(at % width, prepend=0), some)).astype(np.uint32).reshape(-1))) for at, some in zip(np.split(bucket, cuts), np.split(n, cuts)) if len(at)]
+            if each:
+                yield _filled(_COUNTS, len(each), segment=[k for k, _ in each], packed=[d for _, d in each])
 
     return run
 
 
-def _summed(least: int):
+def _summed(least: int, width: int):
     """Of each segment whose rows stand together, a bit for each bucket: whether it has enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, total = None, np.zeros(SEGMENT, np.int64)
+        segment, total = None, np.zeros(width, np.int64)
         for b in batches:
             for s, data in zip(b["segment"].to_pylist(), b["packed"]):
                 if s != segment:
                     if segment is not None:
                         yield _filled(_COUNTS, 1, segment=[segment], packed=[np.packbits(total >= least).tobytes()])
-                    segment, total = s, np.zeros(SEGMENT, np.int64)
+                    segment, total = s, np.zeros(width, np.int64)
                 gaps, n = unpacked(data.as_py(), np.uint32).astype(np.int64).reshape(2, -1)
                 total[np.cumsum(gaps)] += n
         if segment is not None:
@@ -271,10 +282,9 @@ def _grown(length: int, bits: int, enough, parts: int):
             segment = bucket[place] >> (bits - parts)
             order = np.argsort(segment, kind="stable")
             place, segment, n = place[order], segment[order], x.own()
-            for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(segment)) + 1):
-                if len(at):
-                    p = place[at]
-                    yield _filled(_FOUND, 1, segment=[int(segment[at[0]])], block=[x.block], lang=[x.lang], packed=[packed(np.stack((p, x.prefix[p], x.next[p], n[p])).reshape(-1))])
+            each = [(int(segment[at[0]]), packed(np.stack((p := place[at], x.prefix[p], x.next[p], n[p])).reshape(-1))) for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(segment)) + 1) if len(at)]
+            if each:
+                yield _filled(_FOUND, len(each), segment=[k for k, _ in each], block=[x.block] * len(each), lang=[x.lang] * len(each), packed=[d for _, d in each])
 
     return run
 
@@ -300,8 +310,8 @@ def _settled(least: int):
         numbers = np.empty(len(order), np.int64)
         numbers[order] = np.repeat(np.where(some, number, -1), np.diff(np.append(heads, len(order))))
         kept = np.flatnonzero(numbers >= 0)
-        for at in np.split(kept, np.flatnonzero(np.diff(block[kept])) + 1):
-            yield _filled(_SETTLED, 1, block=[int(block[at[0]])], packed=[packed(np.stack((place[at], numbers[at])).reshape(-1))])
+        each = [(int(block[at[0]]), packed(np.stack((place[at], numbers[at])).reshape(-1))) for at in np.split(kept, np.flatnonzero(np.diff(block[kept])) + 1)]
+        yield _filled(_SETTLED, len(each), block=[k for k, _ in each], packed=[d for _, d in each])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, rows = None, []
@@ -346,10 +356,11 @@ def _chosen(length: int):
 def _enough(lists: DataFrame, length: int, occurrences: int, least: int):
     """The buckets that have enough occurrences of longer phrases, as a broadcast array of bits, and the number of bits of a bucket's number."""
     bits = min(max(16, (max(1, occurrences // LOAD) - 1).bit_length()), BUCKETS.bit_length() - 1)
-    counts = lists.mapInArrow(_counted(length, bits, least), _COUNTS).repartition("segment").sortWithinPartitions("segment")
+    width = _width(bits)
+    counts = lists.mapInArrow(_counted(length, bits, least, width), _COUNTS).repartition("segment").sortWithinPartitions("segment")
     flags = np.zeros((1 << bits) // 8, np.uint8)
-    for row in counts.mapInArrow(_summed(least), _COUNTS).collect():  # a bit for each bucket in all
-        flags[row["segment"] * (SEGMENT // 8) : (row["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(row["packed"], np.uint8)
+    for row in counts.mapInArrow(_summed(least, width), _COUNTS).collect():  # a bit for each bucket in all
+        flags[row["segment"] * (width // 8) : (row["segment"] + 1) * (width // 8)] = np.frombuffer(row["packed"], np.uint8)
     return bits, lists.sparkSession.sparkContext.broadcast(flags)
 
 

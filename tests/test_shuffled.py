@@ -151,3 +151,35 @@ def test_messages_match_by_blocks(spark, unhinted, monkeypatch):
         want += [(task, s, m, p, round(x, 6)) for p, ((s, m), x) in enumerate(best, 1)]
     assert sorted(((r.task_id, r.session, r.name, r.place, r.score) for r in got), key=lambda r: (r[0], r[3])) == want
     assert n < 6000  # some ten thousand pairs of a task and a message share a term
+
+
+def test_a_block_counts_into_few_segments(monkeypatch):
+    phrases = pytest.importorskip("tempograph.llm.phrases")
+    import numpy as np
+
+    bits, dice = 25, np.random.default_rng(1)
+
+    class Lists:
+        def __init__(self, batch):
+            self.bucket, self.n = dice.integers(0, 1 << bits, 3000), dice.integers(0, 4, 3000)
+            self.bucket[:40] = 77
+
+        def buckets(self, bits):
+            return self.bucket
+
+        def own(self):
+            return self.n
+
+    blocks = [Lists(None) for _ in range(3)]
+    monkeypatch.setattr(phrases, "_each", lambda batches, length: iter(blocks))
+    width = phrases._width(bits)
+    made = list(phrases._counted(1, bits, 5, width)(iter([])))
+    assert sum(b.num_rows for b in made) <= 3 * 64  # it was one for each 65536 buckets, so rows grew with blocks times buckets
+    rows = sorted((s, d) for b in made for s, d in zip(b["segment"].to_pylist(), b["packed"].to_pylist()))
+    summed = phrases._summed(5, width)(iter([phrases._filled(phrases._COUNTS, len(rows), segment=[s for s, _ in rows], packed=[d for _, d in rows])]))
+    flags = np.zeros((1 << bits) // 8, np.uint8)
+    for b in summed:
+        for s, d in zip(b["segment"].to_pylist(), b["packed"].to_pylist()):
+            flags[s * (width // 8) : (s + 1) * (width // 8)] = np.frombuffer(d, np.uint8)
+    total = sum(np.minimum(np.bincount(x.bucket, x.n, 1 << bits), 5) for x in blocks)
+    assert (np.unpackbits(flags) == (total >= 5)).all()
